@@ -1,0 +1,6 @@
+"""Every registered query with its oracle."""
+
+from cohortal.catalog import scans, nested  # noqa: F401
+from cohortal.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -46,8 +46,10 @@ def recency_days(ts: Column, reference: Column, fill: float = 999.0) -> Column:
 
 
 def elapsed(now: Column, then: Column | None) -> Column:
-    """max(0, now - then) on numeric clocks; 0 if there is no such column."""
-    return F.lit(0) if then is None else F.greatest(F.lit(0).cast("bigint"), now - then)
+    """max(0, now - then) on numeric clocks; 0 if there is no such column, null if never."""
+    if then is None:
+        return F.lit(0).cast("bigint")
+    return F.when(then > now, F.lit(0).cast("bigint")).otherwise(now - then)
 
 
 def os_major(version: Column | str) -> Column:

@@ -155,7 +155,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"{stem}_d{n}" for stem in ("iap_revenue", "buyer") for n in (1, 7, 14)],
         F.round(F.least(v / 250.0, F.lit(1.0)), 4).alias("buyer_proba"),
         F.round((k + 1) / 101.0, 4).alias("whale_proba"),
-        F.round(v * 0.3, 2).alias("pred_d1"),
-        F.round(v * (k % 5) / 4.0, 2).alias("pred_d7"),
-        F.round(v * 0.8, 2).alias("pred_d14"),
+        (v * 0.3).alias("pred_d1"),
+        (v * (k % 5) / 4.0).alias("pred_d7"),
+        (v * 0.8).alias("pred_d14"),
     )
