@@ -214,13 +214,14 @@ def histus_open_bin(spark, sf_dir):
     return out.select("row_id", bins.bin_of().cast("int").alias("bin"))
 
 
-ORDERS_BASE = "o AS (SELECT o_orderkey, o_totalprice FROM orders)"
+STEP = "floor(o_totalprice * o_totalprice / 1e10)"
+ORDERS_BASE = f"o AS (SELECT o_orderkey, {STEP} AS price_step FROM orders)"
 
 
-@query("histus_orders", _histus_sql(ORDERS_BASE, "o", "o_totalprice", "o_orderkey", True, 0.10))
+@query("histus_orders", _histus_sql(ORDERS_BASE, "o", "price_step", "o_orderkey", True, 0.10))
 def histus_orders(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    bins = sampling.fit_bins(df, "o_totalprice", 30)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(STEP).cast("double").alias("price_step"))
+    bins = sampling.fit_bins(df, "price_step", 30)
     out = sampling.undersample_bins(df, bins, 10.0, ident="o_orderkey", portable=True)
     return out.select("o_orderkey", bins.bin_of().cast("int").alias("bin"))
 
