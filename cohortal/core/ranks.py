@@ -18,6 +18,7 @@ from cohortal.core.lookup import lookup
 from cohortal.core.settle import settle
 
 WINDOW_ROWS = 500_000
+PERCENTILE_VALUES = 500_000
 
 
 def value_counts(
@@ -36,43 +37,50 @@ def running_totals(
     order: str,
     totals: Sequence[str],
     by: Sequence[str] = (),
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``<name>_upto``: the sum of ``name`` over rows ordered up to this one.
+    """Add ``<name>_upto``, the sum over rows ordered up to this one, and ``<name>_all``, the group's sum.
 
-    ``counts`` is settled and unique in (by, order).
+    ``counts`` is settled and unique in (by, order). Up to ``window_rows`` rows
+    one window does it. Beyond that the table is cut into range slices: slice
+    totals (one row per group and slice) give each slice its offset.
     """
     by = list(by)
-
-    def summed(frame: DataFrame, groups: list[str], offset: bool) -> DataFrame:
-        w = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        cols = [
-            (F.sum(t).over(w) + (F.col(f"_before_{t}") if offset else F.lit(0))).alias(f"{t}_upto")
-            for t in totals
-        ]
-        return frame.select(*counts.columns, *cols)
-
-    if counts.count() <= window_rows:
-        return summed(counts, by, offset=False)
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    running = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if counts.count() <= limit:
+        whole = Window.partitionBy(*by)
+        return counts.select(
+            *counts.columns,
+            *[F.sum(t).over(running).alias(f"{t}_upto") for t in totals],
+            *[F.sum(t).over(whole).alias(f"{t}_all") for t in totals],
+        )
 
     sliced = settle(
         counts.repartitionByRange(*by, order).withColumn("_slice", F.spark_partition_id()), "slices"
     )
     per_slice = sliced.groupBy(*by, "_slice").agg(*[F.sum(t).alias(f"_sum_{t}") for t in totals])
-    before = (
-        Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *by,
         "_slice",
         *[F.coalesce(F.sum(f"_sum_{t}").over(before), F.lit(0)).alias(f"_before_{t}") for t in totals],
+        *[F.sum(f"_sum_{t}").over(group).alias(f"{t}_all") for t in totals],
+    )
+    joined = lookup(
+        sliced, settle(offsets, "offsets"), [*by, "_slice"], spread=[*by, order], skewed=False
+    )
+    inside = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.select(
+        *counts.columns,
+        *[(F.sum(t).over(inside) + F.col(f"_before_{t}")).alias(f"{t}_upto") for t in totals],
+        *[f"{t}_all" for t in totals],
     )
-    joined = lookup(sliced, settle(offsets, "offsets"), [*by, "_slice"], spread=[*by, order])
-    return summed(joined, [*by, "_slice"], offset=True)
 
 
 def nth_values(
-    counts: DataFrame, value: str, positions: Sequence[int], window_rows: int = WINDOW_ROWS
+    counts: DataFrame, value: str, positions: Sequence[int], window_rows: int | None = None
 ) -> dict[int, object]:
     """Values at 0-based positions of the sorted column; one row per position returns."""
     wanted = sorted(set(int(p) for p in positions))
@@ -90,19 +98,19 @@ def nth_values(
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], window_rows: int = WINDOW_ROWS
+    df: DataFrame, value: str, probs: Sequence[float], window_rows: int | None = None
 ) -> list[float] | None:
     """Exact linearly interpolated quantiles of a numeric column; None if it has no values.
 
-    Up to ``window_rows`` distinct values go through the built-in weighted
-    percentile, whose state is then bounded; more are ranked in slices.
+    A bounded number of distinct values goes through the built-in weighted
+    percentile, whose state holds all of them; more are ranked by position.
     """
     numeric = df.select(F.col(value).cast("double").alias(value))
     counts = value_counts(numeric, value)
     distinct, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not distinct:
         return None
-    if distinct <= window_rows:
+    if distinct <= (PERCENTILE_VALUES if window_rows is None else window_rows):
         found = counts.agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))).first()
         return [float(v) for v in found[0]]
     spots = [p * (total - 1) for p in probs]
@@ -119,16 +127,14 @@ def quantile_table(
     value: str,
     probs: Sequence[float],
     by: Sequence[str],
-    window_rows: int = WINDOW_ROWS,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group as rows (by…, prob, quantile)."""
     by = list(by)
     numeric = df.select(*by, F.col(value).cast("double").alias(value))
     counts = value_counts(numeric, value, by)
     run = running_totals(counts, value, ["n"], by, window_rows)
-    sizes = settle(counts.groupBy(*by).agg(F.sum("n").alias("_total")), "sizes")
-    sized = lookup(run, sizes, by, spread=[*by, value])
-    spot = lambda p: p * (F.col("_total") - 1)
+    spot = lambda p: p * (F.col("n_all") - 1)
     inside = lambda pos: (pos < F.col("n_upto")) & (pos >= F.col("n_upto") - F.col("n"))
     ends = F.array(
         *[
@@ -142,7 +148,7 @@ def quantile_table(
             for side, end in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    hits = sized.select(*by, value, F.explode(F.filter(ends, lambda e: inside(e["pos"]))).alias("_e"))
+    hits = run.select(*by, value, F.explode(F.filter(ends, lambda e: inside(e["pos"]))).alias("_e"))
     low = F.max(F.when(F.col("_e.side") == "lo", F.col(value)))
     high = F.max(F.when(F.col("_e.side") == "hi", F.col(value)))
     return hits.groupBy(*by, F.col("_e.prob").alias("prob")).agg(
@@ -173,11 +179,8 @@ def cut_per_group(
         keyed.groupBy(*groups, "_prefix").agg(F.count(F.lit(1)).alias("n")), "prefixes"
     )
     run = running_totals(per_prefix, "_prefix", ["n"], groups)
-    sizes = per_prefix.groupBy(*groups).agg(F.sum("n").alias("_size"))
-    goal = sizes.select(
-        *groups, F.least(want(F.col("_size")).cast("bigint"), F.col("_size")).alias("_want")
-    )
-    sized = lookup(run, settle(goal, "goals"), groups, spread=[*groups, "_prefix"])
+    goal = F.least(want(F.col("n_all")).cast("bigint"), F.col("n_all"))
+    sized = run.withColumn("_want", goal)
     before = F.col("n_upto") - F.col("n")
     edge = settle(
         sized.where((F.col("_want") > before) & (F.col("_want") <= F.col("n_upto"))).select(

@@ -82,12 +82,23 @@ def clip(value: Column, low: float | None = None, high: float | None = None) ->
     return out
 
 
+def _count_edges(edges: list[float], reached) -> Column:
+    """How many sorted edges a value has reached, as a balanced tree of comparisons."""
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high + 1) // 2
+        return F.when(reached(F.lit(float(edges[mid - 1]))), pick(mid, high)).otherwise(pick(low, mid - 1))
+
+    return pick(0, len(edges))
+
+
 def bin_right_open(value: Column, edges: list[float]) -> Column:
     """Number of edges <= value: 1 is the first bin, len(edges) means at or past the last edge."""
-    return sum([(value >= F.lit(float(e))).cast("int") for e in edges], F.lit(0))
+    return _count_edges(edges, lambda e: value >= e)
 
 
 def bin_right_closed(value: Column, edges: list[float]) -> Column:
     """0-based index of the bin (edge, next edge]; the first edge belongs to bin 0."""
-    above = sum([(value > F.lit(float(e))).cast("int") for e in edges], F.lit(0))
-    return F.greatest(above - 1, F.lit(0))
+    return F.greatest(_count_edges(edges, lambda e: value > e) - 1, F.lit(0))

@@ -220,10 +220,9 @@ def add_local_rank(df: DataFrame, context: str, target: str, ident: str = "row_i
     """
     counts = value_counts(df.where(F.col(context).isNotNull()), target, [context])
     run = running_totals(counts, target, ["n"], [context])
-    sizes = settle(counts.groupBy(context).agg(F.sum("n").alias("_size")), "sizes")
-    pct = (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2.0) / F.col("_size")
+    pct = (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2.0) / F.col("n_all")
     name = f"{context}_local_spend_rank"
-    ranked = lookup(run, sizes, context, spread=[context, target]).select(context, target, pct.alias(name))
+    ranked = run.select(context, target, pct.alias(name))
     joined = lookup(df, settle(ranked, "ranks"), [context, target], spread=ident)
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
 

@@ -56,13 +56,10 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Sum of precision times the recall gained at each distinct score, best score first."""
-    counts = _score_counts(df, label, score)
-    run = running_totals(counts, score, ["pos", "n"])
-    all_pos, all_n = counts.agg(F.sum("pos"), F.sum("n")).first()
-    at_least_pos = F.lit(all_pos) - F.col("pos_upto") + F.col("pos")
-    at_least_n = F.lit(all_n) - F.col("n_upto") + F.col("n")
-    gained = F.sum(F.col("pos") * at_least_pos / at_least_n)
-    return run.agg((gained / F.nullif(F.lit(float(all_pos or 0)), F.lit(0.0))).alias("average_precision"))
+    run = running_totals(_score_counts(df, label, score), score, ["pos", "n"])
+    at_least = lambda t: F.col(f"{t}_all") - F.col(f"{t}_upto") + F.col(t)
+    gained = F.sum(F.col("pos") * at_least("pos") / at_least("n"))
+    return run.agg((gained / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
 def huber(truth: Column, pred: Column, delta: float = 1.0) -> Column:

@@ -15,6 +15,8 @@ from cohortal.core.settle import settle
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 PAID_FROM = 150.0
+# Profile rows are wide (maps and lists), so fewer of them may be broadcast.
+WIDE_ROWS = 20_000
 _BUILT: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -144,7 +146,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions with the user's nested history on each row: the raw model input."""
     rows = impressions(spark, sf_dir).drop("ts", "k")
-    return lookup(rows, profiles(spark, sf_dir), "user_id", spread="row_id", max_rows=20_000).drop("user_id")
+    return lookup(rows, profiles(spark, sf_dir), "user_id", spread="row_id", max_rows=WIDE_ROWS).drop("user_id")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Compare registered queries with their oracles on one data folder.
 
-usage: python tools/parity.py [sf_dir] [name ...]
+usage: python tools/parity.py [--large] [sf_dir] [name ...]
+
+--large lowers every size limit so that all queries take the paths meant for
+tables that do not fit a broadcast or a single window.
 """
 
 from __future__ import annotations
@@ -58,9 +61,24 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     return False, f"{len(mine)} vs {len(theirs)} rows, {len(bad)} differ\n  spark  {str(first[0])[:400]}\n  oracle {str(first[1])[:400]}"
 
 
+def use_large_paths() -> None:
+    from cohortal.core import lookup, ranks  # noqa: F401
+    from cohortal.sources import views
+
+    modules = sys.modules
+    modules["cohortal.core.lookup"].BROADCAST_ROWS = 3
+    modules["cohortal.core.lookup"].SALTS = 4
+    modules["cohortal.core.ranks"].WINDOW_ROWS = 3
+    modules["cohortal.core.ranks"].PERCENTILE_VALUES = 3
+    views.WIDE_ROWS = 3
+
+
 def main() -> int:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
+    args = [a for a in sys.argv[1:] if a != "--large"]
+    if "--large" in sys.argv:
+        use_large_paths()
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or list(QUERIES)
     spark, con, failed = local_session(8), connect(sf_dir), []
     for name in names:
         start = time.time()
