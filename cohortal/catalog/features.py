@@ -227,6 +227,15 @@ def country_stats(spark, sf_dir):
     return rounded(out.drop("country"))
 
 
+@query(
+    "value_freq",
+    f"""WITH {IMPRESSIONS} SELECT carrier, {r("count(*) / (SELECT count(carrier) FROM imp)", "carrier_freq")} FROM imp
+    WHERE carrier IS NOT NULL GROUP BY carrier""",
+)
+def value_freq(spark, sf_dir):
+    return rounded(features.group_share(impressions(spark, sf_dir), "carrier", "carrier_freq"))
+
+
 @query(
     "map_lookup",
     f"""WITH {IMPRESSIONS}, s AS (SELECT carrier, avg(value) AS m FROM imp WHERE k < 30 AND carrier <> 'carrier2' GROUP BY carrier)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from cohortal.catalog.registry import query, rounded
+from cohortal.catalog.registry import query, r, rounded
+from cohortal.catalog.views_sql import SCORED
 from cohortal.core.settle import settle
 from cohortal.functions.gates import expected_value
 from cohortal.models.buyer import train_classifier
@@ -15,7 +14,7 @@ from cohortal.models.distill import student_report, train_student, train_teacher
 from cohortal.models.revenue import train_revenue
 from cohortal.models.stacking import train_stacking
 from cohortal.operators import features, sampling, splits
-from cohortal.operators.metrics import average_precision, evaluate, horizon_report, roc_auc
+from cohortal.operators.metrics import evaluate, horizon_report
 from cohortal.plans.scoring import evaluate_holdout
 from cohortal.plans.training import Settings, train_run
 from cohortal.sources.views import impressions, scored, wide_impressions
@@ -38,11 +37,6 @@ def encoded_split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return settle(train, "train"), settle(val, "val")
 
 
-def _labelled(parts: dict[str, DataFrame], name: str) -> DataFrame:
-    tagged = [df.select(F.lit(k).alias(name), "*") for k, df in parts.items()]
-    return rounded(reduce(DataFrame.unionByName, tagged), 4)
-
-
 @query("gbt_buyer")
 def gbt_buyer(spark, sf_dir):
     train, val = encoded_split(spark, sf_dir)
@@ -59,19 +53,32 @@ def gbt_high_value(spark, sf_dir):
     return rounded(model.metrics(val, "high_value"), 4)
 
 
-@query("calibration")
-def calibration(spark, sf_dir):
-    df = scored(spark, sf_dir).select("buyer_d7", "buyer_proba")
-    parts = {}
-    for method in ("none", "platt", "isotonic", "beta"):
+def _calibrated(method: str):
+    """Mean and Brier score of the calibrated stand-in probability, and its range."""
+
+    def run(spark, sf_dir):
+        df = scored(spark, sf_dir).select("buyer_d7", "buyer_proba")
         fitted = fit_calibrator(df, "buyer_proba", "buyer_d7", method, regularization=0.05, epsilon=1e-4)
-        out = fitted.apply(df, "buyer_proba")
-        parts[method] = out.agg(
-            F.min("buyer_proba").alias("low"), F.max("buyer_proba").alias("high"),
-            F.avg("buyer_proba").alias("mean"),
-            F.avg(F.pow(F.col("buyer_proba") - F.col("buyer_d7"), 2.0)).alias("brier"),
+        p, y = F.col("buyer_proba"), F.col("buyer_d7")
+        return rounded(
+            fitted.apply(df, "buyer_proba").agg(
+                F.min(p).alias("low"), F.max(p).alias("high"), F.avg(p).alias("mean"),
+                F.avg(F.pow(p - y, F.lit(2.0))).alias("brier"),
+            ),
+            4,
         )
-    return _labelled(parts, "method")
+
+    return run
+
+
+query("platt")(_calibrated("platt"))
+query("isotonic")(_calibrated("isotonic"))
+query("beta_cal")(_calibrated("beta"))
+query(
+    "no_calibration",
+    f"""WITH {SCORED} SELECT {r('min(buyer_proba)', 'low', 4)}, {r('max(buyer_proba)', 'high', 4)},
+    {r('avg(buyer_proba)', 'mean', 4)}, {r('avg(power(buyer_proba - buyer_d7, 2))', 'brier', 4)} FROM scored""",
+)(_calibrated("none"))
 
 
 def _revenue(spark, sf_dir, objective, **params):

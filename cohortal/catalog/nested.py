@@ -179,7 +179,7 @@ def recency_fractional(spark, sf_dir):
 
 
 @query(
-    "hash_encode",
+    "hash_encode_md5",
     f"""WITH {IMPRESSIONS} SELECT row_id, datetime,
       {", ".join(f"{md5_code(f"coalesce({c}, '__missing__')")} AS {c}" for c in ('carrier', 'dev_os', 'country'))}
     FROM imp""",

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortal.sources.files import read_params
 
 
 def with_vector(df: DataFrame, columns: Sequence[str], name: str = "features") -> DataFrame:
-    """Add the model vector next to the row's own columns; absent columns and nulls become 0."""
-    fills = {
-        f"_f{i}": (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0))
-        for i, c in enumerate(columns)
-    }
-    made = df.withColumns(fills)
-    return VectorAssembler(inputCols=list(fills), outputCol=name).transform(made).drop(*fills)
+    """Add the model vector next to the row's own columns; absent columns and nulls become 0.
+
+    A frame that already carries the vector is returned as it is, so stages
+    that share their inputs build it once.
+    """
+    if name in df.columns:
+        return df
+    values = [
+        F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in columns
+    ]
+    return df.select("*", array_to_vector(F.array(*values)).alias(name))
 
 
 def training_frame(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -36,9 +36,7 @@ class BuyerModel:
     def score(self, df: DataFrame, name: str = "buyer_proba", raw: bool = False) -> DataFrame:
         """Add P(label = 1); ``raw`` skips the calibrator."""
         out = self.model.transform(with_vector(df, self.columns))
-        out = out.withColumn(name, positive_probability()).drop(
-            "features", "rawPrediction", "probability", "prediction"
-        )
+        out = out.select(*df.columns, positive_probability().alias(name))
         return out if raw or self.calibrator is None else self.calibrator.apply(out, name)
 
     def importance(self, spark: SparkSession) -> DataFrame:

@@ -76,7 +76,12 @@ def fit_calibrator(
         "_cal", F.col(label).cast("double").alias("_y"), weight.alias("_w")
     )
     if method == "isotonic":
-        fitted = IsotonicRegression(featuresCol="_cal", labelCol="_y", predictionCol="_cal_out").fit(data)
+        # Equal scores pool anyway: one weighted point per distinct score gives the same step function.
+        points = df.groupBy(F.col(score).alias("_x")).agg(
+            F.avg((F.col(label) == 1).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
+        )
+        stairs = IsotonicRegression(featuresCol="_cal", labelCol="_y", weightCol="_w", predictionCol="_cal_out")
+        fitted = stairs.fit(_vector(points.withColumnRenamed("_x", score), method, score, epsilon))
         return Calibrator(method, epsilon, fitted)
     logistic = LogisticRegression(
         featuresCol="_cal", labelCol="_y", weightCol="_w", probabilityCol="_cal_p",

@@ -56,7 +56,6 @@ class RevenueModel:
         out = with_vector(df, self.columns)
         names = []
         for days, model in sorted(self.models.items()):
-            scored = model.transform(out)
             if self.objective == "log_trees":
                 value = F.expm1(F.col("_out"))
             elif self.objective == "tweedie":
@@ -64,8 +63,8 @@ class RevenueModel:
             else:
                 value = F.col("_out")
             names.append(f"{prefix}_d{days}")
-            out = scored.withColumn(names[-1], clip(value, 0.0)).drop("_out", "_link")
-        out = out.drop("features")
+            out = model.transform(out).select(*out.columns, clip(value, 0.0).alias(names[-1]))
+        out = out.select(*df.columns, *names)
         return enforce_order(out, names) if ordered else out
 
     def save(self, path: str) -> None:

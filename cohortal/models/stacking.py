@@ -53,9 +53,9 @@ class StackingModel:
     def score(self, df: DataFrame, name: str = "stacked") -> DataFrame:
         """Add the stacked prediction, clipped at 0."""
         bases = [f"base_{b}" for b in self.bases]
-        out = _predict_all(with_vector(df, self.columns), self.bases).drop("features")
+        out = _predict_all(with_vector(df, self.columns), self.bases).select(*df.columns, *bases)
         out = self.meta.transform(with_vector(out, bases))
-        return out.withColumn(name, clip(F.col("prediction"), 0.0)).drop("features", "prediction", *bases)
+        return out.select(*df.columns, clip(F.col("prediction"), 0.0).alias(name))
 
     def save(self, path: str) -> None:
         for name, model in self.bases.items():

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, LongType, NumericType
+from pyspark.sql.types import NumericType
 
 from cohortal.core.keys import sample_key
 from cohortal.core.lookup import lookup
@@ -136,36 +136,37 @@ def zero_anchors(
 
     Zero rows of the hour are drawn (repeated when too few). An hour without any
     gives ordinary rows with every numeric column set to 0. New identifiers end
-    in ``_za<i>``. The row-number limit is applied before the shuffle, so an
-    hour sends at most a few rows per task.
+    in ``_za<i>``. Rows are ranked on identifiers only, with the row-number limit
+    applied before the shuffle; the few chosen rows are then fetched by a join.
     """
     if rows_per_hour <= 0 or "datetime" not in df.columns:
         return df
-    is_zero = (F.col(revenue) == 0).cast("int")
+    ids = df.select(
+        ident,
+        "datetime",
+        F.coalesce((F.col(revenue) == 0).cast("int"), F.lit(0)).alias("_zero"),
+        sample_key(ident, seed, portable).alias("_key"),
+    )
     order = Window.partitionBy("datetime").orderBy(F.desc("_zero"), "_key", ident)
     firsts = settle(
-        df.withColumn("_zero", F.coalesce(is_zero, F.lit(0)))
-        .withColumn("_key", sample_key(ident, seed, portable))
-        .withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") <= rows_per_hour),
+        ids.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= rows_per_hour).drop("_key"),
         "anchors",
     )
-    hours = settle(
-        firsts.groupBy("datetime").agg(
-            F.max("_zero").alias("_any_zero"),
-            F.when(F.max("_zero") == 1, F.sum("_zero")).otherwise(F.count(F.lit(1))).alias("_usable"),
-        ),
-        "hours",
-    )
-    usable = lookup(firsts, hours, "datetime", spread=ident).where(
-        (F.col("_any_zero") == 0) | (F.col("_zero") == 1)
+    hours = firsts.groupBy("datetime").agg(
+        F.max("_zero").alias("_any_zero"),
+        F.when(F.max("_zero") == 1, F.sum("_zero")).otherwise(F.count(F.lit(1))).alias("_usable"),
     )
     slots = F.filter(
         F.sequence(F.lit(1), F.lit(rows_per_hour)),
         lambda i: F.pmod(i - F.lit(1), F.col("_usable")) == F.col("_rn") - 1,
     )
-    drawn = usable.withColumn("_slot", F.explode(slots))
-    no_zero = F.col("_any_zero") == 0
+    chosen = (
+        lookup(firsts, settle(hours, "hours"), "datetime", spread=ident)
+        .where((F.col("_any_zero") == 0) | (F.col("_zero") == 1))
+        .select(ident, slots.alias("_slots"), (F.col("_any_zero") == 0).alias("_no_zero"))
+    )
+    fetched = lookup(df, settle(chosen, "chosen"), ident, spread=ident, how="inner", skewed=False)
+    drawn = fetched.withColumn("_slot", F.explode("_slots"))
 
     def value(c: str) -> Column:
         kind = df.schema[c].dataType
@@ -174,7 +175,7 @@ def zero_anchors(
         if c == revenue:
             return F.lit(0.0).cast(kind).alias(c)
         if isinstance(kind, NumericType):
-            return F.when(no_zero, F.lit(0).cast(kind)).otherwise(F.col(c)).alias(c)
+            return F.when(F.col("_no_zero"), F.lit(0).cast(kind)).otherwise(F.col(c)).alias(c)
         return F.col(c)
 
     anchors = drawn.select(*[value(c) for c in df.columns])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortal.functions.scalars import bin_right_closed
 from cohortal.core.ranks import quantile_table
+from cohortal.operators.features import fit_quantile_bins, quantile_bin
 from cohortal.operators.missing import align_matrix
 from cohortal.operators.profiling import correlations
 
@@ -147,15 +148,17 @@ def f_scores(df: DataFrame, columns: Sequence[str], label: str, task: str = "cla
 
 
 def binned_mutual_information(
-    df: DataFrame, columns: Sequence[str], label: str, bins: int = 10
+    df: DataFrame, columns: Sequence[str], label: str, bins: int = 10, task: str = "classification"
 ) -> DataFrame:
     """(feature, mutual_information) in nats over quantile bins of each feature.
 
     A plug-in estimate on bins, not a nearest-neighbour one. Edges of all
     features come from one long table; joint counts are at most
-    features x bins x classes rows.
+    features x bins x classes rows. A regression target is binned as well.
     """
     cols = list(columns)
+    if task == "regression":
+        df = df.withColumn(label, quantile_bin(label, fit_quantile_bins(df, label, bins)))
     long = align_matrix(df, cols, keep=[label]).unpivot([label], cols, "feature", "value")
     found = quantile_table(long, "value", [i / bins for i in range(bins + 1)], ["feature"]).collect()
     edges = {c: sorted({r["quantile"] for r in found if r["feature"] == c}) for c in cols}

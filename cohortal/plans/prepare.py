@@ -134,18 +134,22 @@ class Preparation:
     revenue_cap: float | None = 500.0
     portable_hash: bool = False
 
-    def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Lazy chain of projections: no shuffle and no action.
-
-        Labels, keys and the ``keep`` columns travel in a struct, which no step touches.
-        """
+    def flatten(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Indicators and nested columns; labels, keys and ``keep`` wait in a struct no step touches."""
         kept = [c for c in dict.fromkeys([*NON_FEATURES, *keep]) if c in df.columns]
-        boxed = df.withColumn("_kept", F.struct(*kept)).drop(*kept)
-        out = flatten_nested(add_indicators(boxed, self.imputer.indicators), self.reference)
-        out = engineer(apply_imputer(out, self.imputer), portable_hash=self.portable_hash)
+        boxed = df.select(F.struct(*kept).alias("_kept"), *[c for c in df.columns if c not in kept])
+        return flatten_nested(add_indicators(boxed, self.imputer.indicators), self.reference)
+
+    def finish(self, flat: DataFrame) -> DataFrame:
+        """Fill, engineer, drop constants and cap the revenue labels."""
+        out = engineer(apply_imputer(flat, self.imputer), portable_hash=self.portable_hash)
         out = out.select("_kept.*", *[c for c in out.columns if c != "_kept" and c not in self.constants])
         return cap_revenue(out, self.revenue_cap, REVENUE_TARGETS) if self.revenue_cap else out
 
+    def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Lazy chain of projections: no shuffle and no action."""
+        return self.finish(self.flatten(df, keep))
+
     def to_params(self) -> dict[str, Any]:
         return {
             "imputer": self.imputer.to_params(), "features": self.features, "constants": self.constants,
@@ -166,16 +170,16 @@ def fit_preparation(
 ) -> tuple[Preparation, DataFrame]:
     """(fitted preparation, settled prepared training rows).
 
-    The flattened rows are written once; the fits then scan single columns of
-    that table instead of repeating the nested work.
+    The flattened rows are written once: the nested work is not repeated, and
+    the fits scan single columns of the written table.
     """
     names = [c for c in train.columns if c not in NON_FEATURES]
     indicators = fit_indicators(train.select(*names), indicator_threshold)
-    flat = settle(flatten_nested(add_indicators(train, indicators), reference), "flat")
-    imputer = fit_imputer(flat.drop(*NON_FEATURES))
-    imputer.indicators = indicators
-    prep = Preparation(imputer, [], [], reference, revenue_cap, portable_hash)
-    prepared = settle(prep.apply(train), "prepared")
+    prep = Preparation(Imputer(indicators=indicators), [], [], reference, revenue_cap, portable_hash)
+    flat = settle(prep.flatten(train), "flat")
+    prep.imputer = fit_imputer(flat.drop("_kept"))
+    prep.imputer.indicators = indicators
+    prepared = settle(prep.finish(flat), "prepared")
     prep.constants = constant_columns(prepared)
     prepared = prepared.drop(*prep.constants)
     prep.features = numeric_features(prepared)

@@ -16,6 +16,7 @@ from cohortal.functions.gates import (
     scale_probability,
     whale_multiplier,
 )
+from cohortal.models.base import with_vector
 from cohortal.models.buyer import BuyerModel, load_classifier, train_classifier
 from cohortal.models.calibration import fit_calibrator
 from cohortal.models.revenue import RevenueModel, load_revenue, train_revenue
@@ -91,11 +92,11 @@ class TrainedRun:
 
     def stage_scores(self, prepared: DataFrame, gated: bool = True) -> DataFrame:
         """Buyer, whale and revenue predictions of prepared rows, revenue gated if asked."""
-        out = self.buyer.score(prepared, "buyer_proba")
+        out = self.buyer.score(with_vector(prepared, self.prep.features), "buyer_proba")
         out = out.withColumn("buyer_proba", scale_probability(F.col("buyer_proba"), self.alpha))
         if self.whale is not None:
             out = self.whale.score(out, "whale_proba")
-        out = self.revenue.score(out)
+        out = self.revenue.score(out).drop("features")
         if not gated:
             return out
         g, w = self.settings.gating, self.settings.whale_gate
@@ -158,19 +159,18 @@ def train_run(raw: DataFrame, settings: Settings | None = None, val_raw: DataFra
     """Train every stage on labelled raw rows.
 
     Without ``val_raw`` the rows are split by stratum. Anchors are added to the
-    training part only. Prepared rows are settled before the fits.
+    training part only. Both the split and the anchors are filters and small
+    tables over the raw scan; the first full copy written is the flattened one.
     """
     s = deepcopy(settings) if settings else Settings()
     if val_raw is None:
-        split = settle(
-            stratified_split(raw, s.train_fraction, s.stratify, seed=s.seed, portable=s.portable), "split"
-        )
+        split = stratified_split(raw, s.train_fraction, s.stratify, seed=s.seed, portable=s.portable)
         train_raw = split.where("split = 'train'").drop("split")
         val_raw = split.where("split = 'val'").drop("split")
     else:
         train_raw = raw
     if s.anchors_per_hour > 0:
-        train_raw = settle(zero_anchors(train_raw, s.anchors_per_hour, seed=s.seed, portable=s.portable), "anchored")
+        train_raw = zero_anchors(train_raw, s.anchors_per_hour, seed=s.seed, portable=s.portable)
 
     prep, train = fit_preparation(train_raw, s.reference, s.revenue_cap, portable_hash=s.portable)
     val = settle(prep.apply(val_raw), "val")
