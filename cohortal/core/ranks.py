@@ -19,6 +19,8 @@ from cohortal.core.settle import settle
 
 WINDOW_ROWS = 500_000
 PERCENTILE_VALUES = 500_000
+EDGE_ROWS = 200_000
+MAX_PREFIX_BITS = 14
 
 
 def value_counts(
@@ -162,34 +164,44 @@ def cut_per_group(
     key: Column,
     ident: str,
     want: Callable[[Column], Column],
-    bits: int = 14,
+    bits: int | None = None,
 ) -> DataFrame:
     """Flag (column ``picked``) the ``want(size)`` rows of each group with the lowest (key, ident).
 
-    Two narrow passes find each group's exact cut-off: counts per key prefix,
-    then the order inside the one prefix where the cut falls, which holds about
-    one row in 2**bits. The rows themselves are filtered in place, not shuffled.
+    Narrow passes find each group's exact cut-off: group sizes, then, when the
+    largest group exceeds EDGE_ROWS, counts per key prefix, then the order inside
+    the one prefix where the cut falls (one row in 2**bits of the group). The
+    rows themselves are filtered in place, not shuffled. ``ident`` is unique.
     """
     groups = list(by) or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(0))
+    sizes = settle(source.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    if bits is None:
+        largest = sizes.agg(F.max("n")).first()[0] or 1
+        bits = min(MAX_PREFIX_BITS, max(0, math.ceil(math.log2(largest / EDGE_ROWS))))
     keyed = source.withColumn("_key", key).withColumn(
         "_prefix", F.shiftright(F.col("_key"), KEY_BITS - bits).cast("int")
     )
-    per_prefix = settle(
-        keyed.groupBy(*groups, "_prefix").agg(F.count(F.lit(1)).alias("n")), "prefixes"
-    )
-    run = running_totals(per_prefix, "_prefix", ["n"], groups)
-    goal = F.least(want(F.col("n_all")).cast("bigint"), F.col("n_all"))
-    sized = run.withColumn("_want", goal)
-    before = F.col("n_upto") - F.col("n")
-    edge = settle(
-        sized.where((F.col("_want") > before) & (F.col("_want") <= F.col("n_upto"))).select(
-            *groups, F.col("_prefix").alias("_edge"), (F.col("_want") - before).alias("_rest")
-        ),
-        "edges",
-    )
+    goal = lambda n: F.least(want(n).cast("bigint"), n)
+    if bits == 0:
+        edge = sizes.select(
+            *groups, F.lit(0).alias("_edge"), goal(F.col("n")).alias("_rest")
+        ).where(F.col("_rest") > 0)
+    else:
+        per_prefix = settle(
+            keyed.groupBy(*groups, "_prefix").agg(F.count(F.lit(1)).alias("n")), "prefixes"
+        )
+        run = running_totals(per_prefix, "_prefix", ["n"], groups)
+        before = F.col("n_upto") - F.col("n")
+        sized = run.withColumn("_want", goal(F.col("n_all")))
+        edge = settle(
+            sized.where((F.col("_want") > before) & (F.col("_want") <= F.col("n_upto"))).select(
+                *groups, F.col("_prefix").alias("_edge"), (F.col("_want") - before).alias("_rest")
+            ),
+            "edges",
+        )
     narrow = keyed.select(*groups, "_key", "_prefix", ident)
-    at_edge = lookup(narrow, edge, groups, spread=ident).where(F.col("_prefix") == F.col("_edge"))
+    at_edge = lookup(narrow, edge, groups, spread=ident, how="inner").where(F.col("_prefix") == F.col("_edge"))
     order = Window.partitionBy(*groups, "_prefix").orderBy("_key", ident)
     cuts = settle(
         at_edge.withColumn("_rn", F.row_number().over(order))

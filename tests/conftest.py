@@ -13,6 +13,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "tests")
+    # Tiny inputs: compiling a stage takes longer than interpreting it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
@@ -32,6 +34,7 @@ def large_paths(monkeypatch):
     monkeypatch.setattr(lookup, "SALTS", 4)
     monkeypatch.setattr(ranks, "WINDOW_ROWS", 2)
     monkeypatch.setattr(ranks, "PERCENTILE_VALUES", 2)
+    monkeypatch.setattr(ranks, "EDGE_ROWS", 2)
 
 
 @pytest.fixture

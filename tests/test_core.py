@@ -106,12 +106,13 @@ def test_lookup_spreads_a_hot_key(spark, large_paths, many_slices):
 
 @pytest.mark.parametrize("large", [False, True])
 @pytest.mark.parametrize("portable", [False, True])
-def test_cut_per_group_equals_row_number(spark, request, large, portable):
+@pytest.mark.parametrize("bits", [None, 3])
+def test_cut_per_group_equals_row_number(spark, request, large, portable, bits):
     if large:
         request.getfixturevalue("large_paths")
     df = heavy_frame(spark)
     key = sample_key("row_id", 7, portable)
-    got = cut_per_group(df, ["g"], key, "row_id", lambda n: F.floor(n * 0.37), bits=3).toPandas()
+    got = cut_per_group(df, ["g"], key, "row_id", lambda n: F.floor(n * 0.37), bits=bits).toPandas()
     keyed = df.withColumn("key", key).toPandas()
     keyed["rank"] = keyed.sort_values(["key", "row_id"]).groupby("g").cumcount()
     keyed["want"] = (keyed.groupby("g")["row_id"].transform("count") * 0.37).astype(int)

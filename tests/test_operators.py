@@ -351,7 +351,8 @@ def test_importance_and_elimination_find_the_signal(spark):
     assert selection.eliminate_recursively(df, cols, "y", n_features=1, rounds=2) == ["signal"]
     assert selection.keep_top_k(selection.f_scores(df, cols, "y"), "f_value", 1) == ["signal"]
     assert selection.keep_top_k(selection.binned_mutual_information(df, cols, "y"), "mutual_information", 1) == ["signal"]
-    mi = selection.binned_mutual_information(df, cols, "signal", task="regression")
+    doubled = df.withColumn("target", F.col("signal") * 2.0)
+    mi = selection.binned_mutual_information(doubled, cols, "target", task="regression")
     assert selection.keep_top_k(mi, "mutual_information", 1) == ["signal"]
     chosen, report = selection.select_features(df, cols, "y", rounds=3)
     assert "signal" in chosen and report.final_features == len(chosen) <= report.initial_features

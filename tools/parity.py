@@ -70,6 +70,7 @@ def use_large_paths() -> None:
     modules["cohortal.core.lookup"].SALTS = 4
     modules["cohortal.core.ranks"].WINDOW_ROWS = 3
     modules["cohortal.core.ranks"].PERCENTILE_VALUES = 3
+    modules["cohortal.core.ranks"].EDGE_ROWS = 3
     views.WIDE_ROWS = 3
 
 
