@@ -15,6 +15,7 @@ def spark():
     session = local_session(8, "tests")
     # Tiny inputs: compiling a stage takes longer than interpreting it.
     session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 
