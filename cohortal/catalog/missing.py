@@ -96,8 +96,8 @@ def impute_apply(spark, sf_dir):
 
 @query(
     "impute_summary",
-    "SELECT * FROM (VALUES ('mode', 2), ('median', 2), ('large_value', 1), ('zero', 1), ('special_value', 1)) "
-    "t(strategy, n_columns)",
+    "SELECT strategy, CAST(n AS BIGINT) AS n_columns FROM (VALUES ('mode', 2), ('median', 2), ('large_value', 1), "
+    "('zero', 1), ('special_value', 1)) t(strategy, n)",
 )
 def impute_summary(spark, sf_dir):
     return missing.fit_imputer(gappy(spark, sf_dir)).summary(spark)
@@ -125,7 +125,7 @@ WITH_NULLS = " + ".join(f"CAST(count(*) > count({c}) AS BIGINT)" for c in GAPPY_
 
 @query(
     "missing_summary",
-    f"""WITH {GAPPY_SQL} SELECT count(*) AS n_rows, {len(GAPPY_COLUMNS)} AS n_columns,
+    f"""WITH {GAPPY_SQL} SELECT count(*) AS n_rows, {len(GAPPY_COLUMNS)}::BIGINT AS n_columns,
       count(*) * {len(GAPPY_COLUMNS)} AS total_cells, {NULLS} AS missing_cells,
       {r(f"100.0 * ({NULLS}) / (count(*) * {len(GAPPY_COLUMNS)})", 'missing_pct')},
       {WITH_NULLS} AS columns_with_missing FROM gappy""",

@@ -113,7 +113,7 @@ def pred_diagnostics(spark, sf_dir):
     df = scored(spark, sf_dir)
     found = metrics.prediction_diagnostics(df, "pred_d7").drop("unique_rounded")
     unique = metrics.prediction_diagnostics(df, "buyer_proba").first()["unique_rounded"]
-    return rounded(found.withColumn("unique_rounded", F.lit(unique)))
+    return rounded(found.withColumn("unique_rounded", F.lit(unique).cast("bigint")))
 
 
 @query(

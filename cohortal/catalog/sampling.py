@@ -78,7 +78,7 @@ def buyer_filter(spark, sf_dir):
 )
 def zero_buyer_removal(spark, sf_dir):
     kept, report = splits.paying_buyers(impressions(spark, sf_dir), "buyer_d7", "iap_revenue_d1")
-    return rounded(report.withColumn("n_kept", F.lit(kept.count())))
+    return rounded(report.withColumn("n_kept", F.lit(kept.count()).cast("bigint")))
 
 
 @query(

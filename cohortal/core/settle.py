@@ -6,6 +6,8 @@ for the planner, and is scanned with column pruning by every later step.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,8 +19,9 @@ _LOCAL_DIRS: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for settled tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a folder of its own;
-    a cluster session must name one, as executors share no local disk.
+    Only a local-mode session without that setting gets a folder of its own,
+    removed when the process ends; a cluster session must name one, as executors
+    share no local disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
@@ -28,12 +31,14 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
     return _LOCAL_DIRS[app]
 
 
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+    """Write ``df`` once, in the application's own subfolder, and return a scan of it."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/settled/{label}-{uuid.uuid4().hex}"
+    folder = f"{scratch_dir(spark)}/settled/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -134,3 +134,22 @@ def test_sample_key_range(spark):
     keys = heavy_frame(spark).select(sample_key("row_id").alias("a"), sample_key("row_id", portable=True).alias("b"))
     row = keys.agg(F.min("a"), F.max("a"), F.min("b"), F.max("b"), F.count_distinct("a")).first()
     assert row[0] >= 0 and row[2] >= 0 and row[1] < 1 << 60 and row[3] < 1 << 60 and row[4] == 3000
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Session())
+    Session.conf.get = staticmethod(lambda name, default=None: "hdfs:///shared/")
+    assert scratch_dir(Session()) == "hdfs:///shared"
