@@ -7,17 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortal.core.settle import settle
-from cohortal.llm import fm_index, mixing, risk_rules
+from cohortal.llm import automata, fm_index, hmm, mixing, risk_rules, url_templates
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.filter_urls(pages, settle).drop("url")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), settle)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(read(spark, sf_dir, "documents"), settle)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), settle).taken().drop("row")
 
@@ -27,6 +36,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digest(fm_index.find_benchmark(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return automata.digest(automata.find_secrets(docs, settle))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op5_mix_sources, op6_decontaminate)
+    f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_lm_score, op5_mix_sources, op6_decontaminate, op9_secret_scan)
 }

@@ -7,13 +7,17 @@ so no Python object is made per word. Words are named by 64-bit hashes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
 PIECE_BYTES = 1 << 20
 BATCH_ROWS = 256
 
@@ -22,7 +26,15 @@ _STEP = np.uint64(0x5851F42D4C957F2D)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_ROWS`` rows, as one row may hold a very long text."""
+    """Arrow batches of at most ``BATCH_ROWS`` rows, as one row may hold a very long text.
+
+    Also lets Python workers find this package where the driver runs it from a
+    folder that is not on their path.
+    """
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
