@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortal.core.settle import settle
-from cohortal.llm import automata, fm_index, hmm, mixing, risk_rules, url_templates
+from cohortal.llm import adapt_join, automata, fm_index, gam, hmm, kernels, mixing, risk_rules, url_templates
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,34 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digest(fm_index.find_benchmark(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapt_join.document_classes(read(spark, sf_dir, "documents"), settle)
+
+
+def op8_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), settle)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return automata.digest(automata.find_secrets(docs, settle))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.identify_languages(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_quality_rules, op3_lm_score, op5_mix_sources, op6_decontaminate, op9_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_quality_rules,
+        op3_lm_score,
+        op5_mix_sources,
+        op6_decontaminate,
+        op7_ngram_join,
+        op8_quality_score,
+        op9_secret_scan,
+        op10_language,
+    )
 }

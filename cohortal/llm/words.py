@@ -182,7 +182,8 @@ def sequence_hash(hashes: np.ndarray) -> int:
     """One hash for a whole sequence of words."""
     if not len(hashes):
         return 0
-    return int(mix(np.array([(hashes * _powers(len(hashes) + 1)[1:]).sum(dtype=np.uint64)]) + np.uint64(len(hashes)) * _GOLD)[0])
+    total = (hashes * _powers(len(hashes) + 1)[1:]).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total + np.array([len(hashes)], np.uint64) * _GOLD)[0])
 
 
 def per_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
