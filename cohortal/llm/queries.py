@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortal.core.settle import settle
-from cohortal.llm import adapt_join, automata, fm_index, gam, hmm, kernels, mixing, risk_rules, url_templates
+from cohortal.llm import adapt_join, automata, fm_index, gam, hmm, kernels, mixing, risk_rules, url_templates, wrappers
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(read(spark, sf_dir, "documents"), settle)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(read(spark, sf_dir, "pages"), settle)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), settle).taken().drop("row")
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_url_filter,
         op2_quality_rules,
         op3_lm_score,
+        op4_main_text,
         op5_mix_sources,
         op6_decontaminate,
         op7_ngram_join,
