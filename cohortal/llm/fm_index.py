@@ -8,7 +8,6 @@ backwards at once, and occurrences are located from sampled suffix positions.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -294,9 +293,15 @@ def _cut(text: str, spans_: list[list[int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
 
 
-def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
-    """Cut the hit spans out of the texts; the three search columns go. Texts without hits stay as they are."""
+def remove_spans(found: DataFrame, text: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """Cut the hit spans out of the texts; the three search columns go. Texts without hits stay as they are.
+
+    With ``drop_emptied``, rows whose words were all cut are dropped.
+    """
     columns = [c for c in found.columns if c not in ("n_words", "hit_spans", "hit_items")]
+    if drop_emptied:
+        n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda total, span: total + span[1] - span[0])
+        found = found.where((n_hit == 0) | (n_hit < F.col("n_words")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,8 +314,3 @@ def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names[:-1])
 
     return found.select(*columns, "hit_spans").mapInArrow(run, found.select(*columns).schema)
-
-
-def items_hash(items: list[str]) -> str:
-    """The digest of ``digest`` for one list of items."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
