@@ -57,9 +57,23 @@ def missing_profile(spark, sf_dir):
     return rounded(missing.missing_profile(gappy(spark, sf_dir)))
 
 
+@query(
+    "most_missing",
+    f"WITH {GAPPY_SQL}, m AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {_absent(c)}) AS n_missing, count(*) AS n, '{kind}' AS dtype FROM gappy"
+        for c, kind, _ in KINDS
+    )
+    + ") SELECT column_name, n_missing, round(100.0 * n_missing / n, 6) + 0 AS pct_missing, dtype FROM m WHERE n_missing > 0"
+    " ORDER BY n_missing DESC, column_name LIMIT 3",
+)
+def most_missing(spark, sf_dir):
+    return rounded(missing.most_missing(gappy(spark, sf_dir), 3))
+
+
 FILLS_SQL = """fills AS (
-  SELECT (SELECT dev_os FROM gappy WHERE dev_os IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dev_os,
-    (SELECT carrier FROM gappy WHERE carrier IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS carrier,
+  SELECT (SELECT dev_os FROM gappy WHERE dev_os NOT IN ('None', '') GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dev_os,
+    (SELECT carrier FROM gappy WHERE carrier NOT IN ('None', '') GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS carrier,
     (SELECT quantile_cont(wifi_ratio, 0.5) FROM gappy) AS wifi_ratio,
     (SELECT quantile_cont(zip_code_digit, 0.5) FROM gappy) AS zip_code_digit)"""
 

@@ -223,12 +223,12 @@ def topk_semi(spark, sf_dir):
     f"WITH {IMPRESSIONS} "
     + " UNION ALL ".join(
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r(f'corr({a}, {b})', 'corr', 5)} FROM imp"
-        for i, a in enumerate(("value", "hour", "iap_revenue_d7", "iap_revenue_d14"))
-        for b in ("value", "hour", "iap_revenue_d7", "iap_revenue_d14")[i + 1 :]
+        for i, a in enumerate(("value", "hour", "iap_revenue_d7", "wifi_ratio", "iap_revenue_d14"))
+        for b in ("value", "hour", "iap_revenue_d7", "wifi_ratio", "iap_revenue_d14")[i + 1 :]
     ),
 )
 def corr_matrix(spark, sf_dir):
-    cols = ("value", "hour", "iap_revenue_d7", "iap_revenue_d14")
+    cols = ("value", "hour", "iap_revenue_d7", "wifi_ratio", "iap_revenue_d14")
     return rounded(profiling.correlations(impressions(spark, sf_dir), cols), 5)
 
 

@@ -144,7 +144,7 @@ def feature_parquet(spark, sf_dir):
 
 @query(
     "prediction_csv",
-    f"WITH {IMPRESSIONS} SELECT row_id, round(value * 0.5::DOUBLE, 6) AS iap_revenue_d7 FROM imp",
+    f"WITH {IMPRESSIONS} SELECT CAST(row_id AS VARCHAR) AS row_id, round(value * 0.5::DOUBLE, 6) AS iap_revenue_d7 FROM imp",
 )
 def prediction_csv(spark, sf_dir):
     path = f"{scratch_dir(spark)}/sinks/predictions-{uuid.uuid4().hex}"

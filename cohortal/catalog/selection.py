@@ -14,17 +14,21 @@ MODEL_COLUMNS = ("hour", "weekday", "value", "k", "avg_act_days", "weekend_ratio
 
 
 def _corr_columns(spark, sf_dir):
-    """Lineitem measures plus two that nearly repeat another."""
+    """Lineitem measures, two that nearly repeat another, and two with gaps."""
     return table(spark, sf_dir, "lineitem").select(
         *LINE,
         (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("net_price"),
         (F.col("l_quantity") * 3.0 + F.col("l_tax")).alias("scaled_quantity"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax") + 50.0).alias("gappy_tax"),
+        F.when(F.col("l_linenumber") % 3 != 1, F.col("l_quantity") * 2.0).alias("gappy_quantity"),
     )
 
 
-CORR_COLUMNS = (*LINE, "net_price", "scaled_quantity")
+CORR_COLUMNS = (*LINE, "net_price", "scaled_quantity", "gappy_tax")
 CORR_SQL = """c AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax,
-  l_extendedprice * (1 - l_discount) AS net_price, l_quantity * 3 + l_tax AS scaled_quantity FROM lineitem)"""
+  l_extendedprice * (1 - l_discount) AS net_price, l_quantity * 3 + l_tax AS scaled_quantity,
+  CASE WHEN l_linenumber % 3 != 0 THEN l_tax + 50 END AS gappy_tax,
+  CASE WHEN l_linenumber % 3 != 1 THEN l_quantity * 2 END AS gappy_quantity FROM lineitem)"""
 
 
 @query(
@@ -59,8 +63,10 @@ def high_corr_pairs(spark, sf_dir):
     "high_corr_drop",
     # net_price follows l_extendedprice and scaled_quantity follows l_quantity; the larger variance stays.
     f"""WITH {CORR_SQL}, s AS (SELECT corr(l_extendedprice, net_price) > 0.95 AS a, corr(l_quantity, scaled_quantity) > 0.95 AS b,
+      corr(l_tax, gappy_tax) > 0.95 AS g, var_samp(gappy_tax) >= var_samp(l_tax) AS vg,
       var_samp(net_price) > var_samp(l_extendedprice) AS va, var_samp(scaled_quantity) > var_samp(l_quantity) AS vb FROM c)
-    SELECT 'l_discount' AS feature UNION ALL SELECT 'l_tax'
+    SELECT 'l_discount' AS feature
+    UNION ALL SELECT CASE WHEN vg THEN 'gappy_tax' ELSE 'l_tax' END FROM s WHERE g
     UNION ALL SELECT CASE WHEN va THEN 'net_price' ELSE 'l_extendedprice' END FROM s WHERE a
     UNION ALL SELECT CASE WHEN vb THEN 'scaled_quantity' ELSE 'l_quantity' END FROM s WHERE b""",
 )
@@ -86,12 +92,12 @@ def f_test_classes(spark, sf_dir):
     "f_test_regression",
     f"WITH {CORR_SQL} "
     + " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, {r(f'power(corr({c}, l_tax), 2) * (count(*) - 2) / (1 - power(corr({c}, l_tax), 2))', 'f_value', 4)} FROM c"""
-        for c in ("l_quantity", "l_extendedprice", "l_discount", "net_price")
+        f"""SELECT '{c}' AS feature, {r(f'power(corr({c}, l_tax), 2) * (count({c}) - 2) / (1 - power(corr({c}, l_tax), 2))', 'f_value', 4)} FROM c"""
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "net_price", "gappy_quantity")
     ),
 )
 def f_test_regression(spark, sf_dir):
-    wanted = ("l_quantity", "l_extendedprice", "l_discount", "net_price")
+    wanted = ("l_quantity", "l_extendedprice", "l_discount", "net_price", "gappy_quantity")
     return rounded(selection.f_scores(_corr_columns(spark, sf_dir), wanted, "l_tax", task="regression"), 4)
 
 

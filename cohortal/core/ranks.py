@@ -18,9 +18,8 @@ from cohortal.core.lookup import lookup
 from cohortal.core.settle import settle
 
 WINDOW_ROWS = 500_000
-PERCENTILE_VALUES = 500_000
 EDGE_ROWS = 200_000
-MAX_PREFIX_BITS = 14
+TOP_ROWS = 10_000  # up to so many first rows are taken as one top-k
 
 
 def value_counts(
@@ -104,17 +103,14 @@ def quantiles(
 ) -> list[float] | None:
     """Exact linearly interpolated quantiles of a numeric column; None if it has no values.
 
-    A bounded number of distinct values goes through the built-in weighted
-    percentile, whose state holds all of them; more are ranked by position.
+    The two values around each quantile are found by rank and interpolated here,
+    with the same formula at every size.
     """
     numeric = df.select(F.col(value).cast("double").alias(value))
     counts = value_counts(numeric, value)
     distinct, total = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
     if not distinct:
         return None
-    if distinct <= (PERCENTILE_VALUES if window_rows is None else window_rows):
-        found = counts.agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))).first()
-        return [float(v) for v in found[0]]
     spots = [p * (total - 1) for p in probs]
     ends = [(math.floor(s), math.ceil(s)) for s in spots]
     at = nth_values(counts, value, [e for pair in ends for e in pair], window_rows)
@@ -130,11 +126,12 @@ def quantile_table(
     probs: Sequence[float],
     by: Sequence[str],
     window_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact quantiles per group as rows (by…, prob, quantile)."""
+    """Exact quantiles per group as rows (by…, prob, quantile); ``counts`` are the value's counts if there are any."""
     by = list(by)
-    numeric = df.select(*by, F.col(value).cast("double").alias(value))
-    counts = value_counts(numeric, value, by)
+    if counts is None:
+        counts = value_counts(df.select(*by, F.col(value).cast("double").alias(value)), value, by)
     run = running_totals(counts, value, ["n"], by, window_rows)
     spot = lambda p: p * (F.col("n_all") - 1)
     inside = lambda pos: (pos < F.col("n_upto")) & (pos >= F.col("n_upto") - F.col("n"))
@@ -158,6 +155,33 @@ def quantile_table(
     )
 
 
+def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in the order of ``order`` (nulls first), whose last column identifies a row.
+
+    A few rows are taken as a top-k. For more, the n-th key is found from counts
+    per value, one column after the other, and the rows are filtered in place.
+    """
+    if n <= TOP_ROWS:
+        return df.orderBy(*order).limit(n)
+    before, same, left = F.lit(False), F.lit(True), n
+    for name in order:
+        rows = df.where(same).select(name)
+        nulls = rows.where(F.col(name).isNull()).count()
+        if left <= nulls:
+            same = same & F.col(name).isNull()
+            continue
+        counts = value_counts(rows, name)
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        if left > nulls + total:
+            return df.where(before | same)
+        left -= nulls
+        edge = nth_values(counts, name, [left - 1])[left - 1]
+        left -= counts.where(F.col(name) < F.lit(edge)).agg(F.sum("n")).first()[0] or 0
+        before = before | (same & (F.col(name).isNull() | (F.col(name) < F.lit(edge))))
+        same = same & (F.col(name) == F.lit(edge))
+    return df.where(before | same)
+
+
 def cut_per_group(
     df: DataFrame,
     by: Sequence[str],
@@ -178,9 +202,9 @@ def cut_per_group(
     sizes = settle(source.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     if bits is None:
         largest = sizes.agg(F.max("n")).first()[0] or 1
-        bits = min(MAX_PREFIX_BITS, max(0, math.ceil(math.log2(largest / EDGE_ROWS))))
+        bits = min(KEY_BITS, max(0, math.ceil(math.log2(largest / EDGE_ROWS))))
     keyed = source.withColumn("_key", key).withColumn(
-        "_prefix", F.shiftright(F.col("_key"), KEY_BITS - bits).cast("int")
+        "_prefix", F.shiftright(F.col("_key"), KEY_BITS - bits).cast("bigint")
     )
     goal = lambda n: F.least(want(n).cast("bigint"), n)
     if bits == 0:

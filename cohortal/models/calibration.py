@@ -60,11 +60,13 @@ def fit_calibrator(
     regularization: float = 1e-3,
     epsilon: float = 1e-6,
     max_iter: int = 200,
+    digits: int = 6,
 ) -> Calibrator:
     """Fit on a scored, labelled table; a label with one class gives the identity.
 
     The logistic penalty is per-row in Spark, so the total penalty is divided by
-    the weighted row count. Classes are weighted to equal totals.
+    the weighted row count. Classes are weighted to equal totals. The isotonic fit
+    takes scores rounded to ``digits`` places, so it has at most 10**digits + 1 points.
     """
     if method not in METHODS:
         raise ValueError(f"unsupported calibration method: {method}")
@@ -76,8 +78,8 @@ def fit_calibrator(
         "_cal", F.col(label).cast("double").alias("_y"), weight.alias("_w")
     )
     if method == "isotonic":
-        # Equal scores pool anyway: one weighted point per distinct score gives the same step function.
-        points = df.groupBy(F.col(score).alias("_x")).agg(
+        # Equal scores pool anyway: one weighted point per rounded score.
+        points = df.groupBy(F.round(F.col(score), digits).alias("_x")).agg(
             F.avg((F.col(label) == 1).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
         )
         stairs = IsotonicRegression(featuresCol="_cal", labelCol="_y", weightCol="_w", predictionCol="_cal_out")

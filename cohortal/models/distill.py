@@ -8,34 +8,53 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortal.functions.scalars import clip
-from cohortal.models.base import positive_probability
+from cohortal.models.base import positive_probability, stored_params
 from cohortal.operators.metrics import evaluate, roc_auc
+from cohortal.sources.files import write_params
 
-MAX_CATEGORIES = 1_000
+CATEGORY_BUCKETS = 256
 
 
-def _pipeline(numeric: Sequence[str], categories: Sequence[str], estimator: Any) -> Pipeline:
-    """Indexes categories by frequency (unseen values share one index) and assembles the vector."""
+def _pipeline(numeric: Sequence[str], categories: Sequence[str], estimator: Any, wide: Sequence[str] = (), buckets: int = CATEGORY_BUCKETS) -> Pipeline:
+    """Indexes categories by frequency (unseen values share one index) and assembles the vector.
+
+    Categories in ``wide`` are first hashed into ``buckets`` groups.
+    """
     indexed = [f"{c}_ix" for c in categories]
     stages: list[Any] = []
+    source = {c: c for c in categories}
+    if wide:
+        source |= {c: f"{c}_bucket" for c in wide}
+        made = ", ".join(f"CAST(pmod(xxhash64(`{c}`), {buckets}) AS STRING) AS `{c}_bucket`" for c in wide)
+        stages.append(SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"))
     if categories:
-        stages.append(StringIndexer(inputCols=list(categories), outputCols=indexed, handleInvalid="keep"))
+        stages.append(StringIndexer(inputCols=[source[c] for c in categories], outputCols=indexed, handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=[*numeric, *indexed], outputCol="features", handleInvalid="keep"))
     return Pipeline(stages=[*stages, estimator])
 
 
-def _max_bins(df: DataFrame, categories: Sequence[str]) -> int:
+def _widths(df: DataFrame, categories: Sequence[str], buckets: int) -> tuple[list[str], int]:
+    """Categories with more values than ``buckets``, and the bins that the others and the buckets need."""
     if not categories:
-        return 32
-    widest = df.agg(F.greatest(F.lit(0), *[F.approx_count_distinct(c) for c in categories])).first()[0]
-    if widest > MAX_CATEGORIES:
-        raise ValueError("hash or group categories with more than %d values first" % MAX_CATEGORIES)
-    return max(32, int(widest * 1.2) + 2)
+        return [], 32
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in categories]).first()
+    wide = [c for c in categories if counts[c] > buckets]
+    narrow = max((counts[c] for c in categories if c not in wide), default=0)
+    return wide, max(32, narrow + 2, (buckets + 2) if wide else 0)
+
+
+def _save_pair(model: Any, path: str) -> None:
+    model.classifier.write().overwrite().save(f"{path}/classifier")
+    model.regressor.write().overwrite().save(f"{path}/regressor")
+
+
+def _load_pair(path: str) -> tuple[PipelineModel, PipelineModel]:
+    return PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/regressor")
 
 
 @dataclass
@@ -52,6 +71,10 @@ class Teacher:
         expected = F.expm1(clip(F.col("prediction"), 0.0)) * F.col("p_teacher_buy")
         return out.select(*keep, "p_teacher_buy", expected.alias("rev_teacher_expected"))
 
+    def save(self, path: str) -> None:
+        _save_pair(self, path)
+        write_params(SparkSession.active(), {"columns": self.columns}, f"{path}/params")
+
 
 def train_teacher(
     df: DataFrame,
@@ -62,15 +85,19 @@ def train_teacher(
     log_target: str = "iap_revenue_d7_log",
     rounds: int = 20,
     depth: int = 5,
+    buckets: int = CATEGORY_BUCKETS,
 ) -> Teacher:
-    """Classifier on all rows; regressor on (rebalanced) buyers against log1p revenue."""
-    bins = _max_bins(df, categories)
+    """Classifier on all rows; regressor on (rebalanced) buyers against log1p revenue.
+
+    Categories with more than ``buckets`` values are hashed into so many groups.
+    """
+    wide, bins = _widths(df, categories, buckets)
     size = dict(maxIter=rounds, maxDepth=depth, maxBins=bins, seed=42)
     clf = GBTClassifier(featuresCol="features", labelCol=label, **size)
     reg = GBTRegressor(featuresCol="features", labelCol=log_target, **size)
     return Teacher(
-        _pipeline(numeric, categories, clf).fit(df.withColumn(label, F.col(label).cast("double"))),
-        _pipeline(numeric, categories, reg).fit(buyers_log),
+        _pipeline(numeric, categories, clf, wide, buckets).fit(df.withColumn(label, F.col(label).cast("double"))),
+        _pipeline(numeric, categories, reg, wide, buckets).fit(buyers_log),
         [*numeric, *categories],
     )
 
@@ -87,18 +114,35 @@ class Student:
         out = self.regressor.transform(out)
         return out.select(*keep, "p_student_buy", clip(F.col("prediction"), 0.0).alias("rev_student"))
 
+    def save(self, path: str) -> None:
+        _save_pair(self, path)
+
 
 def train_student(
-    taught: DataFrame, numeric: Sequence[str], categories: Sequence[str], rounds: int = 20, depth: int = 4
+    taught: DataFrame,
+    numeric: Sequence[str],
+    categories: Sequence[str],
+    rounds: int = 20,
+    depth: int = 4,
+    buckets: int = CATEGORY_BUCKETS,
 ) -> Student:
     """Two small regressors on the teacher's soft targets."""
-    size = dict(maxIter=rounds, maxDepth=depth, maxBins=_max_bins(taught, categories), seed=42)
+    wide, bins = _widths(taught, categories, buckets)
+    size = dict(maxIter=rounds, maxDepth=depth, maxBins=bins, seed=42)
     fit = lambda target: _pipeline(
-        numeric, categories, GBTRegressor(featuresCol="features", labelCol=target, **size)
+        numeric, categories, GBTRegressor(featuresCol="features", labelCol=target, **size), wide, buckets
     ).fit(taught)
     return Student(fit("p_teacher_buy"), fit("rev_teacher_expected"))
 
 
+def load_teacher(spark: SparkSession, path: str) -> Teacher:
+    return Teacher(*_load_pair(path), stored_params(spark, path)["columns"])
+
+
+def load_student(spark: SparkSession, path: str) -> Student:
+    return Student(*_load_pair(path))
+
+
 def student_report(scored: DataFrame, label: str = "buyer_d7") -> DataFrame:
     """(metric, value): mse of p and rmse of revenue against the teacher, AUC against the label."""
     named = lambda df, metric, value: df.select(F.lit(metric).alias("metric"), value.alias("value"))

@@ -23,8 +23,6 @@ from cohortal.sources.files import write_params
 
 HORIZONS = (1, 7, 14)
 OBJECTIVES = ("log_trees", "tweedie", "huber")
-# exp() of the Tweedie link must stay finite for outlying rows.
-MAX_LOG_MEAN = 20.0
 
 
 def _fit_one(objective: str, data: DataFrame, with_val: bool, params: dict[str, Any]) -> Any:
@@ -51,15 +49,21 @@ class RevenueModel:
     columns: list[str]
     objective: str
 
-    def score(self, df: DataFrame, prefix: str = "pred", ordered: bool = True) -> DataFrame:
-        """Add ``<prefix>_d<N>`` per horizon, raised to non-decreasing order if asked."""
+    def score(
+        self, df: DataFrame, prefix: str = "pred", ordered: bool = True, max_log_mean: float | None = None
+    ) -> DataFrame:
+        """Add ``<prefix>_d<N>`` per horizon, raised to non-decreasing order if asked.
+
+        ``max_log_mean`` bounds the Tweedie link; without it an outlying row may be infinite.
+        """
         out = with_vector(df, self.columns)
         names = []
         for days, model in sorted(self.models.items()):
             if self.objective == "log_trees":
                 value = F.expm1(F.col("_out"))
             elif self.objective == "tweedie":
-                value = F.exp(F.least(F.col("_link"), F.lit(MAX_LOG_MEAN)))
+                link = F.col("_link")
+                value = F.exp(link if max_log_mean is None else F.least(link, F.lit(max_log_mean)))
             else:
                 value = F.col("_out")
             names.append(f"{prefix}_d{days}")

@@ -95,6 +95,11 @@ def missing_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def most_missing(df: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` columns with the largest share of missing cells, ties by name."""
+    return missing_profile(df).where("n_missing > 0").orderBy(F.desc("pct_missing"), "column_name").limit(k)
+
+
 def null_shares(df: DataFrame) -> dict[str, float]:
     """Share of nulls per column."""
     rows, counts = absent_counts(df, none_text=False)
@@ -141,12 +146,14 @@ def fit_imputer(
     df: DataFrame,
     overrides: Mapping[str, str] | None = None,
     indicator_threshold: float | None = None,
+    none_is_value: bool = False,
 ) -> Imputer:
     """Learn fills for the scalar columns that have a null or a 'None' text.
 
     Columns are counted in one pass. All medians then come from one long table
     of (column, value) counts, and all modes from another, so neither needs a
-    task that sees a whole column.
+    task that sees a whole column. The texts that count as gaps (``None`` and the
+    empty one) are never a mode; ``none_is_value=True`` lets them be.
     """
     scalar = [c for c in df.columns if _is_text(df, c) or _is_number(df, c)]
     rows, absent = absent_counts(df.select(*scalar))
@@ -175,7 +182,10 @@ def fit_imputer(
         long = df.select(*[F.col(c).cast(target).alias(c) for c in modes]).unpivot(
             [], modes, "column_name", "value"
         )
-        counted = long.where("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        real = F.col("value").isNotNull()
+        if kind and not none_is_value:
+            real &= ~F.col("value").isin("None", "")
+        counted = long.where(real).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
         best = counted.groupBy("column_name").agg(
             F.min(F.struct((-F.col("n")).alias("rank"), "value"))["value"].alias("value")
         )

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
-from cohortal.core.ranks import quantile_table, quantiles
-from cohortal.operators.missing import align_matrix
+from cohortal.core.ranks import quantile_table, quantiles, value_counts
+
+PAIRS_PER_PASS = 250
 
 
 def label_profile(df: DataFrame, label: str = "buyer_d7", revenue: str = "iap_revenue_d7") -> DataFrame:
@@ -61,10 +60,11 @@ def box_summary(df: DataFrame, group: str, value: str, log: bool = True) -> Data
     """(group, n, q1, median, q3) of a value, by default on the log1p scale."""
     x = F.log1p(F.col(value)) if log else F.col(value)
     base = df.select(group, x.alias("_x"))
-    found = quantile_table(base, "_x", [0.25, 0.5, 0.75], [group])
+    counts = value_counts(base.select(group, F.col("_x").cast("double").alias("_x")), "_x", [group])
+    found = quantile_table(base, "_x", [0.25, 0.5, 0.75], [group], counts=counts)
     at = lambda p, name: F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
     boxes = found.groupBy(group).agg(at(0.25, "q1"), at(0.5, "median"), at(0.75, "q3"))
-    sizes = base.groupBy(group).agg(F.count("_x").alias("n"))
+    sizes = counts.groupBy(group).agg(F.sum("n").alias("n"))
     return boxes.join(sizes, group).select(group, "n", "q1", "median", "q3")
 
 
@@ -93,46 +93,54 @@ def group_means(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, count, mean, std, min, q25, q50, q75, max, n_unique); exact quartiles."""
+    """(column_name, count, mean, std, min, q25, q50, q75, max, n_unique); exact quartiles.
+
+    All of it comes from one settled table of counts per column and value.
+    """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
     )
-    stats = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    unique = (
-        long.where("value IS NOT NULL")
-        .groupBy("column_name", "value")
-        .agg(F.lit(1))
+    counts = value_counts(long, "value", ["column_name"])
+    v, n = F.col("value"), F.col("n")
+    means = counts.groupBy("column_name").agg((F.sum(v * n) / F.sum(n)).alias("mean"))
+    spread = F.sum(n * (v - F.col("mean")) * (v - F.col("mean")))
+    stats = (
+        counts.join(F.broadcast(means), "column_name")
         .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("n_unique"))
+        .agg(
+            F.sum(n).alias("count"),
+            F.first("mean").alias("mean"),
+            F.sqrt(spread / F.nullif(F.sum(n) - 1, F.lit(0))).alias("std"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.count(F.lit(1)).alias("n_unique"),
+        )
     )
-    found = quantile_table(long, "value", [0.25, 0.5, 0.75], ["column_name"])
+    found = quantile_table(long, "value", [0.25, 0.5, 0.75], ["column_name"], counts=counts)
     at = lambda p, name: F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
     quarts = found.groupBy("column_name").agg(at(0.25, "q25"), at(0.5, "q50"), at(0.75, "q75"))
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     return (
-        stats.join(quarts, "column_name", "left")
-        .join(unique, "column_name", "left")
-        .select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max",
-                F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
+        named.join(stats.join(quarts, "column_name"), "column_name", "left")
+        .select("column_name", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean", "std", "min",
+                "q25", "q50", "q75", "max", F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
     )
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, corr) of the upper triangle; Spark sums the k x k products per partition."""
+    """(feature_a, feature_b, corr) of the upper triangle, each pair over the rows where both have a value.
+
+    One map-side combined aggregation for each ``PAIRS_PER_PASS`` pairs; a pair
+    without spread has no correlation (null).
+    """
     cols = list(columns)
-    filled = align_matrix(df, cols)
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(filled).select("_v")
-    matrix = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    rows = [
-        (cols[i], cols[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i in range(len(cols))
-        for j in range(i + 1, len(cols))
-    ]
+    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    rows = []
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[at : at + PAIRS_PER_PASS]
+        found = numeric.agg(F.array(*[F.corr(a, b) for a, b in part])).first()[0]
+        rows += [(a, b, None if v is None or v != v else float(v)) for (a, b), v in zip(part, found)]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, MapType, NumericType, StructType
 
 from cohortal.core.keys import KEY_BITS, sample_key
-from cohortal.core.ranks import cut_per_group, nth_values, quantiles, value_counts
+from cohortal.core.ranks import cut_per_group, first_rows, nth_values, quantiles, value_counts
 from cohortal.sources.hourly import scan_window
 
 # Labels and metadata that must never become model inputs.
@@ -65,7 +65,7 @@ def validation_or_fallback(
     if not val.isEmpty():
         return val
     key = sample_key(ident, seed, portable)
-    return train.orderBy(key, ident).limit(max(1, rows))
+    return first_rows(train.withColumn("_key", key), max(1, rows), ["_key", ident]).drop("_key")
 
 
 def stratified_split(

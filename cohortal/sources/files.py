@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-PREDICTION_SCHEMA = "row_id bigint, iap_revenue_d7 double"
+PREDICTION_SCHEMA = "row_id string, iap_revenue_d7 double"
 
 
 def write_features(df: DataFrame, path: str, by: str | None = None) -> None:

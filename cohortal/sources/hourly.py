@@ -9,19 +9,28 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from cohortal.core.keys import sample_key
 from cohortal.core.lookup import lookup
+from cohortal.core.ranks import first_rows
 from cohortal.core.settle import settle
 
 DATETIME_FORMAT = "yyyy-MM-dd-HH-mm"
 
 
-def read_hourly(spark: SparkSession, path: str) -> DataFrame:
-    """Table whose folders are ``datetime=<hour>``; the hour stays a string column."""
-    return spark.read.option("mergeSchema", "true").parquet(path).withColumn(
-        "datetime", F.col("datetime").cast("string")
-    )
+def read_hourly(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, merge: bool = False
+) -> DataFrame:
+    """Table whose folders are ``datetime=<hour>``; the hour stays a string column.
+
+    With a ``schema`` no footer is opened before a window prunes the folders.
+    Without one the columns are those of one file, or with ``merge`` of all files.
+    """
+    reader = spark.read.option("mergeSchema", str(merge).lower())
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.parquet(path).withColumn("datetime", F.col("datetime").cast("string"))
 
 
 def scan_window(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -60,8 +69,8 @@ def load_combined(df: DataFrame, start: str | None, end: str | None) -> DataFram
 
 
 def head_sample(df: DataFrame, n: int, ident: str = "row_id") -> DataFrame:
-    """First ``n`` rows in (datetime, row) order, run as a top-k without a full sort."""
-    return df.orderBy("datetime", ident).limit(n)
+    """First ``n`` rows in (datetime, row) order, without a full sort."""
+    return first_rows(df, n, ["datetime", ident])
 
 
 def datetime_from_path(path: Column) -> Column:
@@ -76,18 +85,16 @@ def with_path_datetime(df: DataFrame) -> DataFrame:
     return df.withColumn("path_datetime", datetime_from_path(F.col("_metadata.file_path")))
 
 
-def readable_files(spark: SparkSession, path: str, column: str) -> DataFrame:
+def readable_files(spark: SparkSession, path: str, column: str, kind: str | None = None) -> DataFrame:
     """Input files in which ``column`` can be read: (file_name, rows, labelled).
 
     Unreadable files are skipped by the reader; files lacking the column show
-    up as all-null under the merged schema and are filtered out.
+    up as all-null and are filtered out. With the column's type (``kind``) only
+    that column is opened; without it the schemas of all files are merged.
     """
-    df = (
-        spark.read.option("ignoreCorruptFiles", "true")
-        .option("mergeSchema", "true")
-        .option("recursiveFileLookup", "true")
-        .parquet(path)
-    )
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true")
+    reader = reader.schema(f"`{column}` {kind}") if kind else reader.option("mergeSchema", "true")
+    df = reader.parquet(path)
     return (
         df.select(F.col("_metadata.file_name").alias("file_name"), column)
         .groupBy("file_name")
@@ -111,7 +118,7 @@ def pick_groups(
 
 def limit_rows(df: DataFrame, n: int | None, order: Sequence[str] = ("row_id",)) -> DataFrame:
     """First ``n`` rows in a stated order; all rows when ``n`` is None."""
-    return df if n is None else df.orderBy(*order).limit(n)
+    return df if n is None else first_rows(df, n, order)
 
 
 def drop_missing_keys(df: DataFrame, keys: Sequence[str] = ("row_id", "datetime")) -> DataFrame:

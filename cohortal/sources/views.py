@@ -1,8 +1,8 @@
 """Impression and user-history tables derived from the event log.
 
 Labels come from a (user, day) aggregate, so windows run over at most one row
-per user and day. Histories are one conditional aggregation per user: every
-map and list has a fixed number of possible entries, whatever the user's rows.
+per user and day. Histories come from a (user, event type, weekday) aggregate, so a
+map or list has one entry per type or per type and weekday, not per event.
 Both are written once per session and folder and scanned afterwards.
 """
 
@@ -13,10 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from cohortal.core.lookup import lookup
 from cohortal.core.settle import settle
 
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 PAID_FROM = 150.0
-# Profile rows are wide (maps and lists), so fewer of them may be broadcast.
-WIDE_ROWS = 20_000
 _BUILT: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -108,36 +105,43 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user with map, list, session and histogram columns."""
 
     def make() -> DataFrame:
-        kind = F.col("advertiser_category")
-        cells = [(t, d) for t in EVENT_TYPES for d in range(7)]
-        agg = _events(spark, sf_dir).groupBy("user_id").agg(
-            *[F.count_if((kind == t) & (F.col("weekday") == d)).alias(f"n_{t}_{d}") for t, d in cells],
-            *[F.round(F.sum(F.when(kind == t, F.col("value"))), 2).alias(f"s_{t}") for t in EVENT_TYPES],
+        # One row per user, event type and weekday; types are whatever the log holds.
+        cells = _events(spark, sf_dir).groupBy("user_id", F.col("advertiser_category").alias("t"), F.col("weekday").alias("d")).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("value").alias("s"),
             *[F.count_if(F.col("hour") == h).alias(f"h_{h}") for h in range(24)],
             *[F.count_if(F.col("k") % 4 == m).alias(f"v_{m}") for m in range(4)],
         )
-        by_type = {t: sum([F.col(f"n_{t}_{d}") for d in range(7)], F.lit(0)).cast("double") for t in EVENT_TYPES}
-        by_day = {d: sum([F.col(f"n_{t}_{d}") for t in EVENT_TYPES], F.lit(0)).cast("double") for d in range(7)}
+        types = cells.groupBy("user_id", "t").agg(
+            F.sum("n").cast("double").alias("n"), F.round(F.sum("s"), 2).alias("s"), F.array_sort(F.collect_list("d")).alias("days"),
+            *[F.sum(F.when(F.col("d") == d, F.col("n")).otherwise(0)).alias(f"d_{d}") for d in range(7)],
+            *[F.sum(f"h_{h}").alias(f"h_{h}") for h in range(24)],
+            *[F.sum(f"v_{m}").alias(f"v_{m}") for m in range(4)],
+        )
+        summed = [*[f"d_{d}" for d in range(7)], *[f"h_{h}" for h in range(24)], *[f"v_{m}" for m in range(4)]]
+        agg = types.groupBy("user_id").agg(
+            F.array_sort(F.collect_list(F.struct("t", "n", "s", "days"))).alias("types"), *[F.sum(c).cast("double").alias(c) for c in summed]
+        )
         positive = lambda m: F.map_filter(m, lambda _, v: v.isNotNull() & (v > 0))
         as_map = lambda pairs: positive(F.create_map(*[x for name, c in pairs for x in (F.lit(name), c)]))
-        as_pairs = lambda pairs: F.filter(
-            F.array(*[F.struct(F.lit(name).alias("key"), c.alias("value")) for name, c in pairs]),
-            lambda p: p["value"].isNotNull() & (p["value"] > 0),
-        )
-        listed = lambda chosen: F.array_compact(
-            F.array(*[F.when(F.col(f"n_{t}_{d}") > 0, F.lit(t)) for t, d in chosen])
+        per_type = lambda make: F.transform("types", lambda x: F.struct(x["t"].alias("key"), make(x).alias("value")))
+        filled = lambda pairs: F.filter(pairs, lambda p: p["value"].isNotNull() & (p["value"] > 0))
+        type_map = lambda make: F.map_from_entries(filled(per_type(make)))
+        listed = lambda from_day: F.flatten(
+            F.transform("types", lambda x: F.transform(F.filter(x["days"], lambda d: d >= from_day), lambda _: x["t"]))
         )
+        days = F.array(*[F.struct(F.lit(f"d{d}").alias("key"), (F.col(f"d_{d}") / 4.0).alias("value")) for d in range(7)])
         return agg.select(
             "user_id",
-            as_map([(t, F.col(f"s_{t}")) for t in EVENT_TYPES]).alias("iap_revenue_usd_category"),
-            as_map([(t, by_type[t]) for t in EVENT_TYPES]).alias("num_buys_category"),
-            as_map([(f"{h:02d}", F.col(f"h_{h}").cast("double")) for h in range(24)]).alias("hour_ratio"),
-            listed(cells).alias("user_bundles"),
-            listed([(t, d) for t, d in cells if d >= 5]).alias("new_bundles"),
-            as_pairs([(f"d{d}", by_day[d] / 4.0) for d in range(7)]).alias("avg_daily_sessions"),
-            as_pairs([(t, F.col(f"s_{t}") / F.nullif(by_type[t], F.lit(0.0))) for t in EVENT_TYPES]).alias("avg_duration"),
-            as_map([(f"d{d}", by_day[d]) for d in range(7)]).alias("region_hist"),
-            as_map([(f"v{m}", F.col(f"v_{m}").cast("double")) for m in range(4)]).alias("dev_osv_hist"),
+            type_map(lambda x: x["s"]).alias("iap_revenue_usd_category"),
+            type_map(lambda x: x["n"]).alias("num_buys_category"),
+            as_map([(f"{h:02d}", F.col(f"h_{h}")) for h in range(24)]).alias("hour_ratio"),
+            listed(0).alias("user_bundles"),
+            listed(5).alias("new_bundles"),
+            filled(days).alias("avg_daily_sessions"),
+            filled(per_type(lambda x: x["s"] / x["n"])).alias("avg_duration"),
+            as_map([(f"d{d}", F.col(f"d_{d}")) for d in range(7)]).alias("region_hist"),
+            as_map([(f"v{m}", F.col(f"v_{m}")) for m in range(4)]).alias("dev_osv_hist"),
         )
 
     return _once(spark, sf_dir, "profiles", make)
@@ -146,7 +150,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions with the user's nested history on each row: the raw model input."""
     rows = impressions(spark, sf_dir).drop("ts", "k")
-    return lookup(rows, profiles(spark, sf_dir), "user_id", spread="row_id", max_rows=WIDE_ROWS).drop("user_id")
+    return lookup(rows, profiles(spark, sf_dir), "user_id", spread="row_id").drop("user_id")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,6 @@ def score_arriving(
     rows = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("recursiveFileLookup", "true")
         .parquet(source)
     )
     writer = (

@@ -31,10 +31,9 @@ def large_paths(monkeypatch):
     import cohortal.core  # noqa: F401
 
     lookup, ranks = sys.modules["cohortal.core.lookup"], sys.modules["cohortal.core.ranks"]
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 2)
-    monkeypatch.setattr(lookup, "SALTS", 4)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 20)
     monkeypatch.setattr(ranks, "WINDOW_ROWS", 2)
-    monkeypatch.setattr(ranks, "PERCENTILE_VALUES", 2)
+    monkeypatch.setattr(ranks, "TOP_ROWS", 0)
     monkeypatch.setattr(ranks, "EDGE_ROWS", 2)
 
 

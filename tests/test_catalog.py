@@ -10,6 +10,16 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1] / "tools"))
 import parity  # noqa: E402
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """Oracles are compared on the plans that production runs."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    yield
+    spark.conf.set(name, before)
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return parity.connect(sf_dir)

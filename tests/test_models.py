@@ -120,4 +120,4 @@ def test_stream_scores_like_the_batch(spark, run, tmp_path):
     query = score_arriving(spark, model, source, rows.schema, sink, str(tmp_path / "cp"), files_per_batch=1)
     query.awaitTermination(240)
     assert query.exception() is None
-    assert same(model.score(rows), read_predictions(spark, sink), "iap_revenue_d7")
+    assert same(model.score(rows), read_predictions(spark, sink, "row_id bigint, iap_revenue_d7 double"), "iap_revenue_d7")

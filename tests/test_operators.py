@@ -1,4 +1,5 @@
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -356,3 +357,38 @@ def test_importance_and_elimination_find_the_signal(spark):
     assert selection.keep_top_k(mi, "mutual_information", 1) == ["signal"]
     chosen, report = selection.select_features(df, cols, "y", rounds=3)
     assert "signal" in chosen and report.final_features == len(chosen) <= report.initial_features
+
+
+def test_correlations_use_pairwise_complete_rows(spark):
+    rows = [(float(i), None if i % 3 == 0 else i + 50.0, 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    found = {(r.feature_a, r.feature_b): r.corr for r in profiling.correlations(df, ["a", "b", "c"]).collect()}
+    assert found["a", "b"] == pytest.approx(1.0) and found["a", "c"] is None
+    assert selection.keep_by_correlation(df, ["a", "b"]) in (["a"], ["b"])
+
+
+def test_none_text_is_no_mode(spark):
+    df = spark.createDataFrame([("None",), ("None",), ("None",), ("x",), ("",), (None,)], "carrier string")
+    assert missing.fit_imputer(df, {"carrier": "mode"}).values["carrier"] == "x"
+    assert missing.fit_imputer(df, {"carrier": "mode"}, none_is_value=True).values["carrier"] == "None"
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 8, 13, 40])
+def test_first_rows_without_a_top_k(spark, large_paths, n):
+    rows = [(None if i % 5 == 0 else f"h{i % 3}", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "datetime string, row_id long")
+    found = sys.modules["cohortal.core.ranks"].first_rows(df, n, ["datetime", "row_id"])
+    assert sorted(r.row_id for r in found.collect()) == sorted(r.row_id for r in df.orderBy("datetime", "row_id").limit(n).collect())
+    if n:
+        assert "TakeOrdered" not in found._jdf.queryExecution().toString()
+
+
+def test_heavy_keys_are_shared_by_their_size(spark, monkeypatch):
+    module = sys.modules["cohortal.core.lookup"]
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(module, "ROWS_PER_TASK", 10)
+    rows = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
+    table = spark.range(600).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+    out = module.lookup(rows, settle(table), "key", spread="id")
+    assert out.count() == 600 and out.where("v <> key * 2").count() == 0
+    assert module._shares(200, 4) == 20 and module._shares(3, 4) == 4

@@ -76,7 +76,7 @@ def test_samples_and_limits(spark, hourly_path):
 def test_prediction_file_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 1e-12)], "row_id long, p double")
     files.write_predictions(df, str(tmp_path / "p"), "p")
-    assert sorted(files.read_predictions(spark, str(tmp_path / "p")).collect()) == [(1, 0.5), (2, 1e-12)]
+    assert sorted(files.read_predictions(spark, str(tmp_path / "p")).collect()) == [("1", 0.5), ("2", 1e-12)]
     files.write_predictions(df.where("row_id < 0"), str(tmp_path / "e"), "p")
     with pytest.raises(ValueError):
         files.read_predictions(spark, str(tmp_path / "e"))

@@ -66,12 +66,10 @@ def use_large_paths() -> None:
     from cohortal.sources import views
 
     modules = sys.modules
-    modules["cohortal.core.lookup"].BROADCAST_ROWS = 3
-    modules["cohortal.core.lookup"].SALTS = 4
+    modules["cohortal.core.lookup"].BROADCAST_BYTES = 20
     modules["cohortal.core.ranks"].WINDOW_ROWS = 3
-    modules["cohortal.core.ranks"].PERCENTILE_VALUES = 3
+    modules["cohortal.core.ranks"].TOP_ROWS = 0
     modules["cohortal.core.ranks"].EDGE_ROWS = 3
-    views.WIDE_ROWS = 3
 
 
 def main() -> int:
