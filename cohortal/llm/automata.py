@@ -219,7 +219,9 @@ def learn(docs: DataFrame, settle, text: str = "text") -> dict[str, Automaton]:
         lowest = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE)
         counted[kind] = {r["value"]: r["n"] for r in lowest.select("value", "n").collect()}
     out = {k: Automaton(v) for k, v in counted.items() if k != BACKGROUND and sum(v.values()) >= MIN_VALUES}
-    out[BACKGROUND] = Automaton(counted[BACKGROUND] or {"lhlhl": 1})
+    # Unlabelled secrets among the other tokens must not teach the background their format.
+    plain = {w: n for w, n in counted[BACKGROUND].items() if all(a.score(w) < len(w) * (THRESHOLD - math.log(len(CLASSES))) for a in out.values())}
+    out[BACKGROUND] = Automaton(plain or {"lhlhl": 1})
     return out
 
 
