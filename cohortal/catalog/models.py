@@ -149,7 +149,7 @@ def end_to_end(spark, sf_dir):
     raw = wide_impressions(spark, sf_dir)
     early = settle(raw.where("datetime < '2024-01-20-00-00'"), "early")
     late = raw.where("datetime >= '2024-01-20-00-00'")
-    run = train_run(early, Settings(reference="2024-01-31", rounds=5, depth=3, folds=3, horizons=(7, 14)))
+    run = train_run(early, Settings(reference="2024-01-31", rounds=5, depth=3, folds=3, oof_folds=2))
     metrics, diagnostics = evaluate_holdout(run, late)
     long = lambda df: df.select(*[F.col(c).cast("double").alias(c) for c in df.columns]).unpivot(
         [], df.columns, "measure", "result"

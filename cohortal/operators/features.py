@@ -212,39 +212,69 @@ def add_os_major(df: DataFrame) -> DataFrame:
 # --- statistics per group, attached to rows -------------------------------------------------
 
 
-def add_local_rank(df: DataFrame, context: str, target: str, ident: str = "row_id") -> DataFrame:
-    """Average-tie percent rank of the target inside each context; null target or context -> 0.5.
+def _local_tables(df: DataFrame, contexts: Sequence[str], target: str) -> tuple[DataFrame, DataFrame]:
+    """Settled (name, value, target, rank) and (name, value, mean) of all contexts, from one scan's counts.
 
     Ranks are computed on counts per (context, value), so ties are one row and
     no window ever holds a context's rows.
     """
-    counts = value_counts(df.where(F.col(context).isNotNull()), target, [context])
-    run = running_totals(counts, target, ["n"], [context])
+    long = df.select(target, *[F.col(c).cast("string").alias(c) for c in contexts]).unpivot(
+        [target], list(contexts), "_name", "_value"
+    )
+    counts = value_counts(long.where(F.col("_value").isNotNull()), target, ["_name", "_value"])
+    run = running_totals(counts, target, ["n"], ["_name", "_value"])
     pct = (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2.0) / F.col("n_all")
+    ranks = settle(run.select("_name", "_value", target, pct.alias("_rank")), "ranks")
+    total = F.sum(F.col(target) * F.col("n"))
+    means = settle(counts.groupBy("_name", "_value").agg((total / F.sum("n")).alias("_mean")), "means")
+    return ranks, means
+
+
+def _of_context(table: DataFrame, context: str, value: str, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    return settle(
+        table.where(F.col("_name") == context).select(F.col("_value").alias("_context"), *keep, F.col(value).alias(name)), "local"
+    )
+
+
+def _with_rank(df: DataFrame, ranks: DataFrame, context: str, target: str, ident: str) -> DataFrame:
     name = f"{context}_local_spend_rank"
-    ranked = run.select(context, target, pct.alias(name))
-    joined = lookup(df, settle(ranked, "ranks"), [context, target], spread=ident)
-    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
+    own = _of_context(ranks, context, "_rank", name, [target])
+    joined = lookup(df.withColumn("_context", F.col(context).cast("string")), own, ["_context", target], spread=ident)
+    return joined.withColumn(name, F.coalesce(F.col(name), F.lit(0.5))).drop("_context")
 
 
-def add_local_mean(df: DataFrame, context: str, target: str, ident: str = "row_id") -> DataFrame:
-    """Group mean of the target (0 when unknown) and the relative deviation from it."""
+def _with_mean(df: DataFrame, means: DataFrame, context: str, target: str, ident: str) -> DataFrame:
     name = f"{context}_local_avg_spend"
-    means = settle(
-        df.where(F.col(context).isNotNull()).groupBy(context).agg(F.avg(target).alias(name)), "means"
-    )
-    joined = lookup(df, means, context, spread=ident).withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
+    own = _of_context(means, context, "_mean", name)
+    joined = lookup(df.withColumn("_context", F.col(context).cast("string")), own, "_context", spread=ident).drop("_context")
+    joined = joined.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
     deviation = F.try_divide(F.col(target) - F.col(name), F.col(name) + F.lit(1.0))
     return joined.withColumn(f"{context}_spend_deviation", deviation)
 
 
+def add_local_rank(df: DataFrame, context: str, target: str, ident: str = "row_id") -> DataFrame:
+    """Average-tie percent rank of the target inside each context; null target or context -> 0.5."""
+    return _with_rank(df, _local_tables(df, [context], target)[0], context, target, ident)
+
+
+def add_local_mean(df: DataFrame, context: str, target: str, ident: str = "row_id") -> DataFrame:
+    """Group mean of the target (0 when unknown) and the relative deviation from it."""
+    return _with_mean(df, _local_tables(df, [context], target)[1], context, target, ident)
+
+
 def add_local_distributions(
     df: DataFrame, target: str, contexts: Sequence[str] = LOCAL_CONTEXTS, ident: str = "row_id"
 ) -> DataFrame:
-    """Rank, mean and deviation for every context present. These read the label: off by default."""
-    for context in contexts:
-        if context in df.columns and target in df.columns:
-            df = add_local_mean(add_local_rank(df, context, target, ident), context, target, ident)
+    """Rank, mean and deviation for every context present. These read the label: off by default.
+
+    The statistics of all contexts come from one pass over the original rows.
+    """
+    present = [c for c in contexts if c in df.columns]
+    if not present or target not in df.columns:
+        return df
+    ranks, means = _local_tables(df, present, target)
+    for context in present:
+        df = _with_mean(_with_rank(df, ranks, context, target, ident), means, context, target, ident)
     return df
 
 

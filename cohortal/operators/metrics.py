@@ -19,7 +19,8 @@ def regression_metrics(truth: Column, pred: Column) -> list[Column]:
     """msle, rmsle, rmse, mae, mape (percent over nonzero truth) and r2."""
     err = truth - pred
     sse = F.sum(err * err)
-    sst = F.var_pop(truth) * F.count(truth)
+    paired = F.when(err.isNotNull(), truth)
+    sst = F.var_pop(paired) * F.count(paired)
     msle = F.avg(log_error(truth, pred))
     return [
         msle.alias("msle"),
@@ -31,8 +32,19 @@ def regression_metrics(truth: Column, pred: Column) -> list[Column]:
     ]
 
 
-def evaluate(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    """All regression metrics, per group if asked."""
+def check_inputs(df: DataFrame, truth: str, pred: str) -> None:
+    """ValueError unless every truth and prediction is a finite number and no truth is negative."""
+    y, p = F.col(truth).cast("double"), F.col(pred).cast("double")
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    found = df.agg(F.count_if(odd(y)), F.count_if(odd(p)), F.count_if(y < 0)).first()
+    if any(found):
+        raise ValueError(f"{found[0]} truths and {found[1]} predictions are not finite, {found[2]} truths are negative")
+
+
+def evaluate(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), check: bool = False) -> DataFrame:
+    """All regression metrics, per group if asked; ``check`` refuses inputs that would hide in an average."""
+    if check:
+        check_inputs(df, truth, pred)
     return df.groupBy(*by).agg(*regression_metrics(F.col(truth), F.col(pred)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortal.core.ranks import quantile_table, quantiles, value_counts
 
@@ -127,6 +127,12 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def pair_correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows that have both values; null if one of them does not vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, corr) of the upper triangle, each pair over the rows where both have a value.
 
@@ -139,7 +145,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = []
     for at in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[at : at + PAIRS_PER_PASS]
-        found = numeric.agg(F.array(*[F.corr(a, b) for a, b in part])).first()[0]
+        found = numeric.agg(F.array(*[pair_correlation(F.col(a), F.col(b)) for a, b in part])).first()[0]
         rows += [(a, b, None if v is None or v != v else float(v)) for (a, b), v in zip(part, found)]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 

@@ -18,7 +18,7 @@ from cohortal.functions.scalars import bin_right_closed
 from cohortal.core.ranks import quantile_table
 from cohortal.operators.features import fit_quantile_bins, quantile_bin
 from cohortal.operators.missing import align_matrix
-from cohortal.operators.profiling import correlations
+from cohortal.operators.profiling import correlations, pair_correlation
 
 IMPORTANCE_SCHEMA = "feature string, importance double"
 # Feature sets compared with each other.
@@ -153,7 +153,7 @@ def f_scores(df: DataFrame, columns: Sequence[str], label: str, task: str = "cla
     stats = [
         F.struct(
             F.lit(c).alias("feature"),
-            F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias("r"),
+            pair_correlation(F.col(c).cast("double"), F.col(label).cast("double")).alias("r"),
             F.count_if(F.col(c).isNotNull() & F.col(label).isNotNull()).alias("n"),
         )
         for c in cols

@@ -40,7 +40,7 @@ def evaluate_holdout(run: TrainedRun, raw: DataFrame, **chosen: object) -> tuple
     """(metrics, diagnostics) of the run on labelled rows, both from one written scoring."""
     rows = select_rows(raw, **chosen).withColumn("truth", F.col("iap_revenue_d7"))
     scored = settle(run.score(rows, keep=("row_id", "truth")), "holdout")
-    return evaluate(scored, "truth", "iap_revenue_d7"), prediction_diagnostics(scored, "iap_revenue_d7")
+    return evaluate(scored, "truth", "iap_revenue_d7", check=True), prediction_diagnostics(scored, "iap_revenue_d7")
 
 
 def validate_submission(submission: DataFrame, sample: DataFrame, align: bool = False) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from copy import deepcopy
+from functools import reduce
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortal.core.keys import sample_key
 from cohortal.core.settle import settle
 from cohortal.functions.gates import (
     final_gate,
@@ -36,7 +38,7 @@ from cohortal.sources.files import read_params, write_params
 
 @dataclass
 class Settings:
-    """Run parameters; the defaults are the production values."""
+    """Run parameters. Rounds and depth are one size for all tree stages and meant to be raised in production."""
 
     reference: str = "2025-10-08"
     revenue_cap: float = 500.0
@@ -69,6 +71,7 @@ class Settings:
     rounds: int = 50
     depth: int = 5
     folds: int = 5
+    oof_folds: int = 5  # parts for the stage-3 training features; below 2 they come from the fitted rows
     seed: int = 42
     tune_on_gated: bool = False
     portable: bool = False
@@ -85,6 +88,7 @@ class TrainedRun:
     revenue: RevenueModel
     stacking: StackingModel | None = None
     alpha: float = 1.0
+    zero_rate_report: dict[str, Any] = field(default_factory=dict)
 
     @property
     def horizon_columns(self) -> dict[str, str]:
@@ -137,6 +141,7 @@ class TrainedRun:
         params: dict[str, Any] = {
             "settings": asdict(self.settings), "prep": self.prep.to_params(), "alpha": self.alpha,
             "has_whale": self.whale is not None, "has_stacking": self.stacking is not None,
+            "zero_rate_report": self.zero_rate_report,
         }
         write_params(SparkSession.active(), params, f"{path}/run")
 
@@ -152,30 +157,15 @@ def load_run(spark: SparkSession, path: str) -> TrainedRun:
         load_revenue(spark, f"{path}/revenue"),
         load_stacking(spark, f"{path}/stacking") if params["has_stacking"] else None,
         params["alpha"],
+        params.get("zero_rate_report", {}),
     )
 
 
-def train_run(raw: DataFrame, settings: Settings | None = None, val_raw: DataFrame | None = None) -> TrainedRun:
-    """Train every stage on labelled raw rows.
-
-    Without ``val_raw`` the rows are split by stratum. Anchors are added to the
-    training part only. Both the split and the anchors are filters and small
-    tables over the raw scan; the first full copy written is the flattened one.
-    """
-    s = deepcopy(settings) if settings else Settings()
-    if val_raw is None:
-        split = stratified_split(raw, s.train_fraction, s.stratify, seed=s.seed, portable=s.portable)
-        train_raw = split.where("split = 'train'").drop("split")
-        val_raw = split.where("split = 'val'").drop("split")
-    else:
-        train_raw = raw
-    if s.anchors_per_hour > 0:
-        train_raw = zero_anchors(train_raw, s.anchors_per_hour, seed=s.seed, portable=s.portable)
-
-    prep, train = fit_preparation(train_raw, s.reference, s.revenue_cap, portable_hash=s.portable)
-    val = settle(prep.apply(val_raw), "val")
+def fit_stages(
+    train: DataFrame, val: DataFrame, prep: Preparation, s: Settings
+) -> tuple[BuyerModel, BuyerModel | None, RevenueModel]:
+    """Calibrated buyer model, whale model (none without whales) and revenue models of prepared rows."""
     size = dict(maxIter=s.rounds, maxDepth=s.depth, seed=s.seed)
-
     buyer = train_classifier(train, val, prep.features, "buyer_d7", **size)
     raw_scores = settle(buyer.score(val, "p", raw=True).select("p", "buyer_d7"), "raw")
     buyer.calibrator = fit_calibrator(
@@ -199,7 +189,48 @@ def train_run(raw: DataFrame, settings: Settings | None = None, val_raw: DataFra
     revenue = train_revenue(
         balanced, paying_buyers(val)[0], prep.features, s.horizons, s.objective, **trees
     )
-    run = TrainedRun(s, prep, buyer, whale, revenue)
+    return buyer, whale, revenue
+
+
+def out_of_fold_meta(run: TrainedRun, train: DataFrame, val: DataFrame, keep: list[str]) -> DataFrame:
+    """Meta-features of the training rows from stages that never saw them.
+
+    Rows fall into ``oof_folds`` parts by a hash of their id. Each part is scored
+    by stages fitted on the others; a fold without whales borrows the whole run's
+    whale model. Fewer than two folds score the rows with the run itself.
+    """
+    s = run.settings
+    if s.oof_folds < 2:
+        return run.meta_table(run.stage_scores(train), keep)
+    fold = F.pmod(sample_key("row_id", s.seed + 1, s.portable), F.lit(s.oof_folds))
+    parts = []
+    for k in range(s.oof_folds):
+        buyer, whale, revenue = fit_stages(train.where(fold != k), val, run.prep, s)
+        other = TrainedRun(s, run.prep, buyer, whale or run.whale if run.whale else None, revenue, alpha=run.alpha)
+        parts.append(run.meta_table(other.stage_scores(train.where(fold == k)), keep))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def train_run(raw: DataFrame, settings: Settings | None = None, val_raw: DataFrame | None = None) -> TrainedRun:
+    """Train every stage on labelled raw rows.
+
+    Without ``val_raw`` the rows are split by stratum. Anchors are added to the
+    training part only. Both the split and the anchors are filters and small
+    tables over the raw scan; the first full copy written is the flattened one.
+    """
+    s = deepcopy(settings) if settings else Settings()
+    if val_raw is None:
+        split = stratified_split(raw, s.train_fraction, s.stratify, seed=s.seed, portable=s.portable)
+        train_raw = split.where("split = 'train'").drop("split")
+        val_raw = split.where("split = 'val'").drop("split")
+    else:
+        train_raw = raw
+    if s.anchors_per_hour > 0:
+        train_raw = zero_anchors(train_raw, s.anchors_per_hour, seed=s.seed, portable=s.portable)
+
+    prep, train = fit_preparation(train_raw, s.reference, s.revenue_cap, portable_hash=s.portable)
+    val = settle(prep.apply(val_raw), "val")
+    run = TrainedRun(s, prep, *fit_stages(train, val, prep, s))
 
     needed = ["row_id", "iap_revenue_d7", "buyer_proba", "pred_d7"]
     tuning = settle(run.stage_scores(val, gated=s.tune_on_gated).select(*needed), "tuning")
@@ -209,8 +240,9 @@ def train_run(raw: DataFrame, settings: Settings | None = None, val_raw: DataFra
     scaled = tuning.withColumn("p", scale_probability(F.col("buyer_proba"), run.alpha))
     aligned = fit_zero_rate(scaled, "p", "iap_revenue_d7", **s.zero_rate)
     s.gating["cutoff"] = float(aligned["probability_cutoff"])
+    run.zero_rate_report = aligned
 
-    meta = settle(run.meta_table(run.stage_scores(train), ["row_id", "iap_revenue_d7"]), "meta")
+    meta = settle(out_of_fold_meta(run, train, val, ["row_id", "iap_revenue_d7"]), "meta")
     names = [c for c in meta.columns if c not in ("row_id", "iap_revenue_d7")]
     run.stacking = train_stacking(meta, names, folds=s.folds, rounds=s.rounds, depth=s.depth, seed=s.seed)
     return run

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cohortal.core import settle
 from cohortal.models.buyer import load_classifier, train_classifier
 from cohortal.models.calibration import fit_calibrator, load_calibrator
+from cohortal.models.distill import load_student, load_teacher, train_student, train_teacher
 from cohortal.models.revenue import OBJECTIVES, load_revenue, train_revenue
 from cohortal.models.stacking import load_stacking, train_stacking
 from cohortal.plans.scoring import evaluate_holdout, score_table
@@ -77,7 +78,7 @@ def test_stacking(spark, sf_dir, tmp_path):
 @pytest.fixture(scope="module")
 def run(spark, sf_dir):
     raw = settle(wide_impressions(spark, sf_dir))
-    settings = Settings(reference="2024-01-31", rounds=2, depth=2, folds=2, horizons=(7, 14))
+    settings = Settings(reference="2024-01-31", rounds=2, depth=2, folds=2, oof_folds=2, horizons=(7, 14))
     return train_run(raw.where("datetime < '2024-01-22-00-00'"), settings), raw.where("datetime >= '2024-01-22-00-00'")
 
 
@@ -121,3 +122,17 @@ def test_stream_scores_like_the_batch(spark, run, tmp_path):
     query.awaitTermination(240)
     assert query.exception() is None
     assert same(model.score(rows), read_predictions(spark, sink, "row_id bigint, iap_revenue_d7 double"), "iap_revenue_d7")
+
+
+def test_wide_categories_and_reload(spark, tmp_path):
+    """2,000 values of a category are hashed into groups; a saved pair scores like the fitted one."""
+    rows = [(i, float(i % 7), f"device{i % 2000}", float(i % 5 == 0), float(i % 3), 0.2, 1.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "row_id long, x double, device string, buyer_d7 double, iap_revenue_d7_log double, p_teacher_buy double, rev_teacher_expected double")
+    plain = df.drop("p_teacher_buy", "rev_teacher_expected")
+    teacher = train_teacher(plain, plain.where("buyer_d7 = 1"), ["x"], ["device"], rounds=1, depth=2, buckets=64)
+    student = train_student(df, ["x"], ["device"], rounds=1, depth=2, buckets=64)
+    teacher.save(str(tmp_path / "t"))
+    student.save(str(tmp_path / "s"))
+    again = load_teacher(spark, str(tmp_path / "t"))
+    assert same(teacher.score(plain), again.score(plain), "rev_teacher_expected")
+    assert same(student.score(df), load_student(spark, str(tmp_path / "s")).score(df), "rev_student")
