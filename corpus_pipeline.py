@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortal.core.settle import settle
 from cohortal.llm import adapt_join, automata, fm_index, mixing, risk_rules
@@ -19,6 +19,13 @@ from cohortal.llm.queries import read
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars of texts that were cut; it stays as it was where there is no text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the risk-controlled rules keep; a null or empty text fails the base rule and goes."""
     return risk_rules.keep_good(docs, read(spark, sf_dir, "labels"), settle)
@@ -32,12 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans they share with the benchmark; rows that lose all their words go."""
     found = fm_index.find_benchmark(docs, read(spark, sf_dir, "benchmark"))
-    return fm_index.remove_spans(found, drop_emptied=True)
+    return _recounted(fm_index.remove_spans(found, drop_emptied=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a mark in place of every secret; no row goes."""
-    return automata.redact(automata.find_secrets(docs, settle))
+    return _recounted(automata.redact(automata.find_secrets(docs, settle)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
