@@ -4,8 +4,8 @@ Two reference pages stand for each host. Every page of the host is aligned with
 the closer one by simple tree matching, which gives its text blocks the slots
 of the reference. Over all pages of a host, slots whose texts keep repeating are
 template; slots whose texts vary are content. What elements say of themselves
-(``nav``, ``footer``, ``article``, class names) is the prior where a host has too
-few pages.
+(``nav``, ``footer``, ``article``, class names) is the prior: it decides where a
+slot has too few pages, and evidence against it has to be stronger.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from cohortal.llm.url_templates import host_and_path
@@ -25,13 +25,16 @@ from cohortal.llm.words import small_batches
 
 MIN_PAGES = 5  # different pages a slot needs before its texts count as evidence
 REPEATED = 0.5  # share of pages with a text seen on others, from which a neutral slot is template
-CONSTANT = 0.8  # share of pages with one and the same text, from which that text is template inside an article
+CONSTANT = 0.8  # inside an article: share of pages with one text, from which that text is template, or with repeated texts, from which the slot is
+SURE_PAGES = 30  # different pages a slot of a dropped element needs to be taken for content
+VARYING = 0.05  # share of pages with a text seen on others, up to which such a slot is content
 
 DROPPED, NEUTRAL, ARTICLE = 0, 1, 2
 
 #: Elements by role: fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
+UNSEEN_TAGS = frozenset("head title button select option textarea object audio video canvas map".split())  # no text of the page, whatever varies there
 DROP_TAGS = frozenset("head title nav footer aside form menu dialog button select option textarea fieldset object audio video canvas map".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -63,6 +66,7 @@ class Node:
     text: str = ""
     slot: int = -1
     size: int = 1
+    unseen: bool = False
 
 
 def _zone(tag: str, attributes: str, parent: Node, in_article: bool) -> tuple[int, str]:
@@ -89,7 +93,7 @@ def parse(page: str) -> Node:
         text = " ".join(html_module.unescape("".join(words)).split())
         words.clear()
         if text:
-            stack[-1].children.append(Node("#", zone=stack[-1].zone, text=text))
+            stack[-1].children.append(Node("#", zone=stack[-1].zone, text=text, unseen=stack[-1].unseen))
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -119,7 +123,8 @@ def parse(page: str) -> Node:
         if stack[-1].tag in SELF_CLOSING.get(tag, ()):
             stack.pop()
         zone, named = _zone(tag, attributes, stack[-1], any(n.tag in ARTICLE_TAGS for n in stack))
-        node = Node(tag, named, zone)
+        unseen = stack[-1].unseen or tag in UNSEEN_TAGS or bool(attributes and _HIDDEN.search(attributes))
+        node = Node(tag, named, zone, unseen=unseen)
         stack[-1].children.append(node)
         if attributes.endswith("/") and tag not in CLOSES_P:
             continue
@@ -260,7 +265,7 @@ def _aligned(pages: DataFrame, references: DataFrame, columns: list[str]) -> Dat
                     trees[host] = [reference_tree(x) for x in dict.fromkeys((one, two)) if x]
                 ref, found = align(page, trees[host])
                 refs.append(ref)
-                blocks.append([{"text": x.text, "zone": x.zone, "slot": x.slot, "h": text_hash(x.text)} for x in found])
+                blocks.append([{"text": x.text, "zone": x.zone, "slot": x.slot, "h": text_hash(x.text)} for x in found if not x.unseen])
             arrays = [*batch.columns[: n + 1], pa.array(refs, pa.int32()), pa.array(blocks, kind)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: n + 1], "ref", "leaves"])
 
@@ -269,22 +274,25 @@ def _aligned(pages: DataFrame, references: DataFrame, columns: list[str]) -> Dat
 
 
 def _slot_statistics(aligned: DataFrame) -> DataFrame:
-    """Per host, the texts and slots that are template (arrays, at most as long as the references).
+    """Per host, the texts and slots that are template and the slots that are content, where the pages tell.
 
     Pages with the same longest block are counted once, so copies of an article
     do not look like a template.
     """
     longest = F.array_max(F.transform("leaves", lambda x: F.struct(F.length(x["text"]).alias("n"), x["h"].alias("h"))))["h"]
-    each = aligned.select("host", "ref", longest.alias("page"), F.explode("leaves").alias("x")).where("x.slot >= 0 and x.zone > 0")
+    each = aligned.select("host", "ref", longest.alias("page"), F.explode("leaves").alias("x")).where("x.slot >= 0")
     once = each.groupBy("host", "ref", F.col("x.slot").alias("slot"), F.col("x.zone").alias("zone"), F.col("x.h").alias("h"), "page").agg(F.lit(1).alias("one"))
     texts = once.groupBy("host", "ref", "slot", "zone", "h").agg(F.count("*").alias("n"))
     top = F.max(F.struct("n", "h"))
     slots = texts.groupBy("host", "ref", "slot", "zone").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"), top.alias("top"))
     slots = slots.where(F.col("n") >= MIN_PAGES)
     key = F.struct("ref", "slot")
-    constant = F.when((F.col("zone") == ARTICLE) & (F.col("top.n") >= CONSTANT * F.col("n")), F.struct("ref", "slot", F.col("top.h").alias("h")))
-    repeated = F.when((F.col("zone") == NEUTRAL) & (F.col("again") >= REPEATED * F.col("n")), key)
-    return slots.groupBy("host").agg(F.collect_list(constant).alias("constant"), F.collect_list(repeated).alias("repeated"))
+    zone, n, again = F.col("zone"), F.col("n"), F.col("again")
+    same = F.col("top.n") >= CONSTANT * n
+    constant = F.when((zone == ARTICLE) & same, F.struct("ref", "slot", F.col("top.h").alias("h")))
+    repeated = F.when((zone == NEUTRAL) & (again >= REPEATED * n) | (zone == ARTICLE) & ~same & (again >= CONSTANT * n), key)
+    varying = F.when((zone == NEUTRAL) & (again < REPEATED * n) | (zone == DROPPED) & (n >= SURE_PAGES) & (again <= VARYING * n), F.struct("ref", "slot", "zone"))
+    return slots.groupBy("host").agg(F.collect_list(constant).alias("constant"), F.collect_list(repeated).alias("repeated"), F.collect_list(varying).alias("varying"))
 
 
 def extract_text(pages: DataFrame, settle, *, html: str = "html", url: str = "url", page: str = "page_id") -> DataFrame:
@@ -292,8 +300,9 @@ def extract_text(pages: DataFrame, settle, *, html: str = "html", url: str = "ur
 
     Text blocks in page order, joined by one space. A null or empty html gives
     an empty text; null and unreadable urls share the host ``""``. Repeated rows
-    and null ids are kept row by row. If a page has an ``article`` or ``main``
-    with text, only that counts, else what is not template.
+    and null ids are kept row by row. A block whose slot shows what it is, is kept
+    or left out by that. The others go by their elements: if a page has an
+    ``article`` or ``main`` with text, only that counts, else what is not dropped.
     """
     rows = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_html"))
     host, _ = host_and_path(F.col("url"))
@@ -308,9 +317,16 @@ def extract_text(pages: DataFrame, settle, *, html: str = "html", url: str = "ur
     aligned = settle(_aligned(rows, references, ["page_id", "url"]), "wrapper-blocks")
     template = settle(_slot_statistics(aligned), "wrapper-slots").withColumnRenamed("host", "_host")
     both = aligned.join(template, aligned["host"] == template["_host"], "left")
-    in_article = F.filter("leaves", lambda x: x["zone"] == ARTICLE)
-    own = F.filter(in_article, lambda x: ~F.coalesce(F.array_contains("constant", F.struct(F.col("ref"), x["slot"].alias("slot"), x["h"].alias("h"))), F.lit(False)))
-    rest = F.filter("leaves", lambda x: (x["zone"] == NEUTRAL) & ~F.coalesce(F.array_contains("repeated", F.struct(F.col("ref"), x["slot"].alias("slot"))), F.lit(False)))
-    kept = F.when(F.size(in_article) > 0, own).otherwise(rest)
+    said = lambda name, *parts: F.coalesce(F.array_contains(name, F.struct(*parts)), F.lit(False))
+    ref = F.col("ref")
+    bare = F.size(F.filter("leaves", lambda x: x["zone"] == ARTICLE)) == 0
+
+    def counts(x: Column) -> Column:
+        slot, zone = x["slot"].alias("slot"), x["zone"].alias("zone")
+        template = said("repeated", ref, slot) & (x["zone"] != DROPPED) | (x["zone"] == ARTICLE) & said("constant", ref, slot, x["h"].alias("h"))
+        prior = (x["zone"] == ARTICLE) | (x["zone"] == NEUTRAL) & bare
+        return ~template & (prior | said("varying", ref, slot, zone))
+
+    kept = F.filter("leaves", counts)
     text = F.array_join(F.transform(kept, lambda x: x["text"]), " ")
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -76,6 +76,26 @@ def test_copies_of_an_article_are_no_template(spark):
     assert {r.text for r in out} == {f"Same {prose(1, 40)}"}
 
 
+def extracted(spark, pages):
+    rows = [(k, f"http://a.com/{k}", page) for k, page in enumerate(pages)]
+    return [r.text for r in sorted(wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), settle).collect())]
+
+
+def test_slots_decide_against_names_and_tags(spark):
+    body = [prose(k, 30) for k in range(40)]
+    ads = ["Buy this", "Sale now", "Last call"]
+    pages = [
+        f"<head><title>t {k}</title></head><body><nav>Home {k % 2}</nav><div class=related><p>{body[k]}</p></div><div class=legal>Terms {k % 3}</div><p hidden>no {k}</p></body>"
+        for k in range(40)
+    ]
+    assert extracted(spark, pages) == body
+    pages = [f"<body><article><p>{body[k]}</p><h5>{ads[k % 3]}</h5></article><section>more {k}</section><section>Shop {k % 2}</section></body>" for k in range(40)]
+    assert extracted(spark, pages) == [f"{body[k]} more {k}" for k in range(40)]
+    # Too few pages to overrule what the elements say.
+    pages = [f"<body><nav>Home {k}</nav><article><p>{body[k]}</p></article><footer>f {k}</footer></body>" for k in range(8)]
+    assert extracted(spark, pages) == body[:8]
+
+
 def test_given_pages(spark, sf_dir):
     import re
 
