@@ -1,8 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Two reference pages stand for each host. Every page of the host is aligned with
-the closer one by simple tree matching, which gives its text blocks the slots
-of the reference. Over all pages of a host, slots whose texts keep repeating are
+Every page of a host is aligned with the closer one of two reference pages by
+simple tree matching, which gives its text blocks the slots of the reference.
+Blocks without a counterpart there, and pages of another layout, have the path
+of the block as their slot, so every block of every page counts. Over all pages of a host, slots whose texts keep repeating are
 template; slots whose texts vary are content. What elements say of themselves
 (``nav``, ``footer``, ``article``, class names) is the prior: it decides where a
 slot has too few pages, and evidence against it has to be stronger.
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import html as html_module
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ from cohortal.llm.words import small_batches
 MIN_PAGES = 5  # different pages a slot needs before its texts count as evidence
 REPEATED = 0.5  # share of pages with a text seen on others, from which a neutral slot is template
 CONSTANT = 0.8  # inside an article: share of pages with one text, from which that text is template, or with repeated texts, from which the slot is
+ALIGNED = 0.5  # share of nodes a page has in common with a reference of its layout
 SURE_PAGES = 30  # different pages a slot of a dropped element needs to be taken for content
 VARYING = 0.05  # share of pages with a text seen on others, up to which such a slot is content
 
@@ -64,7 +66,9 @@ class Node:
     zone: int = NEUTRAL
     children: list[Node] = field(default_factory=list)
     text: str = ""
-    slot: int = -1
+    slot: int = 0
+    path: bytes = b""  # with the places among elements of the same tag and name
+    tags: bytes = b""
     size: int = 1
     unseen: bool = False
 
@@ -156,15 +160,50 @@ def _count(node: Node) -> int:
     return node.size
 
 
-MAX_DEPTH = 60  # deeper subtrees are matched by order alone
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
 
 
-def simple_tree_match(one: Node, two: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
+_NUMBERED = re.compile(r"\S*\d\S*")
+
+
+def _name_paths(root: Node) -> None:
+    """Set the paths of all nodes; names with digits differ from page to page and are left out."""
+    work = [root]
+    while work:
+        top = work.pop()
+        places: dict[bytes, int] = {}
+        for child in top.children:
+            tag = child.tag.encode()
+            own = b" ".join((tag, " ".join(_NUMBERED.sub("", child.name).split()).encode("utf-8", "replace")))
+            places[own] = places.get(own, -1) + 1
+            child.path = _digest(top.path, own, b"%d" % places[own])
+            child.tags = _digest(top.tags, tag)
+            work.append(child)
+
+
+def simple_tree_match(one: Node, two: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Largest number of matched nodes of two trees whose roots match, order kept, and the matched text blocks.
 
     Equal text-only children at both ends are matched at once, which is as good
-    as any other match of them; the rest goes through the usual table.
+    as any other match of them; the rest goes through the usual table. Open
+    matches wait on a stack of their own, so trees may have any depth.
     """
+    open_matches, result = [_match(one, two)], None
+    while open_matches:
+        try:
+            inner = open_matches[-1].send(result)
+        except StopIteration as done:
+            open_matches.pop()
+            result = done.value
+        else:
+            open_matches.append(_match(*inner))
+            result = None
+    return result
+
+
+def _match(one: Node, two: Node) -> Generator[tuple[Node, Node], tuple[int, list], tuple[int, list]]:
+    """The match of two nodes; asks for the matches of their children."""
     if one.tag != two.tag:
         return 0, []
     if one.tag == "#":
@@ -188,7 +227,7 @@ def simple_tree_match(one: Node, two: Node, depth: int = 0) -> tuple[int, list[t
         both(a[-1 - tail], b[-1 - tail])
         tail += 1
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    if not a or not b or depth > MAX_DEPTH:
+    if not a or not b:
         return total, pairs
     width = len(b) + 1
     best = [0] * ((len(a) + 1) * width)
@@ -197,7 +236,7 @@ def simple_tree_match(one: Node, two: Node, depth: int = 0) -> tuple[int, list[t
         for j, y in enumerate(b, 1):
             here = max(best[(i - 1) * width + j], best[i * width + j - 1])
             if x.tag == y.tag:
-                inner = simple_tree_match(x, y, depth + 1)
+                inner = (1, [(x, y)]) if x.tag == "#" else (yield x, y)
                 found[i, j] = inner
                 here = max(here, best[(i - 1) * width + j - 1] + inner[0])
             best[i * width + j] = here
@@ -219,57 +258,65 @@ def text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def align(page: str, references: list[Node]) -> tuple[int, list[Node]]:
-    """The number of the closest reference and the page's text blocks with the slots they got there."""
+def align(page: str, references: list[Node]) -> list[Node]:
+    """The page's text blocks with their slots: those of the closest reference, or negative ones from their paths.
+
+    A block takes a reference's slot where the tags above both are the same.
+    """
     tree = parse(page)
-    found = list(leaves(tree))
-    best = (0.0, 0, [])
-    for k, reference in enumerate(references):
+    _name_paths(tree)
+    size = _count(tree)
+    best = (0.0, [])
+    for reference in references:
         n, pairs = simple_tree_match(tree, reference)
-        score = n / max(1, max(_count(tree), reference.size))
-        if score > best[0]:
-            best = (score, k, pairs)
-    for mine, theirs in best[2]:
-        mine.slot = theirs.slot
-    return best[1], found
+        score = n / max(1, size, reference.size)
+        if score >= ALIGNED and score > best[0]:
+            best = (score, pairs)
+    found = list(leaves(tree))
+    for leaf in found:
+        leaf.slot = int.from_bytes(leaf.path, "little") | -(1 << 63)
+    for mine, theirs in best[1]:
+        if mine.tags == theirs.tags:
+            mine.slot = theirs.slot
+    return found
 
 
-def reference_tree(page: str) -> Node:
+def reference_tree(page: str, number: int) -> Node:
     tree = parse(page)
+    _name_paths(tree)
     for slot, leaf in enumerate(leaves(tree)):
-        leaf.slot = slot
+        leaf.slot = (number << 32) + slot
     _count(tree)
     return tree
 
 
 LEAVES = ArrayType(
-    StructType([StructField("text", StringType()), StructField("zone", IntegerType()), StructField("slot", IntegerType()), StructField("h", LongType())])
+    StructType([StructField("text", StringType()), StructField("zone", IntegerType()), StructField("slot", LongType()), StructField("h", LongType())])
 )
 
 
 def _aligned(pages: DataFrame, references: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns``, host, ref, leaves of every page; the html goes."""
+    """``columns``, host, leaves of every page; the html goes."""
     named = references.select(F.col("host").alias("_host"), "one", "two")
     joined = pages.join(named, pages["host"] == named["_host"], "left").select(*columns, "host", "_html", "one", "two")
-    kind = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int32()), ("slot", pa.int32()), ("h", pa.int64())]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int32()), ("slot", pa.int64()), ("h", pa.int64())]))
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, list[Node]] = {}
         for batch in batches:
-            refs, blocks = [], []
+            blocks = []
             for host, page, one, two in zip(*[batch.column(n + k).to_pylist() for k in range(4)]):
                 if host not in trees:
                     if len(trees) > 64:
                         trees.clear()
-                    trees[host] = [reference_tree(x) for x in dict.fromkeys((one, two)) if x]
-                ref, found = align(page, trees[host])
-                refs.append(ref)
+                    trees[host] = [reference_tree(x, k) for k, x in enumerate(dict.fromkeys((one, two))) if x]
+                found = align(page, trees[host])
                 blocks.append([{"text": x.text, "zone": x.zone, "slot": x.slot, "h": text_hash(x.text)} for x in found if not x.unseen])
-            arrays = [*batch.columns[: n + 1], pa.array(refs, pa.int32()), pa.array(blocks, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: n + 1], "ref", "leaves"])
+            arrays = [*batch.columns[: n + 1], pa.array(blocks, kind)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: n + 1], "leaves"])
 
-    schema = joined.select(*columns, "host").schema.add("ref", IntegerType()).add("leaves", LEAVES)
+    schema = joined.select(*columns, "host").schema.add("leaves", LEAVES)
     return joined.mapInArrow(run, schema)
 
 
@@ -280,18 +327,17 @@ def _slot_statistics(aligned: DataFrame) -> DataFrame:
     do not look like a template.
     """
     longest = F.array_max(F.transform("leaves", lambda x: F.struct(F.length(x["text"]).alias("n"), x["h"].alias("h"))))["h"]
-    each = aligned.select("host", "ref", longest.alias("page"), F.explode("leaves").alias("x")).where("x.slot >= 0")
-    once = each.groupBy("host", "ref", F.col("x.slot").alias("slot"), F.col("x.zone").alias("zone"), F.col("x.h").alias("h"), "page").agg(F.lit(1).alias("one"))
-    texts = once.groupBy("host", "ref", "slot", "zone", "h").agg(F.count("*").alias("n"))
+    each = aligned.select("host", longest.alias("page"), F.explode("leaves").alias("x"))
+    once = each.groupBy("host", F.col("x.slot").alias("slot"), F.col("x.zone").alias("zone"), F.col("x.h").alias("h"), "page").agg(F.lit(1).alias("one"))
+    texts = once.groupBy("host", "slot", "zone", "h").agg(F.count("*").alias("n"))
     top = F.max(F.struct("n", "h"))
-    slots = texts.groupBy("host", "ref", "slot", "zone").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"), top.alias("top"))
+    slots = texts.groupBy("host", "slot", "zone").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("again"), top.alias("top"))
     slots = slots.where(F.col("n") >= MIN_PAGES)
-    key = F.struct("ref", "slot")
     zone, n, again = F.col("zone"), F.col("n"), F.col("again")
     same = F.col("top.n") >= CONSTANT * n
-    constant = F.when((zone == ARTICLE) & same, F.struct("ref", "slot", F.col("top.h").alias("h")))
-    repeated = F.when((zone == NEUTRAL) & (again >= REPEATED * n) | (zone == ARTICLE) & ~same & (again >= CONSTANT * n), key)
-    varying = F.when((zone == NEUTRAL) & (again < REPEATED * n) | (zone == DROPPED) & (n >= SURE_PAGES) & (again <= VARYING * n), F.struct("ref", "slot", "zone"))
+    constant = F.when((zone == ARTICLE) & same, F.struct("slot", F.col("top.h").alias("h")))
+    repeated = F.when((zone == NEUTRAL) & (again >= REPEATED * n) | (zone == ARTICLE) & ~same & (again >= CONSTANT * n), F.col("slot"))
+    varying = F.when((zone == NEUTRAL) & (again < REPEATED * n) | (zone == DROPPED) & (n >= SURE_PAGES) & (again <= VARYING * n), F.struct("slot", "zone"))
     return slots.groupBy("host").agg(F.collect_list(constant).alias("constant"), F.collect_list(repeated).alias("repeated"), F.collect_list(varying).alias("varying"))
 
 
@@ -317,15 +363,14 @@ def extract_text(pages: DataFrame, settle, *, html: str = "html", url: str = "ur
     aligned = settle(_aligned(rows, references, ["page_id", "url"]), "wrapper-blocks")
     template = settle(_slot_statistics(aligned), "wrapper-slots").withColumnRenamed("host", "_host")
     both = aligned.join(template, aligned["host"] == template["_host"], "left")
-    said = lambda name, *parts: F.coalesce(F.array_contains(name, F.struct(*parts)), F.lit(False))
-    ref = F.col("ref")
+    said = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
     bare = F.size(F.filter("leaves", lambda x: x["zone"] == ARTICLE)) == 0
 
     def counts(x: Column) -> Column:
         slot, zone = x["slot"].alias("slot"), x["zone"].alias("zone")
-        template = said("repeated", ref, slot) & (x["zone"] != DROPPED) | (x["zone"] == ARTICLE) & said("constant", ref, slot, x["h"].alias("h"))
+        template = said("repeated", slot) & (x["zone"] != DROPPED) | (x["zone"] == ARTICLE) & said("constant", F.struct(slot, x["h"].alias("h")))
         prior = (x["zone"] == ARTICLE) | (x["zone"] == NEUTRAL) & bare
-        return ~template & (prior | said("varying", ref, slot, zone))
+        return ~template & (prior | said("varying", F.struct(slot, zone)))
 
     kept = F.filter("leaves", counts)
     text = F.array_join(F.transform(kept, lambda x: x["text"]), " ")

@@ -96,6 +96,28 @@ def test_slots_decide_against_names_and_tags(spark):
     assert extracted(spark, pages) == body[:8]
 
 
+def test_every_layout_of_a_host_counts(spark):
+    """Whichever pages are references, at least two of the five layouts are not among them."""
+    body = [prose(k, 30) for k in range(100)]
+    layouts = [
+        "<div><div>{0}</div><div>One {1}</div></div>",
+        "<table><tr><td>Two {1}</td></tr><tr><td>{0}</td></tr></table>",
+        "<section><h2>Three {1}</h2><blockquote>{0}</blockquote></section>",
+        "<ul><li>{0}</li></ul><ol><li>Four {1}</li></ol>",
+        "<h3>Five {1}</h3><pre>{0}</pre>",
+    ]
+    assert extracted(spark, [layouts[k % 5].format(body[k], k % 2) for k in range(100)]) == body
+
+
+def test_deep_trees_are_matched_whole():
+    deep = lambda inner: wrappers.parse("<div>" * 200 + inner + "</div>" * 200)
+    one, two = deep("<ul><li>a</li></ul><p>b</p><ol><li>c</li></ol>"), deep("<p>x</p><ol><li>y</li></ol><section><p>z</p></section>")
+    n, pairs = wrappers.simple_tree_match(one, two)
+    assert n == brute_match(one, two) == 206
+    assert [(a.text, b.text) for a, b in sorted(pairs, key=lambda p: p[0].text)] == [("b", "x"), ("c", "y")]
+    assert wrappers.simple_tree_match(wrappers.parse("<div>" * 5000 + "a"), wrappers.parse("<div>" * 5000 + "b"))[0] == 5002
+
+
 def test_given_pages(spark, sf_dir):
     import re
 
