@@ -55,6 +55,20 @@ def test_templates_generalise_numbers_and_carry_purity(spark):
     assert out["http://bad.net/de/7"].rule is None and out["http://bad.net/de/7"].verdict == "block"
 
 
+def test_paths_are_judged_to_their_last_segment(spark):
+    """Labels differ only in the fifth segment; the labelled paths are on hosts that rules decide."""
+    rules = (("allow", "a.net/2024/may/day/x/sport/1"), ("block", "a.net/2024/may/day/x/spam/1"))
+    urls = [f"http://a.net/2024/may/day/x/{what}/{k}/end" for what in ("sport", "spam") for k in range(100, 300)]
+    urls += ["http://b.net/" + "s/" * 40 + "x"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    out = {r.url: r for r in url_templates.filter_urls(pages, settle, rules=rules).collect()}
+    assert len(out) == len(urls)
+    good, bad = (out[f"http://a.net/2024/may/day/x/{what}/250/end"] for what in ("sport", "spam"))
+    assert (good.rule, bad.rule) == (None, None) and (good.verdict, bad.verdict) == ("allow", "block")
+    assert (good.template, bad.template) == ("/{n}/may/day/x/sport/{n}/end", "/{n}/may/day/x/spam/{n}/end")
+    assert out[urls[-1]].template == "/" + "/".join(["{}"] * 41)
+
+
 def test_empty_and_unlabelled(spark):
     _, pages = table(spark)
     assert url_templates.filter_urls(pages.limit(0), settle).count() == 0
