@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortal.core.settle import settle
-from cohortal.llm import adapt_join, automata, fm_index, gam, hmm, kernels, mixing, risk_rules, url_templates, wrappers
+from cohortal.core.settle import scratch_dir, settle
+from cohortal.llm import adapt_join, automata, dac, fm_index, gam, hmm, kernels, mixing, risk_rules, squares, url_templates, wrappers
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.identify_languages(read(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{scratch_dir(spark)}/tokens/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    dac.write_tokens(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return dac.with_starts(dac.read_documents(spark, folder), settle)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return squares.digest(squares.find_runs(squares.plant_period(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,5 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_score,
         op9_secret_scan,
         op10_language,
+        op12_token_files,
+        op13_periodic_runs,
     )
 }

@@ -20,5 +20,5 @@ def test_query_equals_oracle(spark, sf_dir, name):
 
 def test_registered():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert {int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()} == set(range(1, 11)) and "pipeline" in contract.queries()
+    assert {int(n[2:].split("_")[0]) for n in names if n[2:3].isdigit()} == set(range(1, 14)) and "pipeline" in contract.queries()
     assert set(ORACLES) <= set(contract.oracle_sql())
