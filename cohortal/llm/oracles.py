@@ -10,6 +10,8 @@ def _low(column: str) -> str:
 _ALNUM_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACE_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 OP6 = f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM_WORDS.format(_low('text'))} AS w FROM benchmark),
 windows AS (
@@ -46,4 +48,23 @@ SELECT docs.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(compo
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.doc = docs.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6, "op7_ngram_join": OP7}
+OP11 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, {_TERMS.format(_low('text'))} AS w FROM documents),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0),
+asked AS (SELECT DISTINCT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS.format(_low('text'))} AS w FROM benchmark)),
+counts AS (
+  SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY d, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM counts, totals GROUP BY t),
+impacts AS (
+  SELECT d, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(w) * n_docs) // n_terms))) AS impact
+  FROM counts JOIN weights USING (t) JOIN docs USING (d), totals),
+scores AS (SELECT i, item_id, d, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (t) GROUP BY i, item_id, d),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+  FROM scores JOIN docs USING (d) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op6_decontaminate": OP6, "op7_ngram_join": OP7, "op11_lexical_search": OP11}

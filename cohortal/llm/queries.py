@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortal.core.settle import scratch_dir, settle
-from cohortal.llm import adapt_join, automata, dac, fm_index, gam, hmm, kernels, mixing, risk_rules, squares, url_templates, wrappers
+from cohortal.llm import adapt_join, automata, best_position, dac, fm_index, gam, hmm, kernels, mixing, risk_rules, squares, url_templates, wrappers
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.identify_languages(read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), settle)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_score,
         op9_secret_scan,
         op10_language,
+        op11_lexical_search,
         op12_token_files,
         op13_periodic_runs,
     )
