@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import DataType
 
 from cohortal.core.lookup import lookup
-from cohortal.llm.words import small_batches
+from cohortal.llm.words import SPACE, Piece, pieces, small_batches, span_hashes, table, text_bytes
 
 MAGIC = b"DAC1"
 HEAD = struct.Struct("<4sQIQQII")
@@ -45,41 +45,45 @@ LEVEL = struct.Struct("<IQ")
 DIRECTORY_BITS = 512
 SEGMENT_TOKENS = 1 << 20  # a segment is closed at this many tokens; a longer document has one of its own
 SEGMENTS_PER_FILE = 32
-MEMO_UNITS = 200_000  # distinct units whose ids a worker remembers between batches
-
-
-def best_widths(ids: np.ndarray) -> list[int]:
-    """Chunk widths of the levels with the fewest bits in all, bitmaps and directories included."""
-    bits = np.zeros(len(ids), np.int64)
-    left = ids.astype(np.uint64)
-    while left.any():
-        bits += left > 0
-        left = left >> np.uint64(1)
-    top = max(1, int(bits.max(initial=0)))
-    more = [len(ids), *(int((bits > b).sum()) for b in range(1, top))]  # ids that have a bit from b on
-    cost, step = [0.0] * (top + 1), [0] * (top + 1)
-    for b in reversed(range(top)):
-        options = [(more[b] * (w + (1 + 32 / DIRECTORY_BITS if b + w < top else 0)) + cost[b + w], w) for w in range(1, min(top - b, 32) + 1)]
-        cost[b], step[b] = min(options)
-    widths, b = [], 0
-    while b < top:
-        widths.append(step[b])
-        b += step[b]
-    return widths
+PIECE_BYTES = 4 << 20
+MEMO_UNITS = 1_000_000  # distinct units whose ids a worker remembers between batches
+
+
+def best_widths(ids: np.ndarray, most: int = 2) -> list[int]:
+    """Chunk widths of at most ``most`` levels with the fewest bits in all, bitmaps and directories included."""
+    lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=2)  # ids by their number of bits
+    top = len(lengths) - 1
+    more = [len(ids), *(len(ids) - np.cumsum(lengths)[1:-1]).tolist()]  # ids that have a bit from b on
+
+    def cheapest(b: int, levels: int) -> tuple[float, list[int]]:
+        options = [(float(more[b] * (top - b)), [top - b])]
+        for w in range(1, top - b) if levels > 1 else ():
+            cost, widths = cheapest(b + w, levels - 1)
+            options.append((more[b] * (w + 1 + 32 / DIRECTORY_BITS) + cost, [w, *widths]))
+        return min(options)
+
+    return cheapest(0, most)[1]
+
+
+def _bytes(width: int) -> int:
+    return next(b for b in (1, 2, 4) if width <= 8 * b)
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    size = _bytes(width)
+    bits = np.unpackbits(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, count=width, bitorder="little")
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 def _unpack(data: np.ndarray, width: int, begin: int, end: int) -> np.ndarray:
     """Values ``begin`` to ``end`` of a packed array; only their bytes are read."""
     if end <= begin:
-        return np.zeros(0, np.uint64)
-    low, high = begin * width, end * width
+        return np.zeros(0, np.uint32)
+    low, high, size = begin * width, end * width, _bytes(width)
     bits = np.unpackbits(data[low >> 3 : (high + 7) >> 3], bitorder="little")[low & 7 : (low & 7) + high - low]
-    return (bits.reshape(-1, width).astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    whole = np.zeros((end - begin, 8 * size), np.uint8)
+    whole[:, :width] = bits.reshape(-1, width)
+    return np.packbits(whole.ravel(), bitorder="little").view(f"<u{size}").astype(np.uint32)
 
 
 class Codes:
@@ -91,10 +95,10 @@ class Codes:
     @classmethod
     def build(cls, ids: np.ndarray, widths: Sequence[int] | None = None) -> Codes:
         widths = best_widths(ids) if widths is None else list(widths)
-        left, chunks, bitmaps, ranks = ids.astype(np.uint64), [], [], []
+        left, chunks, bitmaps, ranks = ids.astype(np.uint32), [], [], []
         for level, width in enumerate(widths):
-            chunks.append(np.frombuffer(_pack(left & np.uint64((1 << width) - 1), width), np.uint8))
-            left = left >> np.uint64(width)
+            chunks.append(np.frombuffer(_pack(left & np.uint32((1 << width) - 1), width), np.uint8))
+            left = left >> np.uint32(width) if width < 32 else left[:0]
             if level == len(widths) - 1:
                 break
             on = left > 0
@@ -129,10 +133,10 @@ class Codes:
         """The ids from ``begin`` to ``end``: their chunks are neighbours on every level."""
         if not 0 <= begin <= end <= self.n:
             raise IndexError((begin, end))
-        values = np.zeros(end - begin, np.uint64)
+        values = np.zeros(end - begin, np.uint32)
         going, shift = np.arange(end - begin), 0
         for level, width in enumerate(self.widths):
-            values[going] |= _unpack(self.chunks[level], width, begin, end) << np.uint64(shift)
+            values[going] |= _unpack(self.chunks[level], width, begin, end) << np.uint32(shift)
             shift += width
             if level == len(self.widths) - 1 or begin == end:
                 break
@@ -209,17 +213,42 @@ def segments_of(data: bytes) -> Iterator[Segment]:
         yield segment
 
 
-# Cuts where the byte-level pattern of the vocabulary cuts too: it never joins text across the place
-# before a single space, and takes other white space as runs. Texts with further white space go whole.
-_UNIT = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-_OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
+# White space beyond ASCII; a text that holds any is encoded as a whole.
+_OTHER_SPACE = re.compile(
+    rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80|\xef\xbb\xbf"
+)
+_MAYBE_SPACE = table(lambda b: 0x1C <= b <= 0x1F or b in (0xC2, 0xE1, 0xE2, 0xE3, 0xEF))
+_LETTER = table(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
+_SIGN = table(lambda b: b < 0x80) & ~_LETTER & ~SPACE  # ASCII that is neither letter nor white space
+
+
+def unit_starts(piece: Piece) -> np.ndarray:
+    """Where the units of a piece begin; they tile its bytes.
+
+    The byte-level pattern of the vocabulary cuts at all of these places too: a
+    single space goes with what follows it, other white space is taken as runs
+    that leave their last character alone before text, and a run of letters
+    ends before any ASCII character that is none.
+    """
+    data, n = piece.data, len(piece.data)
+    begins = np.zeros(n + 1, bool)
+    begins[piece.offsets] = True  # of documents
+    space = SPACE[data]
+    before, after = np.append(False, space[:-1]), np.append(space[1:], True)
+    after |= begins[1:]  # the end of a document counts as white space
+    starts = space & (~before | ~after)
+    starts |= ~space & before & (np.append(np.uint8(0), data[:-1]) != 0x20)
+    letter = _LETTER[data]
+    latin = (data >= 0x80) & (data <= 0xBF) & (np.append(np.uint8(0), data[:-1]) == 0xC3) & (data != 0x97) & (data != 0xB7)
+    starts |= _SIGN[data] & np.append(False, (letter | latin)[:-1])
+    return np.flatnonzero(starts | begins[:-1])
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, which is asked once per distinct unit of text.
 
-    A unit is a word with the space before it, or a run of white space. Units
-    are only used with byte-level vocabularies without a normaliser.
+    The ids of a unit are remembered under its 64-bit hash. Units are only used
+    with byte-level vocabularies without a normaliser.
     """
 
     def __init__(self, path: str):
@@ -229,43 +258,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.by_unit = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
-        self.memo: dict[str, bytes] = {}
+        self.units: dict[int, bytes] = {}
         self.feed = self._ids(["\n"])[0] if self.by_unit else []
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, fresh: dict[int, bytes]) -> None:
         """Ids of new units: words go to the library as lines of longer texts, in which a line feed is a token of its own."""
-        lines = [u for u in units if not u.isspace()]
-        for k in range(0, len(lines), 500):
-            part = lines[k : k + 500]
-            ids = np.array(self._ids(["\n" + "\n".join(part)])[0], "<u4")
+        lines = sorted((h for h, unit in fresh.items() if not unit.isspace()), key=fresh.__getitem__)
+        for k in range(0, len(lines), 2000):
+            part = lines[k : k + 2000]
+            ids = np.array(self._ids([(b"\n" + b"\n".join(map(fresh.__getitem__, part))).decode()])[0], "<u4")
             cuts = np.flatnonzero(ids == self.feed[0])
             if len(self.feed) == 1 and len(cuts) == len(part):
-                for unit, a, b in zip(part, cuts + 1, np.append(cuts[1:], len(ids))):
-                    self.memo[unit] = ids[a:b].tobytes()
-            else:
-                units = [*units, *part]  # one by one below
-        for unit in units:
-            if unit not in self.memo:
-                self.memo[unit] = np.array(self._ids([unit])[0], "<u4").tobytes()
-
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """One array of ids per text."""
-        cut: list[list[str]] = []
-        for text in texts:
-            cut.append(_UNIT.findall(text) if self.by_unit and not _OTHER_SPACE.search(text) else [text])
-        whole = [k for k, text in enumerate(texts) if len(cut[k]) == 1 and cut[k][0] is text]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for k in whole:
-            out[k] = np.array(self._ids([texts[k]])[0], np.uint32)
-        others = [k for k in range(len(texts)) if k not in set(whole)]
-        if len(self.memo) > MEMO_UNITS:
-            self.memo.clear()
-        self._learn(list({u for k in others for u in cut[k] if u not in self.memo}))
-        for k in others:
-            out[k] = np.frombuffer(b"".join(map(self.memo.__getitem__, cut[k])), "<u4")
+                data, places = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.units.update(zip(part, [data[a + 4 : b] for a, b in zip(places, places[1:])]))
+        for h, unit in fresh.items():
+            if h not in self.units:
+                self.units[h] = np.array(self._ids([unit.decode()])[0], "<u4").tobytes()
+
+    def _by_unit(self, piece: Piece) -> list[np.ndarray]:
+        if not len(piece.data):
+            return [np.zeros(0, np.uint32)] * piece.n
+        starts = unit_starts(piece)
+        ends = np.append(starts[1:], len(piece.data))
+        hashes, first, which = np.unique(span_hashes(piece.data, starts, ends), return_index=True, return_inverse=True)
+        names = hashes.tolist()
+        if len(self.units) > MEMO_UNITS:
+            self.units.clear()
+        raw = piece.data.tobytes()
+        spots = zip(names, starts[first].tolist(), ends[first].tolist())
+        self._learn({h: raw[a:b] for h, a, b in spots if h not in self.units})
+        known = list(map(self.units.__getitem__, names))
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        total = np.append(0, np.cumsum(counts))
+        ids = flat[np.arange(total[-1]) + np.repeat(begin[which] - total[:-1], counts)]
+        cuts = total[np.searchsorted(starts, piece.offsets)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """One array of ids per text (UTF-8, no nulls)."""
+        out: list[np.ndarray] = []
+        for piece in pieces(texts, PIECE_BYTES):
+            ids = self._by_unit(piece) if self.by_unit else [None] * piece.n
+            odd = np.searchsorted(piece.offsets, np.flatnonzero(_MAYBE_SPACE[piece.data]), side="right") - 1
+            for k in np.unique(odd).tolist() if self.by_unit else range(piece.n):
+                text = piece.data[piece.offsets[k] : piece.offsets[k + 1]].tobytes()
+                if not self.by_unit or _OTHER_SPACE.search(text):
+                    ids[k] = np.array(self._ids([text.decode()])[0], np.uint32)
+            out += ids
         return out
 
 
@@ -282,12 +327,12 @@ def encode_tokens(docs: DataFrame, path: str, *, text: str = "text", end: int |
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != name]
-    wide = docs.select(*kept, F.array().cast("array<int>").alias(name), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_whole_text"))
+    wide = docs.select(*kept, F.array().cast("array<int>").alias(name), text_bytes(text).alias("_whole_text"))
     tail = [] if end is None else [end]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate((i, tail)).astype(np.int32) for i in encoder(path).encode(batch.column(batch.num_columns - 1).to_pylist())]
+            ids = [np.concatenate((i, tail)).astype(np.int32) for i in encoder(path).encode(batch.column(batch.num_columns - 1))]
             made = pa.array(ids, batch.schema.field(name).type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], made], names=batch.schema.names[:-1])
 
@@ -306,7 +351,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, *, doc: str = "doc_id"
     stored as their string.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc).alias("doc"), text_bytes(text).alias("text"))
     keys = [F.col("doc").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*([slices] if slices else []), *keys).sortWithinPartitions(*keys)
     named = ranged.select(F.col("doc").cast("string").alias("doc"), "text")
@@ -324,7 +369,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, *, doc: str = "doc_id"
             return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], names=["segment"])
 
         for batch in batches:
-            encoded = encoder(path).encode(batch.column(1).to_pylist())
+            encoded = encoder(path).encode(batch.column(1))
             for name, ids in zip(batch.column(0).to_pylist(), encoded):
                 held.append(np.append(ids, np.uint32(end)))
                 names.append(None if name is None else name.encode())
