@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from cohortal.catalog.registry import query, r, rounded
-from cohortal.catalog.views_sql import SCORED
+from cohortal.catalog.views_sql import IMPRESSIONS, SCORED
 from cohortal.core.settle import settle
 from cohortal.functions.gates import expected_value
+from cohortal.models import boosting
+from cohortal.models.base import with_vector
+from cohortal.models.boosting import fit_boosted
 from cohortal.models.buyer import train_classifier
 from cohortal.models.calibration import fit_calibrator
 from cohortal.models.distill import student_report, train_student, train_teacher
-from cohortal.models.revenue import train_revenue
+from cohortal.models.revenue import BOOSTED, train_revenue
 from cohortal.models.stacking import train_stacking
 from cohortal.operators import features, sampling, splits
 from cohortal.operators.metrics import evaluate, horizon_report
@@ -98,12 +103,57 @@ def multi_horizon_trees(spark, sf_dir):
 
 @query("multi_horizon_tweedie")
 def multi_horizon_tweedie(spark, sf_dir):
-    return _revenue(spark, sf_dir, "tweedie")
+    return _revenue(spark, sf_dir, "tweedie", rounds=30, depth=4, rate=0.15)
 
 
 @query("multi_horizon_huber")
 def multi_horizon_huber(spark, sf_dir):
-    return _revenue(spark, sf_dir, "huber")
+    return _revenue(spark, sf_dir, "huber", rounds=30, depth=4, rate=1.0)
+
+
+SPLIT_COLUMNS = ("hour", "weekday", "k")
+SPLIT_EDGES = {"hour": list(range(1, 24)), "weekday": list(range(1, 7)), "k": list(range(5, 100, 5))}
+
+
+def _first_split_sql() -> str:
+    """Root sums of the Tweedie loss per bin, and the gain of every split, written out from the definitions."""
+    bins = " UNION ALL ".join(
+        f"SELECT {f} AS feature, (SELECT count(*) FROM unnest({SPLIT_EDGES[c]}) AS e(v) WHERE v <= {c}) AS bin, y, s FROM p, start"
+        for f, c in enumerate(SPLIT_COLUMNS)
+    )
+    return f"""WITH {IMPRESSIONS},
+    p AS (SELECT hour, weekday, k, iap_revenue_d7 AS y FROM imp WHERE buyer_d7 = 1 AND iap_revenue_d7 > 0),
+    start AS (SELECT ln(greatest(avg(y), 1e-6)) AS s FROM p),
+    b AS ({bins}),
+    cells AS (SELECT feature, bin, sum(exp(0.9 * s) - y * exp(-0.1 * s)) AS g, sum(0.9 * exp(0.9 * s) + 0.1 * y * exp(-0.1 * s)) AS h, count(*) AS n
+      FROM b GROUP BY feature, bin),
+    sides AS (SELECT feature, bin, g, h, n, sum(g) OVER up AS gl, sum(h) OVER up AS hl, sum(n) OVER up AS nl,
+        sum(g) OVER f AS gt, sum(h) OVER f AS ht, sum(n) OVER f AS nt
+      FROM cells WINDOW up AS (PARTITION BY feature ORDER BY bin), f AS (PARTITION BY feature)),
+    gains AS (SELECT *, CASE WHEN nl >= 20 AND nt - nl >= 20 THEN
+        power(greatest(abs(gl) - 0.5, 0), 2) / (hl + 0.5) + power(greatest(abs(gt - gl) - 0.5, 0), 2) / (ht - hl + 0.5)
+        - power(greatest(abs(gt) - 0.5, 0), 2) / (ht + 0.5) END AS gain FROM sides)
+    SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, {r('g', 'g', 4)}, {r('h', 'h', 4)}, CAST(n AS BIGINT) AS n, {r('gain', 'gain', 3)},
+      coalesce(gain = max(gain) OVER (), false) AS chosen FROM gains"""
+
+
+@query("boosting_first_split", _first_split_sql())
+def boosting_first_split(spark, sf_dir):
+    """Gradient and hessian sums of the first Tweedie split per feature and bin, its gains, and the split that boosting takes."""
+    payers, _ = splits.paying_buyers(impressions(spark, sf_dir))
+    loss, growth = BOOSTED["tweedie"]
+    start = loss.start(payers.agg(F.avg("iap_revenue_d7")).first()[0], None)
+    edges = [[float(e) for e in SPLIT_EDGES[c]] for c in SPLIT_COLUMNS]
+    x, y = F.array(*[F.col(c).cast("double") for c in SPLIT_COLUMNS]), F.array(F.col("iap_revenue_d7"))
+    rows = boosting.with_bins(payers.select(x.alias("x"), y.alias("y"), F.lit(1.0).alias("w")), edges)
+    cells = settle(boosting.level_sums(rows, loss, [F.lit(0)], [F.lit(start)]), "cells").drop("target", "node")
+    gains = boosting.split_gains(cells, growth)
+    one = fit_boosted(
+        with_vector(payers, SPLIT_COLUMNS), ["iap_revenue_d7"], loss, replace(growth, rounds=1, depth=1, row_share=1.0, feature_share=1.0), edges=edges
+    )
+    feature, bin_ = one.trees[0][0][0][:2]
+    chosen = (F.col("feature") == int(feature)) & (F.col("bin") == int(bin_))
+    return gains.select("feature", F.col("bin").cast("int").alias("bin"), *[(F.round(c, d) + 0.0).alias(c) for c, d in (("g", 4), ("h", 4))], "n", (F.round("gain", 3) + 0.0).alias("gain"), chosen.alias("chosen"))
 
 
 @query("stacking")

@@ -35,10 +35,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/settled/{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once, in the application's own subfolder, and return a scan of it."""
     spark = df.sparkSession
-    folder = f"{scratch_dir(spark)}/settled/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled._settled_path = path
+    return settled
+
+
+def discard(*tables: DataFrame) -> None:
+    """Give back settled tables that nothing reads any more: every table made from them must have been written.
+
+    Only what ``settle`` returned is deleted, and only below this application's
+    own folder, so a lost executor never needs what is gone.
+    """
+    for table in tables:
+        path = getattr(table, "_settled_path", None)
+        if path is None:
+            raise ValueError("not a table that settle returned")
+        spark = table.sparkSession
+        if not path.startswith(_own_folder(spark) + "/"):
+            raise ValueError(f"not a table of this application: {path}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

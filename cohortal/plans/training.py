@@ -21,7 +21,7 @@ from cohortal.functions.gates import (
 from cohortal.models.base import with_vector
 from cohortal.models.buyer import BuyerModel, load_classifier, train_classifier
 from cohortal.models.calibration import fit_calibrator
-from cohortal.models.revenue import RevenueModel, load_revenue, train_revenue
+from cohortal.models.revenue import BOOSTED, RevenueModel, load_revenue, train_revenue
 from cohortal.models.stacking import StackingModel, load_stacking, train_stacking
 from cohortal.operators.sampling import (
     add_high_value_label,
@@ -185,7 +185,7 @@ def fit_stages(
     balanced = settle(
         undersample_bins(payers, bins, s.histus_percentile, seed=s.seed, portable=s.portable), "balanced"
     )
-    trees = size if s.objective == "log_trees" else {}
+    trees = size if s.objective == "log_trees" else dict(rounds=s.rounds, depth=s.depth) if s.objective in BOOSTED else {}
     revenue = train_revenue(
         balanced, paying_buyers(val)[0], prep.features, s.horizons, s.objective, **trees
     )

@@ -58,7 +58,8 @@ def test_one_class_gives_identity(spark):
 @pytest.mark.parametrize("objective", OBJECTIVES)
 def test_revenue_objectives(spark, imp, tmp_path, objective):
     payers = imp.where("iap_revenue_d14 > 0")
-    params = dict(maxIter=3, maxDepth=3) if objective == "log_trees" else {}
+    small = {"log_trees": dict(maxIter=3, maxDepth=3), "tweedie": dict(rounds=3, depth=2, rate=0.2), "huber": dict(rounds=3, depth=2)}
+    params = small.get(objective, {})
     model = train_revenue(payers, None, COLUMNS, (7, 14), objective, **params)
     out = model.score(imp)
     assert out.where("pred_d7 < 0 OR pred_d7 > pred_d14 OR isnan(pred_d7)").count() == 0
