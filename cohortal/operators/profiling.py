@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortal.core.ranks import quantile_table, quantiles, value_counts
-
-PAIRS_PER_PASS = 250
+from cohortal.operators.moments import pairwise_correlations
 
 
 def label_profile(df: DataFrame, label: str = "buyer_d7", revenue: str = "iap_revenue_d7") -> DataFrame:
@@ -136,17 +136,16 @@ def pair_correlation(a: Column, b: Column) -> Column:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, corr) of the upper triangle, each pair over the rows where both have a value.
 
-    One map-side combined aggregation for each ``PAIRS_PER_PASS`` pairs; a pair
-    without spread has no correlation (null).
+    All pairs come from one pass that sums outer products; a pair without
+    spread has no correlation (null).
     """
     cols = list(columns)
-    numeric = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    rows = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at : at + PAIRS_PER_PASS]
-        found = numeric.agg(F.array(*[pair_correlation(F.col(a), F.col(b)) for a, b in part])).first()[0]
-        rows += [(a, b, None if v is None or v != v else float(v)) for (a, b), v in zip(part, found)]
+    found = pairwise_correlations(df, cols) if len(cols) > 1 else None
+    rows = [
+        (a, b, None if np.isnan(found[i, j]) else float(found[i, j]))
+        for i, a in enumerate(cols)
+        for j, b in list(enumerate(cols))[i + 1 :]
+    ]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 

@@ -7,17 +7,16 @@ from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortal.functions.scalars import bin_right_closed
 from cohortal.core.ranks import quantile_table
 from cohortal.operators.features import fit_quantile_bins, quantile_bin
+from cohortal.core.settle import discard, settle
 from cohortal.operators.missing import align_matrix
+from cohortal.operators.moments import centres, lasso_path, outer_sums
 from cohortal.operators.profiling import correlations, pair_correlation
 
 IMPORTANCE_SCHEMA = "feature string, importance double"
@@ -73,16 +72,21 @@ def _assembled(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(matrix).select("features", label)
 
 
-def penalty_path(data: DataFrame, label: str, steps: int, ratio: float = 1e-3) -> list[float]:
-    """Penalties from the smallest that sets every weight to 0 down to ``ratio`` of it, evenly in logarithms.
+def lasso_weights(df: DataFrame, columns: Sequence[str], label: str, penalties: int = 10, folds: int = 5, seed: int = 42, ratio: float = 1e-3) -> list[float]:
+    """Weights of a cross-validated lasso; missing features count as 0, rows without a label are left out.
 
-    On standardised features that is the largest absolute covariance with the label.
+    The rows are written once with their fold, each fold is one matrix of sums,
+    and all penalties of all folds are solved from those matrices.
     """
-    parts = data.select(vector_to_array("features").alias("_x"), F.col(label).alias("_y"))
-    width = len(parts.first()["_x"])
-    both = [F.abs(F.covar_pop(F.get("_x", F.lit(i)), "_y")) / F.nullif(F.stddev_samp(F.get("_x", F.lit(i))), F.lit(0.0)) for i in range(width)]
-    largest = max((v for v in parts.agg(F.array(*both)).first()[0] if v is not None and v == v), default=0.0) or 1.0
-    return [largest * ratio ** (k / max(1, steps - 1)) for k in range(steps)]
+    cols = list(columns)
+    matrix = align_matrix(df, cols, keep=[label]).select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate([*cols, label])])
+    last = f"c{len(cols)}"
+    rows = settle(matrix.where(F.col(last).isNotNull()).withColumn("fold", F.floor(F.rand(seed) * folds).cast("int")), "lasso")
+    mean, spread = centres(rows, [f"c{k}" for k in range(len(cols))])
+    scaled = [(F.col(f"c{k}") - float(m)) / float(s) for k, (m, s) in enumerate(zip(mean, spread))]
+    sums = [outer_sums(rows.where(F.col("fold") == f), [F.lit(1.0), *scaled, F.col(last)]) for f in range(folds)]
+    discard(rows)
+    return (lasso_path(sums, penalties, ratio)[0] / spread).tolist()
 
 
 def importances(
@@ -101,21 +105,14 @@ def importances(
     The lasso tries ``penalties`` values from the smallest one that leaves no feature down to a thousandth of it.
     """
     cols = list(columns)
-    data = _assembled(df, cols, label).persist()
-    try:
-        if method == "lasso":
-            lasso = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=1.0)
-            grid = ParamGridBuilder().addGrid(lasso.regParam, penalty_path(data, label, penalties)).build()
-            cv = CrossValidator(
-                estimator=lasso, estimatorParamMaps=grid, numFolds=5, seed=seed, parallelism=2,
-                evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-            )
-            weights = [abs(w) for w in cv.fit(data).bestModel.coefficients.toArray()]
-        else:
-            model = _estimator(method, task, label, rounds, depth, seed).fit(data)
-            weights = list(model.featureImportances.toArray())
-    finally:
-        data.unpersist()
+    if method == "lasso":
+        weights = [abs(w) for w in lasso_weights(df, cols, label, penalties, seed=seed)]
+    else:
+        data = _assembled(df, cols, label).persist()
+        try:
+            weights = list(_estimator(method, task, label, rounds, depth, seed).fit(data).featureImportances.toArray())
+        finally:
+            data.unpersist()
     rows = [(c, float(w)) for c, w in zip(cols, weights)]
     made = df.sparkSession.createDataFrame(rows, IMPORTANCE_SCHEMA)
     return made.orderBy(F.desc("importance"), "feature")
