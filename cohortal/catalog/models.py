@@ -16,6 +16,7 @@ from cohortal.models.boosting import fit_boosted
 from cohortal.models.buyer import train_classifier
 from cohortal.models.calibration import fit_calibrator
 from cohortal.models.distill import student_report, train_student, train_teacher
+from cohortal.models.isotonic import isotonic_steps
 from cohortal.models.revenue import BOOSTED, train_revenue
 from cohortal.models.stacking import train_stacking
 from cohortal.operators import features, sampling, splits
@@ -78,6 +79,30 @@ def _calibrated(method: str):
 
 query("platt")(_calibrated("platt"))
 query("isotonic")(_calibrated("isotonic"))
+
+# Steps are the slopes of the greatest convex minorant of the running sums: from each corner the next one
+# is where the line is flattest, the farthest of equals.
+ISOTONIC = f"""WITH RECURSIVE {SCORED},
+points AS MATERIALIZED (SELECT value / 250.0 AS x, count(*) AS w, sum(buyer_d7) AS t FROM scored GROUP BY value),
+sums AS MATERIALIZED (SELECT x, lead(x) OVER up AS following, row_number() OVER up AS i, CAST(sum(w) OVER up AS DOUBLE) AS w, CAST(sum(t) OVER up AS DOUBLE) AS t
+  FROM points WINDOW up AS (ORDER BY x)),
+corners AS (
+  SELECT CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS t
+  UNION ALL
+  SELECT n.i, n.w, n.t FROM corners c, LATERAL (
+    SELECT s.i, s.w, s.t FROM sums s WHERE s.i > c.i ORDER BY round((s.t - c.t) / (s.w - c.w), 12), s.i DESC LIMIT 1) n),
+steps AS (SELECT i, lag(i) OVER (ORDER BY i) AS before, w - lag(w) OVER (ORDER BY i) AS weight, t - lag(t) OVER (ORDER BY i) AS total FROM corners)
+SELECT {r('a.x', 'low', 9)}, {r('b.x', 'high', 9)}, {r('total / weight', 'value', 9)}, weight
+FROM steps JOIN sums a ON a.i = before + 1 JOIN sums b ON b.i = steps.i"""
+
+
+@query("isotonic_steps", ISOTONIC)
+def isotonic_exact(spark, sf_dir):
+    """Exact steps of the buying rate over unrounded scores."""
+    df = scored(spark, sf_dir).select((F.col("value") / 250.0).alias("p"), "buyer_d7")
+    return rounded(isotonic_steps(df, "p", "buyer_d7"), 9)
+
+
 query("beta_cal")(_calibrated("beta"))
 query(
     "no_calibration",

@@ -11,6 +11,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortal.functions.scalars import clip
+from cohortal.models.isotonic import isotonic_steps
 from cohortal.models.base import positive_probability, stored_params
 from cohortal.sources.files import write_params
 
@@ -60,13 +61,13 @@ def fit_calibrator(
     regularization: float = 1e-3,
     epsilon: float = 1e-6,
     max_iter: int = 200,
-    digits: int = 6,
 ) -> Calibrator:
     """Fit on a scored, labelled table; a label with one class gives the identity.
 
     The logistic penalty is per-row in Spark, so the total penalty is divided by
-    the weighted row count. Classes are weighted to equal totals. The isotonic fit
-    takes scores rounded to ``digits`` places, so it has at most 10**digits + 1 points.
+    the weighted row count; classes are weighted to equal totals. The isotonic
+    fit takes the scores as they are: its steps are found on the executors, and
+    the model interpolates between the ends of neighbouring steps.
     """
     if method not in METHODS:
         raise ValueError(f"unsupported calibration method: {method}")
@@ -78,12 +79,10 @@ def fit_calibrator(
         "_cal", F.col(label).cast("double").alias("_y"), weight.alias("_w")
     )
     if method == "isotonic":
-        # Equal scores pool anyway: one weighted point per rounded score.
-        points = df.groupBy(F.round(F.col(score), digits).alias("_x")).agg(
-            F.avg((F.col(label) == 1).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w")
-        )
+        steps = isotonic_steps(df.withColumn("_hit", (F.col(label) == 1).cast("double")), score, "_hit")
+        ends = steps.select(F.explode(F.array_distinct(F.array("low", "high"))).alias(score), F.col("value").alias("_y"), F.col("weight").alias("_w"))
         stairs = IsotonicRegression(featuresCol="_cal", labelCol="_y", weightCol="_w", predictionCol="_cal_out")
-        fitted = stairs.fit(_vector(points.withColumnRenamed("_x", score), method, score, epsilon))
+        fitted = stairs.fit(_vector(ends, method, score, epsilon))  # rising already, so taken over as they are
         return Calibrator(method, epsilon, fitted)
     logistic = LogisticRegression(
         featuresCol="_cal", labelCol="_y", weightCol="_w", probabilityCol="_cal_p",
