@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortal.catalog.registry import query, r, rounded, rs
-from cohortal.catalog.views_sql import CELLS, IMPRESSIONS, cell_stats, md5_code
-from cohortal.operators import features
+from cohortal.catalog.views_sql import CELLS, IMPRESSIONS, cell_stats, md5_code, md5_key
+from cohortal.operators import features, target_stats
 from cohortal.plans.prepare import engineer, flatten_nested
 from cohortal.sources.views import impressions, table, wide_impressions
 
@@ -303,3 +303,37 @@ def engineer_all(spark, sf_dir):
         "row_id", "carrier", "install_velocity", "category_avg_purchase_value", "session_consistency",
         "engagement_score", "hour_sin", "never_bought_before", "country_local_spend_rank",
     ))
+
+
+ORDERED = ("advertiser_category", "country", "user_id")
+
+
+def _ordered_sql() -> str:
+    key = md5_key()
+    stat = lambda c: r(
+        f"(coalesce(sum(buyer_d7) OVER (PARTITION BY {c} ORDER BY {key}, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5) "
+        f"/ (count(*) OVER (PARTITION BY {c} ORDER BY {key}, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1)",
+        f"{c}_ts",
+    )
+    return f"WITH {IMPRESSIONS} SELECT row_id, {', '.join(map(stat, ORDERED))} FROM imp"
+
+
+@query("ordered_target_stats", _ordered_sql())
+def ordered_target_stats(spark, sf_dir):
+    """Few, some and very many values of a category, all encoded by the labels of earlier rows."""
+    out = target_stats.ordered_stats(impressions(spark, sf_dir), ORDERED, "buyer_d7", portable=True)
+    return rounded(out.select("row_id", *[f"{c}_ts" for c in ORDERED]))
+
+
+@query(
+    "category_encoder",
+    f"""WITH {IMPRESSIONS}, early AS (SELECT country, buyer_d7 FROM imp WHERE datetime < '2024-01-16-00-00'),
+    t AS (SELECT country, sum(buyer_d7) AS total, count(*) AS n FROM early GROUP BY country)
+    SELECT row_id, {r('coalesce((total + 0.5) / (n + 1), 0.5)', 'country_ts')} FROM imp LEFT JOIN t ON t.country IS NOT DISTINCT FROM imp.country
+    WHERE datetime >= '2024-01-16-00-00'""",
+)
+def category_encoder(spark, sf_dir):
+    """Totals of the first half of the month applied to the second."""
+    imp = impressions(spark, sf_dir)
+    encoder = target_stats.fit_encoder(imp.where("datetime < '2024-01-16-00-00'"), ["country"], "buyer_d7")
+    return rounded(encoder.apply(imp.where("datetime >= '2024-01-16-00-00'").select("row_id", "country")).select("row_id", "country_ts"))

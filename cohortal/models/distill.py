@@ -8,59 +8,53 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortal.functions.scalars import clip
 from cohortal.models.base import positive_probability, stored_params
 from cohortal.operators.metrics import evaluate, roc_auc
+from cohortal.operators.target_stats import CategoryEncoder, fit_encoder, load_encoder, ordered_stats
 from cohortal.sources.files import write_params
 
-CATEGORY_BUCKETS = 256
+BINS = 64
 
 
-def _pipeline(numeric: Sequence[str], categories: Sequence[str], estimator: Any, wide: Sequence[str] = (), buckets: int = CATEGORY_BUCKETS) -> Pipeline:
-    """Indexes categories by frequency (unseen values share one index) and assembles the vector.
+@dataclass
+class EncodedTrees:
+    """Trees over numbers and over categories as ordered target statistics of their own label."""
 
-    Categories in ``wide`` are first hashed into ``buckets`` groups.
-    """
-    indexed = [f"{c}_ix" for c in categories]
-    stages: list[Any] = []
-    source = {c: c for c in categories}
-    if wide:
-        source |= {c: f"{c}_bucket" for c in wide}
-        made = ", ".join(f"CAST(pmod(xxhash64(`{c}`), {buckets}) AS STRING) AS `{c}_bucket`" for c in wide)
-        stages.append(SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__"))
-    if categories:
-        stages.append(StringIndexer(inputCols=[source[c] for c in categories], outputCols=indexed, handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[*numeric, *indexed], outputCol="features", handleInvalid="keep"))
-    return Pipeline(stages=[*stages, estimator])
+    encoder: CategoryEncoder
+    pipeline: PipelineModel
+    ident: str = "row_id"
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Statistics of all training rows, then the trees."""
+        spread = self.ident if self.ident in df.columns else df.columns
+        return self.pipeline.transform(self.encoder.apply(df, spread))
 
-def _widths(df: DataFrame, categories: Sequence[str], buckets: int) -> tuple[list[str], int]:
-    """Categories with more values than ``buckets``, and the bins that the others and the buckets need."""
-    if not categories:
-        return [], 32
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in categories]).first()
-    wide = [c for c in categories if counts[c] > buckets]
-    narrow = max((counts[c] for c in categories if c not in wide), default=0)
-    return wide, max(32, narrow + 2, (buckets + 2) if wide else 0)
+    def save(self, path: str) -> None:
+        self.encoder.save(f"{path}/encoder")
+        self.pipeline.write().overwrite().save(f"{path}/trees")
 
 
-def _save_pair(model: Any, path: str) -> None:
-    model.classifier.write().overwrite().save(f"{path}/classifier")
-    model.regressor.write().overwrite().save(f"{path}/regressor")
+def load_encoded(spark: SparkSession, path: str) -> EncodedTrees:
+    return EncodedTrees(load_encoder(spark, f"{path}/encoder"), PipelineModel.load(f"{path}/trees"))
 
 
-def _load_pair(path: str) -> tuple[PipelineModel, PipelineModel]:
-    return PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/regressor")
+def _fit(rows: DataFrame, numeric: Sequence[str], categories: Sequence[str], estimator: Any, label: str, prior: float, ident: str) -> EncodedTrees:
+    """Training rows carry the statistics of the rows before them, so none sees its own label."""
+    encoder = fit_encoder(rows, categories, label, prior)
+    encoded = ordered_stats(rows, categories, label, ident, prior)
+    vector = VectorAssembler(inputCols=[*numeric, *encoder.names], outputCol="features", handleInvalid="keep")
+    return EncodedTrees(encoder, Pipeline(stages=[vector, estimator]).fit(encoded), ident)
 
 
 @dataclass
 class Teacher:
-    classifier: PipelineModel
-    regressor: PipelineModel
+    classifier: EncodedTrees
+    regressor: EncodedTrees
     columns: list[str]
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -72,7 +66,8 @@ class Teacher:
         return out.select(*keep, "p_teacher_buy", expected.alias("rev_teacher_expected"))
 
     def save(self, path: str) -> None:
-        _save_pair(self, path)
+        self.classifier.save(f"{path}/classifier")
+        self.regressor.save(f"{path}/regressor")
         write_params(SparkSession.active(), {"columns": self.columns}, f"{path}/params")
 
 
@@ -85,27 +80,27 @@ def train_teacher(
     log_target: str = "iap_revenue_d7_log",
     rounds: int = 20,
     depth: int = 5,
-    buckets: int = CATEGORY_BUCKETS,
+    ident: str = "row_id",
 ) -> Teacher:
     """Classifier on all rows; regressor on (rebalanced) buyers against log1p revenue.
 
-    Categories with more than ``buckets`` values are hashed into so many groups.
+    Categories of any number of values become ordered target statistics, along
+    a fixed pseudorandom order of the rows' ids.
     """
-    wide, bins = _widths(df, categories, buckets)
-    size = dict(maxIter=rounds, maxDepth=depth, maxBins=bins, seed=42)
+    size = dict(maxIter=rounds, maxDepth=depth, maxBins=BINS, seed=42)
     clf = GBTClassifier(featuresCol="features", labelCol=label, **size)
     reg = GBTRegressor(featuresCol="features", labelCol=log_target, **size)
     return Teacher(
-        _pipeline(numeric, categories, clf, wide, buckets).fit(df.withColumn(label, F.col(label).cast("double"))),
-        _pipeline(numeric, categories, reg, wide, buckets).fit(buyers_log),
+        _fit(df.withColumn(label, F.col(label).cast("double")), numeric, categories, clf, label, 0.5, ident),
+        _fit(buyers_log, numeric, categories, reg, log_target, 0.0, ident),
         [*numeric, *categories],
     )
 
 
 @dataclass
 class Student:
-    classifier: PipelineModel
-    regressor: PipelineModel
+    classifier: EncodedTrees
+    regressor: EncodedTrees
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``p_student_buy`` in [0, 1] and ``rev_student`` >= 0."""
@@ -115,7 +110,8 @@ class Student:
         return out.select(*keep, "p_student_buy", clip(F.col("prediction"), 0.0).alias("rev_student"))
 
     def save(self, path: str) -> None:
-        _save_pair(self, path)
+        self.classifier.save(f"{path}/classifier")
+        self.regressor.save(f"{path}/regressor")
 
 
 def train_student(
@@ -124,23 +120,23 @@ def train_student(
     categories: Sequence[str],
     rounds: int = 20,
     depth: int = 4,
-    buckets: int = CATEGORY_BUCKETS,
+    ident: str = "row_id",
 ) -> Student:
     """Two small regressors on the teacher's soft targets."""
-    wide, bins = _widths(taught, categories, buckets)
-    size = dict(maxIter=rounds, maxDepth=depth, maxBins=bins, seed=42)
-    fit = lambda target: _pipeline(
-        numeric, categories, GBTRegressor(featuresCol="features", labelCol=target, **size), wide, buckets
-    ).fit(taught)
-    return Student(fit("p_teacher_buy"), fit("rev_teacher_expected"))
+    size = dict(maxIter=rounds, maxDepth=depth, maxBins=BINS, seed=42)
+    fit = lambda target, prior: _fit(
+        taught, numeric, categories, GBTRegressor(featuresCol="features", labelCol=target, **size), target, prior, ident
+    )
+    return Student(fit("p_teacher_buy", 0.5), fit("rev_teacher_expected", 0.0))
 
 
 def load_teacher(spark: SparkSession, path: str) -> Teacher:
-    return Teacher(*_load_pair(path), stored_params(spark, path)["columns"])
+    pair = (load_encoded(spark, f"{path}/{part}") for part in ("classifier", "regressor"))
+    return Teacher(*pair, stored_params(spark, path)["columns"])
 
 
 def load_student(spark: SparkSession, path: str) -> Student:
-    return Student(*_load_pair(path))
+    return Student(*(load_encoded(spark, f"{path}/{part}") for part in ("classifier", "regressor")))
 
 
 def student_report(scored: DataFrame, label: str = "buyer_d7") -> DataFrame:

@@ -126,12 +126,13 @@ def test_stream_scores_like_the_batch(spark, run, tmp_path):
 
 
 def test_wide_categories_and_reload(spark, tmp_path):
-    """2,000 values of a category are hashed into groups; a saved pair scores like the fitted one."""
+    """2,000 values of a category are encoded each by its own labels; a saved pair scores like the fitted one."""
     rows = [(i, float(i % 7), f"device{i % 2000}", float(i % 5 == 0), float(i % 3), 0.2, 1.0) for i in range(4000)]
     df = spark.createDataFrame(rows, "row_id long, x double, device string, buyer_d7 double, iap_revenue_d7_log double, p_teacher_buy double, rev_teacher_expected double")
     plain = df.drop("p_teacher_buy", "rev_teacher_expected")
-    teacher = train_teacher(plain, plain.where("buyer_d7 = 1"), ["x"], ["device"], rounds=1, depth=2, buckets=64)
-    student = train_student(df, ["x"], ["device"], rounds=1, depth=2, buckets=64)
+    teacher = train_teacher(plain, plain.where("buyer_d7 = 1"), ["x"], ["device"], rounds=1, depth=2)
+    student = train_student(df, ["x"], ["device"], rounds=1, depth=2)
+    assert teacher.classifier.encoder.tables["device"].count() == 2000
     teacher.save(str(tmp_path / "t"))
     student.save(str(tmp_path / "s"))
     again = load_teacher(spark, str(tmp_path / "t"))
