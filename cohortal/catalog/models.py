@@ -50,6 +50,22 @@ def gbt_buyer(spark, sf_dir):
     return rounded(model.metrics(val, "buyer_d7"), 4)
 
 
+@query("best_round_buyer", "SELECT * FROM (VALUES ('patience_kept', true), ('rounds_are_the_minimum', true), ('scores_in_range', true)) AS v(check_name, holds)")
+def best_round_buyer(spark, sf_dir):
+    """What the early stop of the buyer model promises, checked on its own curve and scores."""
+    train, val = encoded_split(spark, sf_dir)
+    model = train_classifier(train, val, COLUMNS, "buyer_d7", patience=3, rounds=12, depth=4, rate=0.4)
+    curve = [losses[0] for losses in model.model.curve]
+    best = curve.index(min(curve)) + 1
+    outside = model.score(val).where("NOT coalesce(buyer_proba BETWEEN 0 AND 1, false)").count()
+    rows = [
+        ("rounds_are_the_minimum", model.model.best_rounds == [best]),
+        ("patience_kept", len(curve) == min(12, best + 3)),
+        ("scores_in_range", outside == 0),
+    ]
+    return spark.createDataFrame(rows, "check_name string, holds boolean")
+
+
 @query("gbt_high_value")
 def gbt_high_value(spark, sf_dir):
     train, val = encoded_split(spark, sf_dir)

@@ -38,6 +38,18 @@ def test_classifier_scores_and_reloads(spark, imp, tmp_path):
     assert model.importance(spark).count() == len(COLUMNS)
 
 
+def test_classifier_keeps_its_best_round(spark, imp, tmp_path):
+    val = imp.where("row_id % 5 = 0")
+    model = train_classifier(imp.where("row_id % 5 <> 0"), val, COLUMNS, "buyer_d7", patience=2, rounds=6, depth=3, rate=1.5, min_rows=2)
+    curve = [c[0] for c in model.model.curve]
+    assert model.model.best_rounds == [curve.index(min(curve)) + 1]
+    out = model.score(imp)
+    assert out.where("NOT buyer_proba BETWEEN 0 AND 1").count() == 0
+    model.save(str(tmp_path / "m"))
+    assert same(out, load_classifier(spark, str(tmp_path / "m")).score(imp), "buyer_proba")
+    assert model.importance(spark).count() == len(COLUMNS)
+
+
 @pytest.mark.parametrize("method", ["platt", "isotonic", "beta", "none"])
 def test_calibrators(spark, sf_dir, tmp_path, method):
     df = scored(spark, sf_dir).select("row_id", "buyer_d7", "buyer_proba")
