@@ -117,6 +117,85 @@ def random_partition_pick(spark, sf_dir):
     return hourly.pick_groups(df, "datetime", 15, portable=True)
 
 
+def _folder(spark, kind: str) -> str:
+    return f"{scratch_dir(spark)}/sources/{kind}-{uuid.uuid4().hex}"
+
+
+RAW = "row_id bigint, user_id bigint, value double, datetime string"
+
+
+_HOURLY: dict[tuple[str, str], str] = {}
+
+
+def _hourly_folder(spark, sf_dir) -> str:
+    """All events as ``datetime=<hour>`` folders, three of them replaced afterwards; written once per application."""
+    made = spark.sparkContext.applicationId, sf_dir
+    if made in _HOURLY:
+        return _HOURLY[made]
+    path = _HOURLY[made] = _folder(spark, "hourly")
+    rows = impressions(spark, sf_dir).select("row_id", "user_id", "value", "datetime")
+    hourly.write_hourly(rows, path)
+    again = hourly.scan_window(rows, "2024-01-05-03-00", "2024-01-05-05-00")
+    hourly.write_hourly(again.withColumn("value", F.col("value") + 1000.0), path)
+    return path
+
+
+REPLACED = "CASE WHEN datetime BETWEEN '2024-01-05-03-00' AND '2024-01-05-05-00' THEN value + 1000.0::DOUBLE ELSE value END"
+
+
+@query(
+    "hourly_folders",
+    f"""WITH {EVENTS} SELECT datetime, count(*) AS n, round(sum({REPLACED}), 4) AS value FROM ev
+    WHERE datetime BETWEEN '{TRAIN[0]}' AND '{TRAIN[1]}' GROUP BY datetime""",
+)
+def hourly_folders(spark, sf_dir):
+    """A window of real hour folders, read by their names only."""
+    df = hourly.read_hourly(spark, _hourly_folder(spark, sf_dir), RAW)
+    return hourly.scan_window(df, *TRAIN).groupBy("datetime").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query(
+    "folder_datetime",
+    f"""WITH {EVENTS} SELECT row_id, substr(datetime, 1, 10) || ' ' || substr(datetime, 12, 2) || ':' || substr(datetime, 15, 2) || ':00' AS path_datetime FROM ev""",
+)
+def folder_datetime(spark, sf_dir):
+    """The hour of every row from the path of the file it was read from."""
+    out = hourly.with_path_datetime(hourly.read_hourly(spark, _hourly_folder(spark, sf_dir), RAW))
+    return out.select("row_id", F.date_format("path_datetime", "yyyy-MM-dd HH:mm:ss").alias("path_datetime"))
+
+
+@query(
+    "folder_draw",
+    f"""WITH {EVENTS}, drawn AS (
+      SELECT f FROM (SELECT DISTINCT 'datetime=' || datetime AS f FROM ev) ORDER BY {md5_key('f')}, f LIMIT 12)
+    SELECT row_id, datetime, {REPLACED} AS value FROM ev WHERE 'datetime=' || datetime IN (SELECT f FROM drawn)""",
+)
+def folder_draw(spark, sf_dir):
+    """Whole folders drawn by the path of their files."""
+    df = hourly.read_hourly(spark, _hourly_folder(spark, sf_dir), RAW)
+    named = df.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"(datetime=[^/]+)/", 1))
+    return hourly.pick_groups(named, "folder", 12, portable=True).select("row_id", "datetime", "value")
+
+
+@query(
+    "mixed_files",
+    """SELECT 'bare' AS folder, 'no values' AS status, count(*) AS rows, 0::BIGINT AS labelled FROM events
+    UNION ALL SELECT 'broken', 'skipped', 0, 0 UNION ALL SELECT 'cut', 'skipped', 0, 0
+    UNION ALL SELECT 'good', 'read', count(*), count(value) FROM events""",
+)
+def mixed_files(spark, sf_dir):
+    """A folder with one sound file, one without the column, one cut in half and one that is no table at all."""
+    path = _folder(spark, "mixed")
+    rows = impressions(spark, sf_dir).select("row_id", "value")
+    rows.coalesce(1).write.parquet(f"{path}/good")
+    rows.select("row_id").coalesce(1).write.parquet(f"{path}/bare")
+    whole = spark.read.format("binaryFile").load(f"{path}/good").select("content", (F.col("length") / 2).cast("int").alias("n"))
+    whole.select(F.expr("CAST(substring(content, 1, n) AS STRING)")).write.text(f"{path}/cut")
+    rows.select(F.col("row_id").cast("string")).coalesce(1).write.text(f"{path}/broken")
+    found = hourly.file_report(spark, path, "value", "double")
+    return found.select(F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1).alias("folder"), "status", "rows", "labelled")
+
+
 @query("limit_rows", f"WITH {EVENTS} SELECT row_id, value FROM ev ORDER BY row_id LIMIT 1000")
 def limit_rows(spark, sf_dir):
     return hourly.limit_rows(impressions(spark, sf_dir).select("row_id", "value"), 1000)

@@ -33,6 +33,17 @@ def read_hourly(
     return reader.parquet(path).withColumn("datetime", F.col("datetime").cast("string"))
 
 
+def write_hourly(df: DataFrame, path: str) -> None:
+    """Write rows into their ``datetime=<hour>`` folders; only the hours at hand are replaced, all others stay.
+
+    Rows are gathered by hour, a large hour by several tasks and small ones by
+    few, so that no hour is scattered over many files. Rows without an hour go
+    to the default folder that partitioned tables have for nulls.
+    """
+    gathered = df.hint("rebalance", "datetime")
+    gathered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("datetime").parquet(path)
+
+
 def scan_window(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows with start <= datetime <= end; either end may be open."""
     if start is not None:
@@ -103,6 +114,23 @@ def readable_files(spark: SparkSession, path: str, column: str, kind: str | None
     )
 
 
+def file_report(spark: SparkSession, path: str, column: str, kind: str) -> DataFrame:
+    """(file_path, status, rows, labelled) of every input file.
+
+    ``read``: the column has values. ``no values``: the file is sound but lacks
+    the column or has nulls only. ``skipped``: nothing came out of it, because it
+    is broken, cut off or empty. Files are listed without being opened; the
+    reader opens that one column of each and goes on past those it cannot read.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_path"))
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").schema(f"`{column}` {kind}")
+    own = F.col("_metadata.file_path").alias("file_path")
+    counts = reader.parquet(path).select(own, column).groupBy("file_path").agg(F.count(F.lit(1)).alias("rows"), F.count(column).alias("labelled"))
+    status = F.when(F.col("rows").isNull(), "skipped").when(F.col("labelled") == 0, "no values").otherwise("read")
+    joined = listed.join(counts, "file_path", "left")
+    return joined.select("file_path", status.alias("status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "labelled")])
+
+
 def pick_groups(
     df: DataFrame, column: str, n: int, seed: int = 42, portable: bool = False
 ) -> DataFrame:

@@ -58,6 +58,30 @@ def test_readable_files_skip_broken_and_unlabelled(spark, tmp_path):
     assert len(found) == 1 and found[0]["labelled"] == 5
 
 
+def test_report_names_every_file(spark, tmp_path):
+    spark.range(5).withColumn("y", F.lit(1.5)).coalesce(1).write.parquet(str(tmp_path / "good"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "bare"))
+    spark.range(3).withColumn("y", F.lit(None).cast("double")).coalesce(1).write.parquet(str(tmp_path / "nulls"))
+    whole = next((tmp_path / "good").glob("*.parquet")).read_bytes()
+    (tmp_path / "cut.parquet").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "no.parquet").write_bytes(b"no parquet")
+    found = {r.file_path.split("/")[-2] + "/" + r.file_path.split("/")[-1][:3]: (r.status, r.rows, r.labelled) for r in hourly.file_report(spark, str(tmp_path), "y", "double").collect()}
+    assert sorted(found.values()) == [("no values", 3, 0), ("no values", 7, 0), ("read", 5, 5), ("skipped", 0, 0), ("skipped", 0, 0)]
+
+
+def test_hours_are_replaced_one_by_one(spark, tmp_path):
+    """Writing some hours again leaves the others; a large hour may take several files, a small one takes one."""
+    path = str(tmp_path / "h")
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "2024-01-01-00-00").otherwise("2024-01-01-01-00").alias("datetime"), F.lit(1).alias("v"))
+    hourly.write_hourly(df, path)
+    hourly.write_hourly(df.where("id >= 900 AND id < 950").withColumn("v", F.lit(2)), path)
+    back = hourly.read_hourly(spark, path, "id bigint, v int, datetime string")
+    assert {(r.datetime, r.v): r["count"] for r in back.groupBy("datetime", "v").count().collect()} == {("2024-01-01-00-00", 1): 900, ("2024-01-01-01-00", 2): 50}
+    small = hourly.scan_window(back, "2024-01-01-01-00")
+    assert small.select(F.col("_metadata.file_path")).distinct().count() == 1
+    assert "PartitionFilters: [isnotnull(datetime" in plan_of(small)
+
+
 def test_random_file_pick_is_seeded(spark, hourly_path):
     df = spark.read.parquet(hourly_path).withColumn("file", F.col("_metadata.file_path"))
     one = hourly.pick_groups(df, "file", 5, seed=1)
