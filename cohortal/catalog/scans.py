@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cohortal.catalog.registry import query, rounded
@@ -11,6 +12,7 @@ from cohortal.catalog.views_sql import EVENTS, IMPRESSIONS, md5_key
 from cohortal.core.settle import scratch_dir
 from cohortal.sources import files, hourly
 from cohortal.sources.views import impressions
+from cohortal.streaming.scoring import score_chunks
 
 TRAIN = ("2024-01-03-00-00", "2024-01-12-23-00")
 VAL = ("2024-01-13-00-00", "2024-01-15-23-00")
@@ -230,3 +232,31 @@ def prediction_csv(spark, sf_dir):
     made = impressions(spark, sf_dir).select("row_id", (F.col("value") * 0.5).alias("p"))
     files.write_predictions(made, path, "p")
     return rounded(files.read_predictions(spark, path))
+
+
+@query(
+    "chunked_scoring",
+    f"""WITH {EVENTS} SELECT CAST(row_id AS VARCHAR) AS row_id, round(value * 0.25::DOUBLE, 6) AS iap_revenue_d7 FROM ev""",
+)
+def chunked_scoring(spark, sf_dir):
+    """All rows scored in chunks; the first run breaks off after writing its second chunk, the next one goes on."""
+    folder = _folder(spark, "chunks")
+    impressions(spark, sf_dir).select("row_id", "value").repartition(6).write.parquet(f"{folder}/in")
+    broken = []
+
+    def score(chunk):
+        out = chunk.select(F.col("row_id").cast("string").alias("row_id"), (F.col("value") * 0.25).alias("iap_revenue_d7"))
+        if len(broken) == 1:
+            out.write.mode("overwrite").option("header", "true").csv(f"{folder}/out/batch=1")
+            broken.append(1)
+            raise RuntimeError("stopped after a write")
+        broken.append(0)
+        return out
+
+    for _ in range(2):
+        run = score_chunks(spark, score, f"{folder}/in", "row_id bigint, value double", f"{folder}/out", f"{folder}/checkpoint", files_per_chunk=2)
+        try:
+            run.awaitTermination()
+        except StreamingQueryException:
+            continue
+    return rounded(files.read_predictions(spark, f"{folder}/out").select("row_id", "iap_revenue_d7"))
