@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortal.catalog.registry import names_table, query, r, rounded
 from cohortal.catalog.views_sql import IMPRESSIONS
-from cohortal.operators import profiling, selection
+from cohortal.operators import neighbours, profiling, selection
 from cohortal.sources.views import impressions, table
 
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -187,3 +187,33 @@ def select_features(spark, sf_dir):
         (*MODEL_COLUMNS, "value_again"), "buyer_d7", rounds=5,
     )
     return report.table(spark)
+
+
+MI_COLUMNS = ("hour", "weekday", "k", "cents")
+
+
+def _nearest_mi_sql() -> str:
+    """The estimate by comparing all rows of a feature, equal values taken together."""
+    psi = lambda n: "(" + "ln({0} + 6) - 1 / (2 * ({0} + 6)) - 1 / (12 * power({0} + 6, 2)) + 1 / (120 * power({0} + 6, 4)) - 1 / (252 * power({0} + 6, 6))".format(f"{n}::DOUBLE") + "".join(
+        f" - 1 / ({n}::DOUBLE + {j})" for j in range(6)
+    ) + ")"
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, buyer_d7 AS label, CAST({'round(value * 100)' if c == 'cents' else c} AS BIGINT) AS v FROM imp" for c in MI_COLUMNS)
+    return f"""WITH {IMPRESSIONS}, long AS ({long}),
+    counts AS (SELECT feature, label, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature, label) AS size FROM long GROUP BY feature, label, v),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY feature, label ORDER BY v) AS i, least(3, size - 1) AS k FROM counts WHERE size > 1),
+    met AS (SELECT a.feature, a.label, a.v, a.k, abs(a.v - b.v) AS far, sum(b.n - CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS n
+      FROM ranked a JOIN ranked b ON a.feature = b.feature AND a.label = b.label AND b.i BETWEEN a.i - 3 AND a.i + 3 GROUP BY ALL),
+    seen AS (SELECT *, sum(n) OVER (PARTITION BY feature, label, v ORDER BY far) AS upto FROM met),
+    radii AS (SELECT feature, label, v, min(far) AS d FROM seen WHERE upto >= k GROUP BY ALL),
+    points AS (SELECT feature, v, sum(n) AS n FROM ranked GROUP BY feature, v),
+    inside AS (SELECT r.feature, r.label, r.v, sum(p.n) AS m FROM radii r JOIN points p
+      ON p.feature = r.feature AND (abs(p.v - r.v) < r.d OR p.v = r.v) GROUP BY ALL)
+    SELECT feature, {r(f"greatest({psi('sum(n)')} - sum(n * {psi('size')}) / sum(n) + sum(n * {psi('k')}) / sum(n) - sum(n * {psi('m')}) / sum(n), 0)", 'mi', 6)}
+    FROM ranked JOIN inside USING (feature, label, v) GROUP BY feature"""
+
+
+@query("nearest_mi", _nearest_mi_sql())
+def nearest_mi(spark, sf_dir):
+    """Few and many distinct values against the buying label."""
+    df = impressions(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100))
+    return rounded(neighbours.nearest_mi(df, MI_COLUMNS, "buyer_d7"))
