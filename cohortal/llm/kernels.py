@@ -20,9 +20,10 @@ from cohortal.llm.sampling import bounded_sample
 from cohortal.llm.words import Piece, pieces, small_batches, table, text_bytes
 
 LANDMARKS = 24  # texts per language
+ALL_LANDMARKS = 768  # with more languages each has fewer, but one at least
 LANDMARK_BYTES = 4_000  # longer texts are landmarks only where a language has no others
 TRAINING = 1_500  # texts per language that the regression is fitted on
-MOST_LANGUAGES = 64  # the most frequent labels are learned
+ALL_VALUES = 16_000_000  # kernel values that are fitted; with more languages each has fewer texts
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -127,36 +128,53 @@ class LanguageModel:
         return found.argmax(axis=1), np.clip((found.max(axis=1) + 1) / 2, 0, 1)
 
 
-def learn(train: DataFrame) -> LanguageModel:
-    """``train`` has label (never null) and bytes. Only bounded samples of it are gathered."""
+def sample_sizes(n_labels: int) -> tuple[int, int]:
+    """Landmarks and fitted texts per language, so that both tables stay bounded for any number of languages."""
+    marks = max(1, min(LANDMARKS, ALL_LANDMARKS // max(1, n_labels)))
+    return marks, max(2 * marks, min(TRAINING, ALL_VALUES // (marks * max(1, n_labels) ** 2)))
+
+
+def learn(train: DataFrame, settle) -> LanguageModel:
+    """``train`` has label (never null) and bytes. Every label is learned, from bounded samples of distinct texts."""
     small_batches(train.sparkSession)
-    short = train.withColumn("size", F.length("bytes"))
-    order = F.col("bytes")
-    sample = short.where(F.col("size") <= LANDMARK_BYTES)
-    chosen = bounded_sample(sample, "label", LANDMARKS, order, MOST_LANGUAGES).select("label", "bytes").collect()
-    have = {r["label"] for r in chosen}
-    # A language of long texts only gives its shortest few.
-    for label in [r["label"] for r in short.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LANGUAGES).collect()]:
-        if label not in have:
-            chosen += short.where(F.col("label") == label).orderBy("size", "bytes").limit(2).select("label", "bytes").collect()
-    if not chosen:
+    short = train.withColumns({"size": F.length("bytes"), "hash": F.xxhash64("bytes")})
+    # Copies of a text count once: 16 bytes a text are shuffled, the texts stay where they are.
+    known = settle(short.select("label", "hash", "size").distinct(), "language-texts")
+    every = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not every:
         return LanguageModel([], None, None)
-    chosen = sorted({(r["label"], bytes(r["bytes"])) for r in chosen})
-    kernel = Kernel.of([b for _, b in chosen])
-    labels = sorted({label for label, _ in chosen})
-    fitted = bounded_sample(short, "label", TRAINING, order, MOST_LANGUAGES).where(F.col("label").isin(labels))
-    rows = kernel_rows(fitted.select("label", "bytes"), kernel).collect()
+    labels = sorted(every)
+    marks, training = sample_sizes(len(labels))
+    order = F.col("hash")
+    chosen = bounded_sample(known.where(F.col("size") <= LANDMARK_BYTES), "label", marks, order, len(labels)).select("label", "hash")
+    # A language of long texts only gives its shortest few.
+    long_only = known.join(chosen.select("label").distinct(), "label", "left_anti")
+    shortest = long_only.groupBy("label").agg(F.min(F.struct("size", "hash"))["hash"].alias("hash"))
+    fitted = bounded_sample(known, "label", training, order, len(labels)).select("label", "hash")
+    picked = settle(
+        chosen.union(shortest).withColumn("mark", F.lit(True)).unionByName(fitted.withColumn("mark", F.lit(False))).groupBy("label", "hash").agg(F.max("mark").alias("mark"), F.min("mark").alias("only")),
+        "language-picked",
+    )
+    # A bounded table; of the copies of a text the first one found stays.
+    texts = short.join(F.broadcast(picked), ["label", "hash"]).groupBy("label", "hash").agg(F.first("bytes").alias("bytes"), F.max("mark").alias("mark"), F.min("only").alias("only"))
+    texts = settle(texts, "language-sample")
+    found = sorted((r["label"], bytes(r["bytes"])) for r in texts.where("mark").select("label", "bytes").collect())
+    kernel = Kernel.of([b for _, b in found])
+    rows = kernel_rows(texts.where("not only").select("label", "bytes"), kernel).collect()
     values = np.stack([np.frombuffer(bytes(r["values"]), np.float32) for r in rows])
-    data = np.frombuffer(b"".join(b for _, b in chosen), np.uint8)
-    among = kernel.values(Piece(0, data, np.cumsum([0, *[len(b) for _, b in chosen]])))
-    numbers = np.array([labels.index(r["label"]) for r in rows])
+    data = np.frombuffer(b"".join(b for _, b in found), np.uint8)
+    among = kernel.values(Piece(0, data, np.cumsum([0, *[len(b) for _, b in found]])))
+    place = {label: k for k, label in enumerate(labels)}
+    numbers = np.array([place[r["label"]] for r in rows])
     return LanguageModel(labels, kernel, fit(values, (among + among.T) / 2, numbers, len(labels)))
 
 
-def identify_languages(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def identify_languages(docs: DataFrame, settle, *, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    Documents whose crc32(doc_id) mod 4 is 2 are never learned from. A null
+    Documents whose crc32(doc_id) mod 4 is 2 are never learned from. Every
+    label of the others is learned, however many there are; of equal scores the
+    first label by name wins. A null
     text and a text without a letter are ``und`` with score 0, as is every text
     where nothing could be learned. Whole texts are read. Repeated rows and null
     ids (not held out) are scored row by row.
@@ -164,7 +182,7 @@ def identify_languages(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     held = F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 4 == 2
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     train = docs.where(~held & lettered & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("label"), text_bytes(text).alias("bytes"))
-    model = learn(train)
+    model = learn(train, settle)
     rows = docs.select(F.col(doc).alias("doc_id"), held.alias("held_out"), lettered.alias("lettered"), text_bytes(text).alias("bytes"))
     parts = (model.labels, model.kernel and (model.kernel.codes, model.kernel.weights), model.coefficients)
     shared = docs.sparkSession.sparkContext.broadcast(parts)

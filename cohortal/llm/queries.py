@@ -55,7 +55,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.identify_languages(read(spark, sf_dir, "documents"))
+    return kernels.identify_languages(read(spark, sf_dir, "documents"), settle)
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from cohortal.core.settle import settle
 from cohortal.llm import kernels
 from cohortal.llm.words import pieces
 from tests.llm.helpers import crc, empty_table, odd_rows, odd_table
@@ -48,17 +49,48 @@ def test_all_landmarks_give_plain_kernel_ridge_regression():
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
-    out = [r for r in kernels.identify_languages(docs).collect() if r.held_out]
+    out = [r for r in kernels.identify_languages(docs, settle).collect() if r.held_out]
     assert out and np.mean([r.lang_pred == truth[r.doc_id] for r in out]) > 0.95
 
 
 def test_odd_rows(spark):
-    out = kernels.identify_languages(odd_table(spark)).collect()
+    out = kernels.identify_languages(odd_table(spark), settle).collect()
     assert len(out) == len(odd_rows())
     for r in out:
         assert r.held_out == (crc(r.doc_id) % 4 == 2) and 0 <= r.score <= 1
         if r.doc_id in (2, 3, 4, 9):
             assert (r.lang_pred, r.score) == ("und", 0.0)
-    assert kernels.identify_languages(empty_table(spark)).count() == 0
+    assert kernels.identify_languages(empty_table(spark), settle).count() == 0
     nothing = odd_table(spark).selectExpr("doc_id", "text", "cast(null as string) lang")
-    assert {r.lang_pred for r in kernels.identify_languages(nothing).collect()} == {"und"}
+    assert {r.lang_pred for r in kernels.identify_languages(nothing, settle).collect()} == {"und"}
+
+
+def test_seventy_languages_and_a_hot_text(spark):
+    """No label is left out, and copies of one text do not push the others out of its language's sample."""
+    rng = np.random.default_rng(3)
+    rows, n = [], 0
+    for k in range(70):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6, replace=False)
+        stems = ["".join(rng.choice(letters, 5)) for _ in range(12)]
+        for _ in range(12):
+            rows.append((n, " ".join(rng.choice(stems, 30)), f"l{k:02d}"))
+            n += 1
+    rows += [(n + i, "hot hot hot text", "l00") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in kernels.identify_languages(docs.repartition(4), settle).collect()}
+    held = [r for r in rows[:n] if out[r[0]].held_out]
+    assert {out[r[0]].lang_pred for r in rows} == {f"l{k:02d}" for k in range(70)}
+    assert np.mean([out[r[0]].lang_pred == r[2] for r in held]) > 0.9
+
+
+def test_sizes_stay_bounded():
+    assert kernels.sample_sizes(4) == (kernels.LANDMARKS, kernels.TRAINING)
+    for n in (1, 32, 70, 200, 700):
+        marks, texts = kernels.sample_sizes(n)
+        assert marks * n <= kernels.ALL_LANDMARKS and marks * n * texts * n <= kernels.ALL_VALUES
+
+
+def test_equal_scores_take_the_first_language(spark):
+    rows = [(i, "same words here", "b" if i % 2 else "a") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({(r.lang_pred, r.score) for r in kernels.identify_languages(docs, settle).collect()}) == 1
