@@ -1,12 +1,15 @@
 """Quality rules whose cut-offs are chosen under a controlled risk of rejecting good documents.
 
-Each rule rejects documents in which one ratio exceeds a cut-off. Labelled good
-documents are the holdout: a cut-off is certified for a stratum if the exact
-binomial (Clopper-Pearson) upper bound of its share of rejected good documents
-is at most the rule's risk. Cut-offs of a rule are tested from the loosest to
-the strictest and testing stops at the first failure (fixed sequence), and the
-error level is divided by rules and strata (Bonferroni), so that all certified
-cut-offs hold together with probability 1 - ``delta``.
+Each rule rejects documents in which one ratio exceeds a cut-off. The rules are
+tightened together along one path of steps that is fixed before any label is
+seen. Labelled good documents are the holdout: a step is certified for a stratum
+if the exact binomial (Clopper-Pearson) upper bound of the share of good
+documents that any rule rejects there is at most ``risk``. Steps are tested from
+the loosest to the strictest and testing stops at the first failure (fixed
+sequence), and the error level is divided by the strata that are tested
+(Bonferroni), so that all bounds hold together with probability 1 - ``delta``.
+Strata whose good documents are too few for any certificate are not tested and
+have no cut-offs.
 """
 
 from __future__ import annotations
@@ -22,21 +25,26 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTED = (*BASE, "n_lines", "n_marks", "n_distinct_words", "n_same_as_before", "n_upper", "n_letters")
 RISK = 0.02  # share of good documents that all rules together may reject, per stratum
 DELTA = 0.05  # chance that any certified bound does not hold
-MAX_STRATA = 32  # named strata; rarer values share one, which bounds what reaches the driver
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-# Ratio and cut-offs from loose to strict; fixed before any label is seen.
-_GRID = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03, 0.02, 0.01)
-RULES: dict[str, tuple[tuple[str, str], tuple[float, ...]]] = {
-    "symbols": (("n_symbols", "n_words"), (5.0, 3.0, 2.0, 1.5, 1.0, *_GRID)),
-    "dup_lines": (("n_dup_lines", "n_lines"), _GRID),
-    "marks": (("n_marks", "n_words"), (5.0, 3.0, 2.0, 1.5, 1.0, *_GRID)),
-    "repeated_words": (("n_repeat_words", "n_words"), _GRID),
-    "stutter": (("n_same_as_before", "n_words"), _GRID),
+STEPS = 16
+
+# Ratio with its loosest and strictest cut-off; the steps between are geometric.
+RULES: dict[str, tuple[tuple[str, str], float, float]] = {
+    "symbols": (("n_symbols", "n_words"), 5.0, 0.05),
+    "dup_lines": (("n_dup_lines", "n_lines"), 0.95, 0.1),
+    "marks": (("n_marks", "n_words"), 5.0, 0.4),
+    "repeated_words": (("n_repeat_words", "n_words"), 0.95, 0.2),
+    "stutter": (("n_same_as_before", "n_words"), 0.95, 0.05),
 }
 
 
+def cut(rule: str, step: int) -> float:
+    _, loose, strict = RULES[rule]
+    return loose * (strict / loose) ** (step / (STEPS - 1))
+
+
 def ratio(rule: str) -> Column:
     above, below = RULES[rule][0]
     return F.coalesce(F.col(above) / F.nullif(F.col(below), F.lit(0)), F.lit(0.0))
@@ -52,39 +60,51 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 
 
 def certified(rejected: list[int], n: int, risk: float, level: float) -> int:
-    """How many cut-offs, from the loosest, have an upper bound of at most ``risk``."""
+    """How many steps, from the loosest, have an upper bound of at most ``risk``."""
     for place, k in enumerate(rejected):
         if n == 0 or k > n * risk or binomial_tail(k, n, risk) > level:
             return place
     return len(rejected)
 
 
+def fewest_good(risk: float, level: float) -> int:
+    """How many good documents a certificate needs if none of them is rejected."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def fails(step: int) -> Column:
+    """Whether any rule rejects a document at a step."""
+    out = F.lit(False)
+    for rule in RULES:
+        out = out | (ratio(rule) > cut(rule, step))
+    return out
+
+
 @dataclass
 class Cutoffs:
-    """Per stratum and rule the chosen cut-off; a rule without one rejects nothing."""
+    """Per stratum the chosen step; strata without one reject nothing."""
 
-    strata: list[str]
-    chosen: dict[str, dict[str, float]]
+    chosen: dict[str, int]
 
     def stratum(self, column: Column) -> Column:
-        named = F.coalesce(column.cast("string"), F.lit(""))
-        return F.when(named.isin(self.strata), named).otherwise(F.lit("*")) if self.strata else F.lit("*")
+        return F.coalesce(column.cast("string"), F.lit(""))
 
     def rejects(self, stratum: Column) -> Column:
         out = F.lit(False)
-        for name, rules in self.chosen.items():
-            for rule, cut in rules.items():
-                out = out | ((stratum == name) & (ratio(rule) > cut))
+        for step in sorted(set(self.chosen.values())):
+            out = out | (stratum.isin([s for s, own in self.chosen.items() if own == step]) & fails(step))
         return out
 
 
 def learn_cutoffs(counts: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> Cutoffs:
-    """Cut-offs from documents with a label; one narrow row per stratum reaches the driver.
+    """Cut-offs from documents with a label.
 
     ``labels`` has doc_id and quality; documents with several different labels,
-    and null labels or ids, are left out. Among certified cut-offs the loosest
-    that rejects at least 99 % of the bad documents that the strictest rejects
-    is taken.
+    and null labels or ids, are left out. Only strata with enough good documents
+    reach the driver, one narrow row each. Which strata are tested depends on
+    how many labels they have, never on what is rejected there. Among certified
+    steps the loosest that rejects at least 99 % of the bad documents that the
+    strictest rejects is taken (of equal ones the loosest).
     """
     clear = (
         labels.where("doc_id is not null and quality is not null")
@@ -93,32 +113,23 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, *, stratum: str = "lang"
         .where("_good = _top")
         .select(F.col("doc_id").alias("_doc"), "_good")
     )
-    named = counts.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    named = counts.withColumn("_stratum", Cutoffs({}).stratum(F.col(stratum)))
     held = named.join(clear, named["doc_id"] == clear["_doc"])
-    sums = [
-        F.sum(F.when(ratio(rule) > cut, 1).otherwise(0)).alias(f"{rule}_{place}")
-        for rule, (_, cuts) in RULES.items()
-        for place, cut in enumerate(cuts)
-    ]
-    table = held.groupBy("_stratum", "_good").agg(F.count("*").alias("n"), *sums)
-    largest = table.groupBy("_stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_stratum").limit(MAX_STRATA - 1)
-    strata = [r["_stratum"] for r in largest.collect()]
-    own = Cutoffs(strata, {})
-    kept = table.groupBy(own.stratum(F.col("_stratum")).alias("s"), "_good").agg(
-        F.sum("n").alias("n"), *[F.sum(f"{rule}_{p}").alias(f"{rule}_{p}") for rule, (_, cuts) in RULES.items() for p in range(len(cuts))]
-    )
-    rows = {(r["s"], r["_good"]): r.asDict() for r in kept.collect()}
-    groups = sorted({s for s, _ in rows})
-    level = delta / max(1, len(RULES) * len(groups))
-    for s in groups:
-        good, bad = rows.get((s, 1), {}), rows.get((s, 0), {})
-        own.chosen[s] = {}
-        for rule, (_, cuts) in RULES.items():
-            passed = certified([good.get(f"{rule}_{p}", 0) for p in range(len(cuts))], good.get("n", 0), risk / len(RULES), level)
-            caught = [bad.get(f"{rule}_{p}", 0) for p in range(passed)]
-            if passed and caught[-1] > 0:
-                own.chosen[s][rule] = cuts[next(p for p in range(passed) if caught[p] >= 0.99 * caught[-1])]
-    return own
+    hit = {step: fails(step) for step in range(STEPS)}
+    sums = [F.count_if(hit[step] & (F.col("_good") == good)).alias(f"{name}_{step}") for step in range(STEPS) for name, good in (("good", 1), ("bad", 0))]
+    table = held.groupBy("_stratum").agg(F.count_if(F.col("_good") == 1).alias("n_good"), *sums)
+    rows = table.where(F.col("n_good") >= fewest_good(risk, delta)).collect()
+    # The more strata are tested, the more good documents each of them needs.
+    rows.sort(key=lambda r: (-r["n_good"], r["_stratum"]))
+    while rows and rows[-1]["n_good"] < fewest_good(risk, delta / len(rows)):
+        rows.pop()
+    chosen = {}
+    for r in rows:
+        passed = certified([r[f"good_{p}"] for p in range(STEPS)], r["n_good"], risk, delta / len(rows))
+        caught = [r[f"bad_{p}"] for p in range(passed)]
+        if passed and caught[-1] > 0:
+            chosen[r["_stratum"]] = next(p for p in range(passed) if caught[p] >= 0.99 * caught[-1])
+    return Cutoffs(chosen)
 
 
 def judge(counts: DataFrame, cutoffs: Cutoffs, stratum: str = "lang") -> DataFrame:
@@ -135,7 +146,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, settle, *, stratum: str
     Whole texts are counted once, in one pass that is written down by
     ``settle``. A null or empty text has no words and fails the base rule.
     Repeated rows and null ids are judged row by row. Without labels no rule
-    has a cut-off and only the base rule rejects.
+    has a cut-off and only the base rule rejects. A ratio equal to its cut-off is kept.
     """
     counts = settle(with_counts(docs, ["doc_id", stratum], COUNTED), "rule-counts")
     cutoffs = learn_cutoffs(counts, labels, stratum=stratum)

@@ -58,6 +58,50 @@ def test_cutoffs_keep_the_risk_and_catch_the_bad(spark):
     assert not any(r.base_failed for r in out.values())
 
 
+def test_cutoffs_equal_brute_force(spark):
+    """Every stratum's step from its labelled rows, tested one by one; strata with few good labels have none."""
+    rng = random.Random(8)
+    kinds = {"aa": 900, "bb": 400, "cc": 90, None: 300}
+    counts, labels = [], []
+    for lang, n in kinds.items():
+        for i in range(n):
+            good = int(rng.random() < 0.85)
+            symbols = rng.choice([0, 0, 0, 1, 2]) if good else rng.choice([0, 40, 90, 300])
+            doc = len(counts)
+            counts.append((doc, lang, 100, 500, symbols, 0, int(rng.random() < 0.3), 10, 5, 90, 0, 1, 400))
+            labels.append((doc, good))
+    table = spark.createDataFrame(counts, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in risk_rules.COUNTED))
+    found = risk_rules.learn_cutoffs(table, spark.createDataFrame(labels, "doc_id long, quality int")).chosen
+    good = {lang: [r for r, (_, q) in zip(counts, labels) if q and r[1] == lang] for lang in kinds}
+    bad = {lang: [r for r, (_, q) in zip(counts, labels) if not q and r[1] == lang] for lang in kinds}
+    at = {c: 2 + i for i, c in enumerate(risk_rules.COUNTED)}
+
+    def rejected(rows, step):
+        return sum(any(r[at[x]] / r[at[y]] > risk_rules.cut(name, step) for name, ((x, y), _, _) in risk_rules.RULES.items()) for r in rows)
+
+    tested = [lang for lang in kinds if len(good[lang]) >= 217]  # 0.98 ** 217 is the first below 0.05 / 4
+    level = 0.05 / len(tested)
+    want = {}
+    for lang in tested:
+        passed = 0
+        while passed < risk_rules.STEPS and risk_rules.binomial_tail(rejected(good[lang], passed), len(good[lang]), 0.02) <= level:
+            passed += 1
+        top = rejected(bad[lang], passed - 1)
+        want[lang or ""] = min(p for p in range(passed) if rejected(bad[lang], p) >= 0.99 * top)
+    assert found == want and set(found) == {"aa", "bb", ""}
+
+
+def test_forty_strata_and_one_without_labels(spark):
+    """No stratum is folded into another, and one without labels rejects nothing."""
+    langs = [f"l{k:02d}" for k in range(41)]
+    rows = [(k * 600 + i, lang, 100, 500, 80 if i % 3 == 0 else 0, 0, 0, 10, 5, 90, 0, 1, 400) for k, lang in enumerate(langs) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in risk_rules.COUNTED))
+    labels = spark.createDataFrame([(r[0], 0 if r[4] else 1) for r in rows if r[1] != "l40"], "doc_id long, quality int")
+    judged = risk_rules.judge(table, risk_rules.learn_cutoffs(table, labels))
+    lost = {r.lang: r["count"] for r in judged.where("not kept").groupBy("lang").count().collect()}
+    assert lost == {lang: 200 for lang in langs[:40]}
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     out = risk_rules.quality_verdicts(odd_table(spark), labels, settle).collect()
