@@ -38,9 +38,10 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def sizes_of(docs: DataFrame, text: str = "text", source: str = "source", doc: str = "doc_id") -> DataFrame:
+def sizes_of(docs: DataFrame, text: str = "text", source: str = "source", doc: str = "doc_id", *carried: str) -> DataFrame:
     """doc_id, source, size (words, null: 0), a source key that is never null and a hash for the order."""
     out = docs.select(
+        *carried,
         F.col(doc).alias("doc_id"),
         F.col(source).alias("source"),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(_WORD)).cast("long").alias("size"),
@@ -188,7 +189,10 @@ def mix_sources(docs: DataFrame, settle, *, text: str = "text", source: str = "s
     rows count each, null ids are fine. An empty table gives empty results.
     Documents are ordered by a hash, so reruns agree.
     """
-    rows = settle(sizes_of(docs, text, source, doc).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    return _planned(settle(sizes_of(docs, text, source, doc).withColumn("row", F.monotonically_increasing_id()), "mix-sizes"), settle)
+
+
+def _planned(rows: DataFrame, settle) -> Mix:
     n = rows.count()
     buckets = max(1, -(-n // BUCKET_ROWS))
     targets = settle(source_targets(rows), "mix-targets")
@@ -196,3 +200,58 @@ def mix_sources(docs: DataFrame, settle, *, text: str = "text", source: str = "s
     placed = _running(placed, "size", "bucket", ["place", "doc_id", "size", "row"], "begin")
     documents = settle(placed.select("row", "doc_id", "key", "size", "begin"), "mix-documents")
     return Mix(documents, targets, slots_of(draw_counts(targets), targets))
+
+
+def cut_pieces(placed: DataFrame) -> DataFrame:
+    """(key, block, at, row, doc_id, n, words): the words each document has in each block of its source.
+
+    ``placed`` has row, doc_id, key, size, begin and text. The text is cut into
+    words once; the outer lambda holds them while the blocks are cut from it.
+    """
+    begin, end = F.col("begin"), F.col("begin") + F.col("size")
+    blocks = F.sequence(F.floor(begin / BLOCK_WORDS), F.floor((end - 1) / BLOCK_WORDS))
+
+    def piece(words: Column, block: Column) -> Column:
+        first = F.greatest(begin, block * BLOCK_WORDS)
+        n = (F.least(end, (block + 1) * BLOCK_WORDS) - first).cast("int")
+        own = F.array_join(F.slice(words, (first - begin + 1).cast("int"), n), " ")
+        return F.struct(block.alias("block"), (first - block * BLOCK_WORDS).cast("int").alias("at"), n.alias("n"), own.alias("words"))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))
+    cut = F.element_at(F.transform(words, lambda w: F.transform(blocks, lambda b: piece(w, b))), 1)
+    return placed.where("size > 0").select("key", "row", "doc_id", F.inline(cut))
+
+
+def mix_blocks(docs: DataFrame, settle, *, text: str = "text", source: str = "source", doc: str = "doc_id") -> DataFrame:
+    """The mixed data: shard, slot, source, block, n_words, words, parts; one row per slot of a shard.
+
+    ``words`` are the words of one block, joined by a space: ``BLOCK_WORDS`` of
+    them, fewer in the last block of a source. ``parts`` says which rows they
+    come from, in order: row, doc_id and number of words. Slots of a shard are
+    in a fixed pseudorandom order, numbered from 0. The plan is that of
+    ``mix_sources``, with the same results for nulls, repeated rows and empty
+    tables. A text travels once, to its place in the stream, and its pieces
+    once, to their block; a block has at most ``BLOCK_WORDS`` pieces.
+    """
+    named = docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = settle(named.withColumn("row", F.monotonically_increasing_id()), "mix-texts")
+    plan = _planned(settle(sizes_of(texts, "text", "source", "doc_id", "row"), "mix-sizes"), settle)
+    pieces = cut_pieces(plan.documents.join(texts.select("row", "text"), "row"))
+    parts = F.sort_array(F.collect_list(F.struct("at", "row", "doc_id", "n", "words")))
+    packed = pieces.groupBy("key", "block").agg(parts.alias("parts"))
+    order = W.partitionBy("shard").orderBy(hashed(F.lit("o"), F.col("shard").cast("string"), "key", F.col("number").cast("string")), "key", "number")
+    slots = plan.slots.withColumn("slot", F.row_number().over(order) - 1)
+    return slots.join(packed, ["key", "block"]).select(
+        "shard",
+        "slot",
+        F.when(F.col("key") != "n", F.substring("key", F.lit(2), F.length("key"))).alias("source"),
+        "block",
+        F.aggregate("parts", F.lit(0), lambda n, p: n + p["n"]).alias("n_words"),
+        F.array_join(F.transform("parts", lambda p: p["words"]), " ").alias("words"),
+        F.transform("parts", lambda p: F.struct(p["row"], p["doc_id"], p["n"])).alias("parts"),
+    )
+
+
+def taken_from(blocks: DataFrame) -> DataFrame:
+    """(row, doc_id, taken): the words that mixed blocks hold of each document; documents without any are left out."""
+    return blocks.select(F.inline("parts")).groupBy("row", "doc_id").agg(F.sum("n").alias("taken"))

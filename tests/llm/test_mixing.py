@@ -1,4 +1,5 @@
 import collections
+import hashlib
 
 import pytest
 
@@ -70,6 +71,53 @@ def test_slots_are_permutations_and_blocks_hold_all_words(spark):
         assert sorted(found) == list(range(len(found)))
 
 
+def streams(data):
+    """Per source the words of its documents in the order of their hash, with the document of each word."""
+    out = collections.defaultdict(list)
+    place = lambda k, n: int(hashlib.md5(f"{mixing.SEED}:{k}:{n}".encode()).hexdigest()[:8], 16) >> 1
+    for k, text, source in sorted(data, key=lambda r: (place(r[0], len(words(r[1]))), r[0])):
+        out[source] += [(w, k) for w in words(text)]
+    return out
+
+
+@pytest.mark.parametrize("bucket", [20_000, 50])
+def test_mixed_blocks_equal_brute_force(spark, monkeypatch, bucket):
+    """Every slot holds the words of its block, and the words per document are those that the plan counts."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 128)
+    data = rows()
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    mixed = settle(mixing.mix_blocks(docs, settle), "mixed")
+    want = streams(data)
+    shards, sources = collections.defaultdict(list), collections.Counter()
+    for r in mixed.collect():
+        own = want[r.source][r.block * mixing.BLOCK_WORDS : (r.block + 1) * mixing.BLOCK_WORDS]
+        assert r.words == " ".join(w for w, _ in own) and r.n_words == len(own) > 0
+        assert [p.doc_id for p in r.parts for _ in range(p.n)] == [k for _, k in own]
+        shards[r.shard].append(r.slot)
+        sources[r.source, r.shard] += 1
+    for found in shards.values():
+        assert sorted(found) == list(range(len(found))) and len(found) <= 128
+    assert len(shards) > 3 and all(len(shards[s]) == 128 for s in range(len(shards) - 1))
+    plan = mixing.mix_sources(docs, settle)
+    key = lambda k: k[1:] if k != "n" else None
+    assert sources == collections.Counter((key(r.key), r.shard) for r in plan.slots.collect())
+    taken = {r.doc_id: r.taken for r in mixing.taken_from(mixed).collect()}
+    assert taken == {r.doc_id: r.taken for r in plan.taken().collect() if r.taken}
+
+
+def test_mixed_blocks_of_odd_rows_and_long_texts(spark):
+    mixed = mixing.mix_blocks(odd_table(spark), settle).collect()
+    total = sum(len(words(r[1])) for r in odd_rows())
+    assert mixed and abs(sum(r.n_words for r in mixed) - total) <= 3 * mixing.BLOCK_WORDS * len({r.source for r in mixed})
+    assert mixing.mix_blocks(empty_table(spark), settle).count() == 0
+    long = spark.createDataFrame([(1, prose(1, 50_000), "a"), (2, None, "a"), (3, " ", None)], "doc_id long, text string, source string")
+    out = mixing.mix_blocks(long, settle).collect()
+    assert " ".join(r.words for r in sorted(out, key=lambda r: r.block)) == " ".join(words(prose(1, 50_000)))
+    again = mixing.mix_blocks(long, settle).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_odd_rows(spark):
     out = mixing.mix_sources(odd_table(spark), settle).taken().collect()
     assert sorted((str(r.doc_id), r.size) for r in out) == sorted((str(r[0]), len(words(r[1]))) for r in odd_rows())
