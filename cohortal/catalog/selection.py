@@ -189,7 +189,7 @@ def select_features(spark, sf_dir):
     return report.table(spark)
 
 
-MI_COLUMNS = ("hour", "weekday", "k", "cents")
+NEAREST_COLUMNS = ("hour", "weekday", "k", "cents")
 
 
 def _nearest_mi_sql() -> str:
@@ -197,7 +197,7 @@ def _nearest_mi_sql() -> str:
     psi = lambda n: "(" + "ln({0} + 6) - 1 / (2 * ({0} + 6)) - 1 / (12 * power({0} + 6, 2)) + 1 / (120 * power({0} + 6, 4)) - 1 / (252 * power({0} + 6, 6))".format(f"{n}::DOUBLE") + "".join(
         f" - 1 / ({n}::DOUBLE + {j})" for j in range(6)
     ) + ")"
-    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, buyer_d7 AS label, CAST({'round(value * 100)' if c == 'cents' else c} AS BIGINT) AS v FROM imp" for c in MI_COLUMNS)
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, buyer_d7 AS label, CAST({'round(value * 100)' if c == 'cents' else c} AS BIGINT) AS v FROM imp" for c in NEAREST_COLUMNS)
     return f"""WITH {IMPRESSIONS}, long AS ({long}),
     counts AS (SELECT feature, label, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature, label) AS size FROM long GROUP BY feature, label, v),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY feature, label ORDER BY v) AS i, least(3, size - 1) AS k FROM counts WHERE size > 1),
@@ -216,4 +216,4 @@ def _nearest_mi_sql() -> str:
 def nearest_mi(spark, sf_dir):
     """Few and many distinct values against the buying label."""
     df = impressions(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100))
-    return rounded(neighbours.nearest_mi(df, MI_COLUMNS, "buyer_d7"))
+    return rounded(neighbours.nearest_mi(df, NEAREST_COLUMNS, "buyer_d7"))

@@ -35,3 +35,10 @@ def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries()) and set(QUERIES) <= set(contract.queries())
     out = contract.entry(spark)
     assert out.count() == 7 and "rmsle" in out.columns
+
+
+def test_features_of_the_information_queries(spark, sf_dir):
+    """Each of the two queries on mutual information reads its own columns."""
+    wanted = {"binned_mi": {"value", "hour", "wifi_ratio", "weeks_since_first_seen"}, "nearest_mi": {"hour", "weekday", "k", "cents"}}
+    for name, columns in wanted.items():
+        assert {r.feature for r in QUERIES[name](spark, sf_dir).collect()} == columns
