@@ -150,9 +150,11 @@ def choose_shared(n: int, places: np.ndarray, df: np.ndarray) -> int:
 
     With m(l) entries in the lists of the l-prefix's tokens, reading costs m(l)
     and at most m(l) / l documents can share l tokens and need verification.
+    A partner has at least ceil(t n) tokens in common, so no more may be asked:
+    beyond that the l-prefix is the whole set and promises nothing.
     """
     best = (np.inf, 1)
-    for more in range(1, LONGEST + 1):
+    for more in range(1, min(LONGEST, -(-n * PERCENT // 100)) + 1):
         entries = float((df[places < prefix_length(n, more)] - 1).sum())
         best = min(best, (entries * (1 + VERIFY_COST / more), more))
     return best[1]

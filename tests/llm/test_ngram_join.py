@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cohortal.core.settle import settle
@@ -59,6 +60,22 @@ def test_prefixes_hold_every_link():
                 assert len(a & b) >= min(more, len(x & y))
 
 
+def test_short_texts_keep_their_links(spark):
+    """Sets smaller than LONGEST cannot share as many tokens; nothing more than ceil(t n) may be asked for."""
+    texts = {}
+    for k in range(24):
+        body = [f"{w}{k}" for w in "abcdefghijklmnopqrstuvwx"]
+        n = 9 + k % 12
+        texts[len(texts)] = " ".join(body[:n])
+        texts[len(texts)] = " ".join(body[: n + 1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in adapt_join.document_classes(docs, settle).collect()}
+    assert out == classes(texts)
+    for n in range(1, 40):
+        asked = adapt_join.choose_shared(n, np.arange(n), np.full(n, 2))
+        assert 1 <= asked <= -(-n * adapt_join.PERCENT // 100)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
