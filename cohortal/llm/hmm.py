@@ -26,9 +26,8 @@ SHARD_BYTES = 6 << 20  # text of one shard; a longer text is a shard of its own
 STATES = 4
 HEAD_WORDS = 4096  # frequent words with a class of their own
 TAIL_CLASSES = 1024  # classes of the other words
-PASSES = 2  # Baum-Welch passes over all training shards
-WARM_PASSES = 6  # passes over at most WARM_SHARDS shards that only give the starting values
-WARM_SHARDS = 2
+PASSES = 8  # Baum-Welch passes, each over all training shards
+STEP_TOKENS = 1 << 20  # tokens of the shards that go through one recursion together
 FAN_IN = 32  # partial sums added in one task
 ADD = 0.1  # smoothing of counts
 
@@ -200,69 +199,89 @@ class Model:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _steps(first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest documents first: their starts, and how many are still running at each step."""
+def _steps(first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the chosen documents step by step, longest document first, so that each step is one stretch.
+
+    Returns the documents in that order, the bounds of the steps, the token at
+    each place, and per token (document by document) its document and place.
+    """
     lengths = np.diff(first)[chosen]
     order = np.argsort(-lengths, kind="stable")
-    lengths = lengths[order]
+    lengths, begin = lengths[order], first[:-1][chosen[order]]
     running = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-    return chosen[order], first[:-1][chosen[order]], running
+    bounds = np.concatenate(([0], np.cumsum(running)))
+    step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = bounds[step] + owner
+    at = np.empty(len(place), np.int64)
+    at[place] = np.repeat(begin, lengths) + step
+    return chosen[order], bounds, at, owner, place
 
 
 def forward(model: Model, classes: np.ndarray, first: np.ndarray, chosen: np.ndarray, keep: bool = False):
-    """log10 likelihood of each chosen document by the scaled forward recursion; with ``keep`` also all alphas and scales."""
-    order, begin, running = _steps(first, chosen)
-    emit = model.emit[classes]
-    alpha = np.zeros((len(order), len(model.start)))
-    total = np.zeros(len(order))
-    scales = np.ones(len(classes)) if keep else None
-    for t, n in enumerate(running):
-        at = begin[:n] + t
-        now = (alpha[:n] @ model.move if t else model.start[None, :]) * emit[at]
-        scale = now.sum(axis=1)
+    """log10 likelihood of each chosen document by the scaled forward recursion; with ``keep`` also the steps with all alphas and scales."""
+    order, bounds, at, owner, place = _steps(first, chosen)
+    classes = classes[at]
+    alpha = model.emit[classes]
+    scales = np.empty(len(classes))
+    ones, now = np.ones(len(model.start)), None
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        before, now = now, alpha[low:high]
+        now *= model.start if before is None else before[: high - low] @ model.move
+        scale = np.matmul(now, ones, out=scales[low:high])
         now /= scale[:, None]
-        alpha[:n] = now
-        total[:n] += np.log10(scale)
-        if keep:
-            emit[at], scales[at] = now, scale
     out = np.zeros(len(first) - 1)
-    out[order] = total
-    return (out, emit, scales) if keep else out
+    out[order] = np.bincount(owner, np.log10(scales[place]), minlength=len(order))
+    return (out, bounds, classes, alpha, scales) if keep else out
 
 
 def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The E step over the chosen documents: start, transition and emission counts in one vector."""
     states = len(model.start)
-    _, alpha, scales = forward(model, classes, first, chosen, keep=True)
-    order, begin, running = _steps(first, chosen)
-    start, move = np.zeros(states), np.zeros((states, states))
-    beta = np.ones((len(order), states))
-    lengths = np.diff(first)[order]
-    gamma = alpha  # becomes the posterior, from the last step back
-    for t in range(len(running) - 1, -1, -1):
-        n = running[t]
-        at = begin[:n] + t
-        ahead = running[t + 1] if t + 1 < len(running) else 0
-        if ahead:
-            nxt = at[:ahead] + 1
-            weight = model.emit[classes[nxt]] * beta[:ahead] / scales[nxt][:, None]
-            move += (alpha[at[:ahead]].T @ weight) * model.move
-            beta[:ahead] = weight @ model.move.T
-        gamma[at] = alpha[at] * beta[:n]
-    if len(order):
-        start = gamma[begin].sum(axis=0)
-    inside = np.zeros(len(classes) + 1, np.int64)
-    np.add.at(inside, begin, 1)
-    np.add.at(inside, begin + lengths, -1)
-    used = np.cumsum(inside[:-1]) > 0
-    emit = np.stack([np.bincount(classes[used], gamma[used, k], minlength=CLASSES) for k in range(states)], axis=1)
-    return np.concatenate([start, move.ravel(), emit.ravel()])
+    _, bounds, classes, alpha, scales = forward(model, classes, first, chosen, keep=True)
+    move, back = np.zeros((states, states)), np.ascontiguousarray(model.move.T)
+    gamma, beta, bounds = alpha, None, bounds.tolist()  # becomes the posterior, from the last step back
+    for t in range(len(bounds) - 2, -1, -1):
+        low, high = bounds[t], bounds[t + 1]
+        ahead, beta = beta, np.ones((high - low, states))
+        if ahead is not None:
+            end = bounds[t + 2]
+            weight = model.emit[classes[high:end]]
+            weight *= ahead
+            weight /= scales[high:end, None]
+            move += alpha[low : low + end - high].T @ weight
+            np.matmul(weight, back, out=beta[: end - high])
+        gamma[low:high] *= beta
+    start = gamma[: bounds[1]].sum(axis=0) if len(bounds) > 1 else np.zeros(states)
+    emit = np.stack([np.bincount(classes, gamma[:, k], minlength=CLASSES) for k in range(states)], axis=1)
+    return np.concatenate([start, (move * model.move).ravel(), emit.ravel()])
 
 
 def _starts(lengths: bytes) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(unpack(lengths, np.int32), dtype=np.int64)))
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Held-out flags, starts and classes of whole shards, put together up to ``STEP_TOKENS``."""
+    flags, lengths, classes = [], [], []
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.concatenate(flags), np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64))), np.concatenate(classes)
+        flags.clear(), lengths.clear(), classes.clear()
+        return out
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            own = unpack(row[2], np.int16)
+            if flags and sum(map(len, classes)) + len(own) > STEP_TOKENS:
+                yield joined()
+            flags.append(np.array(row[0], dtype=bool))
+            lengths.append(unpack(row[1], np.int32))
+            classes.append(own)
+    if flags:
+        yield joined()
+
+
 def sum_vectors(parts: DataFrame) -> np.ndarray | None:
     """Add float vectors (column v) over all rows in steps of ``FAN_IN``, the last few on the driver."""
 
@@ -288,12 +307,11 @@ def baum_welch(encoded: DataFrame, model: Model, passes: int) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = None
-            for batch in batches:
-                for held, lengths, classes in zip(*[c.to_pylist() for c in batch.columns]):
-                    chosen = np.flatnonzero(~np.array(held, dtype=bool))
-                    if len(chosen):
-                        part = expected_counts(shared.value, unpack(classes, np.int16), _starts(lengths), chosen)
-                        total = part if total is None else total + part
+            for held, first, classes in _together(batches):
+                chosen = np.flatnonzero(~held)
+                if len(chosen):
+                    part = expected_counts(shared.value, classes, first, chosen)
+                    total = part if total is None else total + part
             if total is not None:
                 yield pa.RecordBatch.from_arrays([_blob(total)], names=["v"])
 
@@ -338,8 +356,5 @@ def score_texts(docs: DataFrame, settle, *, doc: str = "doc_id", text: str = "te
     vocabulary = learn_vocabulary(totals, int(n_ends))
     answers = totals.where("shard is not null").select("shard", "bucket", "totals")
     encoded = settle(to_classes(shards, answers, vocabulary), "hmm-classes")
-    model = Model.first(vocabulary)
-    first = [r["shard"] for r in encoded.select("shard").orderBy(F.xxhash64("shard")).limit(WARM_SHARDS).collect()]
-    model = baum_welch(settle(encoded.where(F.col("shard").isin(first)), "hmm-warm"), model, WARM_PASSES)
-    model = baum_welch(encoded, model, passes)
+    model = baum_welch(encoded, Model.first(vocabulary), passes)
     return score_documents(encoded, model, vocabulary)

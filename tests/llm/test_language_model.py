@@ -83,6 +83,15 @@ def test_base_equals_brute_force_and_the_model_beats_it(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    """Every pass reads all shards, so no shard decides where the model starts."""
+    rows = [(k, prose(k, 60 if k % 3 else 20, 80)) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    deals = [docs.repartition(n, "doc_id") for n in (2, 7)]
+    one, other = ({r.doc_id: r.score for r in hmm.score_texts(d, settle).collect()} for d in deals)
+    assert one == pytest.approx(other, rel=1e-9)
+
+
 def test_classes_share_one_distribution(spark, monkeypatch):
     """Words of a class and its unknown word have probabilities that add up to one."""
     vocabulary = hmm.Vocabulary(100, 10, 5, np.zeros(0, np.uint64), np.full(hmm.CLASSES, 30.0), np.full(hmm.CLASSES, 3.0))
