@@ -2,7 +2,7 @@
 
 Features are binned once by quantiles. Each level of each round is one
 aggregation: gradient and hessian sums by (target, node, feature, bin), which
-Spark adds up on the map side, so a level shuffles at most as many rows per task
+each task adds up in arrays, so a level shuffles at most as many rows per task
 as there are such cells and no training row. Losses are column expressions.
 The driver sees those sums, whose number depends on parameters only, picks the
 splits, and turns the finished trees into column expressions again.
@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -28,6 +29,7 @@ from cohortal.sources.files import write_params
 
 HOLD_ROUNDS = 5  # rounds kept as expressions before the margins are written down
 _STEPS = 10_000  # hash cells of a row draw
+_TOGETHER = 1 << 16  # rows whose sums are added in one step of a task
 
 
 @dataclass(frozen=True)
@@ -167,17 +169,58 @@ def level_sums(rows: DataFrame, loss: Loss, nodes: Sequence[Column], margins: Se
     """(target, node, feature, bin, g, h, n): gradient and hessian sums and rows of one level, in one aggregation.
 
     ``rows`` has bins, w and y (one entry per target). Rows whose node or truth
-    is null count for no target.
+    is null count for no target. Each task adds up its own rows in arrays, so
+    that no row is multiplied by targets and features; Spark adds up the tasks.
     """
-    per_target = []
+    columns = []
     for t, (node, s) in enumerate(zip(nodes, margins)):
         y = F.col("y")[t]
         node = F.when(y.isNotNull(), node)
         g, h = F.col("w") * loss.gradient(y, s), F.col("w") * loss.hessian(y, s)
-        per_target.append(F.struct(F.lit(t).alias("target"), node.alias("node"), g.alias("g"), h.alias("h")))
-    one = rows.select("bins", F.explode(F.array(*per_target)).alias("_t")).where("_t.node IS NOT NULL")
-    cells = one.select(F.col("_t.target"), F.col("_t.node"), F.col("_t.g"), F.col("_t.h"), F.posexplode("bins").alias("feature", "bin"))
-    return cells.groupBy("target", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
+        columns += [F.coalesce(c, F.lit(e)).alias(f"{n}{t}") for n, c, e in (("node", node.cast("int"), -1), ("g", g, 0.0), ("h", h, 0.0))]
+    n_targets, together = len(columns) // 3, _TOGETHER
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held)
+            lists = table.column(0).combine_chunks()
+            bins = lists.flatten().to_numpy().reshape(len(lists), -1).astype(np.int64)
+            width, top = bins.shape[1], int(bins.max(initial=-1)) + 1
+            places = bins + np.arange(width) * top
+            for t in range(n_targets):
+                node, g, h = (table.column(1 + 3 * t + k).to_numpy() for k in range(3))
+                for one in (np.flatnonzero(np.bincount(node + 1)) - 1).tolist():
+                    if one < 0:
+                        continue
+                    own = np.flatnonzero(node == one)
+                    cells = places[own].ravel()
+                    sums = np.stack([np.bincount(cells, None if v is None else np.repeat(v[own], width), minlength=width * top) for v in (g, h, None)], axis=-1)
+                    sums = sums.reshape(width, top, 3)
+                    if (before := total.get((t, one))) is not None:
+                        size = max(top, before.shape[1])
+                        sums, before = (np.pad(x, ((0, 0), (0, size - x.shape[1]), (0, 0))) for x in (sums, before))
+                        sums = sums + before
+                    total[t, one] = sums
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= together:
+                add(held)
+                held = []
+        if held:
+            add(held)
+        for (t, one), sums in total.items():
+            feature, bin_ = np.nonzero(sums[..., 2])
+            g, h, n = sums[feature, bin_].T
+            number = lambda v, kind: pa.array(np.broadcast_to(v, len(n)).astype(kind))
+            arrays = [number(t, np.int32), number(one, np.int32), number(feature, np.int32), number(bin_, np.int16), pa.array(g), pa.array(h), number(n, np.int64)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["target", "node", "feature", "bin", "g", "h", "n"])
+
+    cells = rows.select("bins", *columns).mapInArrow(run, "target int, node int, feature int, bin smallint, g double, h double, n long")
+    return cells.groupBy("target", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
 def split_gains(cells: DataFrame, growth: Growth) -> DataFrame:

@@ -202,3 +202,29 @@ def test_boosted_revenue_beats_the_linear_models(spark):
         error[objective] = [evaluate(out, f"iap_revenue_d{h}", f"pred_d{h}").first()["rmsle"] for h in (7, 14)]
     for k in range(2):
         assert error["tweedie"][k] < 0.7 * error["tweedie_linear"][k] and error["huber"][k] < 0.7 * error["huber_linear"][k]
+
+
+@pytest.mark.parametrize("together", [1, 1 << 16])
+def test_level_sums_multiply_no_row(spark, monkeypatch, capsys, together):
+    """Sums equal those of every (row, target, feature), rows without truth or node apart, and no row is exploded."""
+    monkeypatch.setattr(boosting, "_TOGETHER", together)
+    rng = random.Random(5)
+    # Late rows have higher bins than early ones, so the arrays of a task grow.
+    data = [([rng.randrange(1 + k // 20), rng.randrange(3), 0], [float(k % 7), None if k % 5 == 0 else float(k % 3)], 1.0 + k % 2, k % 4) for k in range(300)]
+    rows = spark.createDataFrame(data, "bins array<smallint>, y array<double>, w double, leaf int").repartition(3, "leaf")
+    node = F.when(F.col("leaf") < 3, F.col("leaf"))
+    sums = boosting.level_sums(rows, Loss("squared"), [node, F.lit(0)], [F.lit(0.5), F.lit(0.0)])
+    want = {}
+    for bins, y, w, leaf in data:
+        for t, (own, s) in enumerate([(leaf if leaf < 3 else None, 0.5), (0, 0.0)]):
+            if own is None or y[t] is None:
+                continue
+            for f, b in enumerate(bins):
+                cell = want.setdefault((t, own, f, b), [0.0, 0.0, 0])
+                for k, v in enumerate((w * (s - y[t]), w, 1)):
+                    cell[k] += v
+    got = {(r.target, r.node, r.feature, r.bin): [r.g, r.h, r.n] for r in sums.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    sums.explain()
+    assert "Generate" not in capsys.readouterr().out
+    assert boosting.level_sums(rows.limit(0), Loss("squared"), [F.lit(0)], [F.lit(0.0)]).count() == 0
