@@ -172,10 +172,13 @@ def level_sums(rows: DataFrame, loss: Loss, nodes: Sequence[Column], margins: Se
     is null count for no target. Each task adds up its own rows in arrays, so
     that no row is multiplied by targets and features; Spark adds up the tasks.
     """
+    # Leaves and margins are columns of their own, so that gradients and hessians do not work them out again.
+    named = [c.alias(f"_{n}{t}") for n, given in (("node", nodes), ("s", margins)) for t, c in enumerate(given)]
+    rows = rows.select("bins", "y", "w", *named)
     columns = []
-    for t, (node, s) in enumerate(zip(nodes, margins)):
-        y = F.col("y")[t]
-        node = F.when(y.isNotNull(), node)
+    for t in range(len(nodes)):
+        y, s = F.col("y")[t], F.col(f"_s{t}")
+        node = F.when(y.isNotNull(), F.col(f"_node{t}"))
         g, h = F.col("w") * loss.gradient(y, s), F.col("w") * loss.hessian(y, s)
         columns += [F.coalesce(c, F.lit(e)).alias(f"{n}{t}") for n, c, e in (("node", node.cast("int"), -1), ("g", g, 0.0), ("h", h, 0.0))]
     n_targets, together = len(columns) // 3, _TOGETHER
