@@ -22,6 +22,11 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _with_value(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once; inside a lambda it would be worked out again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def map_numbers(col: str) -> Column:
     """Numeric values of a map; entries that do not cast are left out."""
     return _numbers(F.map_values(col))
@@ -38,7 +43,7 @@ def number_stats(values: str, prefix: str, wanted: Sequence[str]) -> list[Column
     size = F.coalesce(F.size(F.coalesce(arr, F.array().cast("array<double>"))), F.lit(0))
     total = _total(arr)
     mean = total / F.nullif(F.size(arr), F.lit(0))
-    squares = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+    squares = _with_value(mean, lambda m: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)))
     made = {
         "mean": mean,
         "std": F.when(F.size(arr) >= 2, F.sqrt(squares / F.size(arr))),
@@ -66,8 +71,7 @@ def histogram_stats(values: str, prefix: str, top_k: int = 5, eps: float = 1e-10
     """The k largest frequencies and the entropy of a descending array of frequencies."""
     arr = F.col(values)
     total = _total(arr)
-    share = lambda v: v / total
-    entropy = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc - share(v) * F.ln(share(v) + F.lit(eps)))
+    entropy = _with_value(total, lambda t: F.aggregate(arr, F.lit(0.0), lambda acc, v: acc - v / t * F.ln(v / t + F.lit(eps))))
     tops = [
         F.coalesce(F.get(arr, F.lit(i)), F.lit(0.0)).alias(f"{prefix}_top{i + 1}_freq")
         for i in range(top_k)

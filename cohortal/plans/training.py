@@ -31,7 +31,7 @@ from cohortal.operators.sampling import (
     zero_anchors,
 )
 from cohortal.operators.search import alpha_curve, best_of, fit_zero_rate
-from cohortal.operators.splits import drop_whales, paying_buyers, stratified_split
+from cohortal.operators.splits import NON_FEATURES, drop_whales, paying_buyers, stratified_split
 from cohortal.plans.prepare import Preparation, fit_preparation
 from cohortal.sources.files import read_params, write_params
 
@@ -161,6 +161,12 @@ def load_run(spark: SparkSession, path: str) -> TrainedRun:
     )
 
 
+def _stage_rows(prepared: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Labels, keys and the model vector of prepared rows, written once: all that the stages read, in few columns."""
+    kept = [c for c in NON_FEATURES if c in prepared.columns]
+    return settle(with_vector(prepared, features).select(*kept, "features"), label)
+
+
 def fit_stages(
     train: DataFrame, val: DataFrame, prep: Preparation, s: Settings
 ) -> tuple[BuyerModel, BuyerModel | None, RevenueModel]:
@@ -217,6 +223,7 @@ def train_run(raw: DataFrame, settings: Settings | None = None, val_raw: DataFra
     Without ``val_raw`` the rows are split by stratum. Anchors are added to the
     training part only. Both the split and the anchors are filters and small
     tables over the raw scan; the first full copy written is the flattened one.
+    The stages scan the model vectors, not the wide prepared rows.
     """
     s = deepcopy(settings) if settings else Settings()
     if val_raw is None:
@@ -229,7 +236,7 @@ def train_run(raw: DataFrame, settings: Settings | None = None, val_raw: DataFra
         train_raw = zero_anchors(train_raw, s.anchors_per_hour, seed=s.seed, portable=s.portable)
 
     prep, train = fit_preparation(train_raw, s.reference, s.revenue_cap, portable_hash=s.portable)
-    val = settle(prep.apply(val_raw), "val")
+    train, val = _stage_rows(train, prep.features, "train"), _stage_rows(prep.apply(val_raw), prep.features, "val")
     run = TrainedRun(s, prep, *fit_stages(train, val, prep, s))
 
     needed = ["row_id", "iap_revenue_d7", "buyer_proba", "pred_d7"]

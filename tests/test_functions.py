@@ -146,3 +146,14 @@ def test_flatten_decides_by_type(spark):
     assert row["last_buy_ts_bundle_count"] == 2 and row["last_install_ts_bundle_days_ago"] == 7
     assert row["cpm_mean"] == 2.0 and row["avg_duration_total"] == 2.0 and row["country_hist_top1_freq"] == 3.0
     assert "last_buy_ts_bundle" not in row and "cpm" not in row and row["carrier"] == "x"
+
+
+def test_statistics_work_out_mean_and_total_once_per_row(spark):
+    """A mean or total inside the lambda of another fold is worked out for every element, which is quadratic."""
+    df = spark.createDataFrame([({"a": 1.0, "b": 3.0}, {"x": 2.0, "y": 6.0})], "m map<string,double>, h map<string,double>")
+    folds = lambda plan: plan._jdf.queryExecution().analyzed().toString().split("\n")[0].count("aggregate(")
+    assert folds(nested.flatten_maps(df, ["m"], ["std"])) == 2  # the total and the squares
+    assert folds(nested.flatten_histograms(df, ["h"])) == 3  # the total in the test and in the fold, and the fold
+    assert tuple(nested.flatten_maps(df, ["m"], ["std"]).first())[1:] == (1.0,)
+    entropy = nested.flatten_histograms(df, ["h"]).first()["h_entropy"]
+    assert entropy == pytest.approx(-0.25 * math.log(0.25) - 0.75 * math.log(0.75))
