@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import html as html_module
+import json
 import re
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
@@ -281,8 +282,29 @@ def align(page: str, references: list[Node]) -> list[Node]:
     return found
 
 
-def reference_tree(page: str, number: int) -> Node:
-    tree = parse(page)
+def skeleton(page: str) -> str:
+    """All that an alignment needs of a reference page: its elements and their names, and where text is, but not the text.
+
+    A line per node in page order: its depth, tag and quoted name.
+    """
+    lines, work = [], [(c, 0) for c in reversed(parse(page).children)]
+    while work:
+        node, depth = work.pop()
+        lines.append(f"{depth} {node.tag} {json.dumps(node.name)}")
+        work.extend((c, depth + 1) for c in reversed(node.children))
+    return "\n".join(lines)
+
+
+def reference_tree(bones: str, number: int) -> Node:
+    """The tree of a skeleton with the slots of its text blocks."""
+    tree = Node("#root")
+    path = [tree]
+    for line in bones.split("\n") if bones else ():
+        depth, tag, name = line.split(" ", 2)
+        del path[int(depth) + 1 :]
+        node = Node(tag, json.loads(name))
+        path[-1].children.append(node)
+        path.append(node)
     _name_paths(tree)
     for slot, leaf in enumerate(leaves(tree)):
         leaf.slot = (number << 32) + slot
@@ -290,33 +312,58 @@ def reference_tree(page: str, number: int) -> Node:
     return tree
 
 
-LEAVES = ArrayType(
-    StructType([StructField("text", StringType()), StructField("zone", IntegerType()), StructField("slot", LongType()), StructField("h", LongType())])
-)
+MARKS = ArrayType(StructType([StructField("zone", IntegerType()), StructField("slot", LongType()), StructField("h", LongType())]))
+SMALL_BYTES = 96 << 20  # estimated size up to which a table about hosts is sent to every task, so that no page is shuffled
+
+
+def _by_host(pages: DataFrame, hosts: DataFrame, bytes_each: float) -> DataFrame:
+    """``pages`` with the settled columns about their host (``_host``); pages stay where they are while that table is small."""
+    few = hosts.count() * bytes_each <= SMALL_BYTES
+    return pages.join(F.broadcast(hosts) if few else hosts, pages["host"] == hosts["_host"], "left")
+
+
+def _skeletons(references: DataFrame) -> DataFrame:
+    """(host, one, two) with skeletons in place of pages; ``two`` is null where both are one page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            bones = [[skeleton(x) if x else None for x in column] for column in (one, [None if x == y else y for x, y in zip(one, two)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.string()) for x in bones]], names=["host", "one", "two"])
+
+    return references.select("host", "one", "two").mapInArrow(run, "host string, one string, two string")
+
+
+def _mean_bytes(hosts: DataFrame, size: Column) -> float:
+    return float(hosts.agg(F.avg(size)).first()[0] or 0) + 100
 
 
 def _aligned(pages: DataFrame, references: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns``, host, leaves of every page; the html goes."""
+    """``columns``, host, the hash of the longest block, texts and marks of the blocks of every page; the html goes."""
     named = references.select(F.col("host").alias("_host"), "one", "two")
-    joined = pages.join(named, pages["host"] == named["_host"], "left").select(*columns, "host", "_html", "one", "two")
-    kind = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int32()), ("slot", pa.int64()), ("h", pa.int64())]))
+    wide = _mean_bytes(references, F.length("one") + F.coalesce(F.length("two"), F.lit(0)))
+    joined = _by_host(pages, named, wide).select(*columns, "host", "_html", "one", "two")
+    kind = pa.list_(pa.struct([("zone", pa.int32()), ("slot", pa.int64()), ("h", pa.int64())]))
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, list[Node]] = {}
         for batch in batches:
-            blocks = []
+            longest, texts, marks = [], [], []
             for host, page, one, two in zip(*[batch.column(n + k).to_pylist() for k in range(4)]):
                 if host not in trees:
-                    if len(trees) > 64:
+                    if len(trees) > 256:
                         trees.clear()
-                    trees[host] = [reference_tree(x, k) for k, x in enumerate(dict.fromkeys((one, two))) if x]
-                found = align(page, trees[host])
-                blocks.append([{"text": x.text, "zone": x.zone, "slot": x.slot, "h": text_hash(x.text)} for x in found if not x.unseen])
-            arrays = [*batch.columns[: n + 1], pa.array(blocks, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: n + 1], "leaves"])
-
-    schema = joined.select(*columns, "host").schema.add("leaves", LEAVES)
+                    trees[host] = [reference_tree(x, k) for k, x in enumerate((one, two)) if x is not None]
+                found = [x for x in align(page, trees[host]) if not x.unseen]
+                hashes = [text_hash(x.text) for x in found]
+                longest.append(max(((len(x.text), h) for x, h in zip(found, hashes)), default=(0, None))[1])
+                texts.append([x.text for x in found])
+                marks.append([{"zone": x.zone, "slot": x.slot, "h": h} for x, h in zip(found, hashes)])
+            arrays = [*batch.columns[: n + 1], pa.array(longest, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(marks, kind)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: n + 1], "page", "texts", "marks"])
+
+    schema = joined.select(*columns, "host").schema.add("page", LongType()).add("texts", ArrayType(StringType())).add("marks", MARKS)
     return joined.mapInArrow(run, schema)
 
 
@@ -326,8 +373,7 @@ def _slot_statistics(aligned: DataFrame) -> DataFrame:
     Pages with the same longest block are counted once, so copies of an article
     do not look like a template.
     """
-    longest = F.array_max(F.transform("leaves", lambda x: F.struct(F.length(x["text"]).alias("n"), x["h"].alias("h"))))["h"]
-    each = aligned.select("host", longest.alias("page"), F.explode("leaves").alias("x"))
+    each = aligned.select("host", "page", F.explode("marks").alias("x"))
     once = each.groupBy("host", F.col("x.slot").alias("slot"), F.col("x.zone").alias("zone"), F.col("x.h").alias("h"), "page").agg(F.lit(1).alias("one"))
     texts = once.groupBy("host", "slot", "zone", "h").agg(F.count("*").alias("n"))
     top = F.max(F.struct("n", "h"))
@@ -358,13 +404,14 @@ def extract_text(pages: DataFrame, settle, *, html: str = "html", url: str = "ur
     ends = settle(ends, "wrapper-ends")
     picked = rows.withColumn("h", place).join(ends.withColumnRenamed("host", "_host"), (F.col("host") == F.col("_host")) & ((F.col("h") == F.col("lo")) | (F.col("h") == F.col("hi"))))
     references = picked.groupBy("host").agg(F.min(F.when(F.col("h") == F.col("lo"), F.col("_html"))).alias("one"), F.min(F.when(F.col("h") == F.col("hi"), F.col("_html"))).alias("two"))
-    references = settle(references, "wrapper-references")
     small_batches(pages.sparkSession)
+    references = settle(_skeletons(references), "wrapper-references")
     aligned = settle(_aligned(rows, references, ["page_id", "url"]), "wrapper-blocks")
     template = settle(_slot_statistics(aligned), "wrapper-slots").withColumnRenamed("host", "_host")
-    both = aligned.join(template, aligned["host"] == template["_host"], "left")
+    wide = _mean_bytes(template, 16 * (F.size("constant") + F.size("repeated") + F.size("varying")))
+    both = _by_host(aligned, template, wide)
     said = lambda name, value: F.coalesce(F.array_contains(name, value), F.lit(False))
-    bare = F.size(F.filter("leaves", lambda x: x["zone"] == ARTICLE)) == 0
+    bare = F.size(F.filter("marks", lambda x: x["zone"] == ARTICLE)) == 0
 
     def counts(x: Column) -> Column:
         slot, zone = x["slot"].alias("slot"), x["zone"].alias("zone")
@@ -372,6 +419,5 @@ def extract_text(pages: DataFrame, settle, *, html: str = "html", url: str = "ur
         prior = (x["zone"] == ARTICLE) | (x["zone"] == NEUTRAL) & bare
         return ~template & (prior | said("varying", F.struct(slot, zone)))
 
-    kept = F.filter("leaves", counts)
-    text = F.array_join(F.transform(kept, lambda x: x["text"]), " ")
+    text = F.array_join(F.filter("texts", lambda _, i: counts(F.get(F.col("marks"), i))), " ")
     return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -134,3 +134,34 @@ def test_odd_rows(spark):
     assert sorted((str(r.page_id), r.n_chars) for r in out) == [("1", 0), ("1", 1), ("2", 4), ("3", 399999), ("None", 0)]
     assert out[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
     assert wrappers.extract_text(spark.createDataFrame([], "page_id long, url string, html string"), settle).count() == 0
+
+
+def test_references_travel_without_their_texts():
+    """A skeleton aligns pages as the whole page did, and is small."""
+    pages = [site(k, prose(k, 300)) for k in range(4)] + ["<ul class='a\n b'><li>x</ul>" + "<div>" * 300 + "deep", "text only", "<p hidden>x</p><form>q</form>", " "]
+    for page in pages:
+        whole, bones = wrappers.parse(page), wrappers.skeleton(page)
+        tree = wrappers.reference_tree(bones, 1)
+        wrappers._name_paths(whole)
+        wrappers._count(whole)
+        assert whole.size == tree.size and wrappers.simple_tree_match(whole, tree)[0] == tree.size
+        assert [c.name for c in whole.children] == [c.name for c in tree.children]
+        assert [(x.path, x.tags) for x in wrappers.leaves(whole)] == [(x.path, x.tags) for x in wrappers.leaves(tree)]
+        assert [x.slot for x in wrappers.leaves(tree)] == [(1 << 32) + k for k in range(len(list(wrappers.leaves(tree))))]
+    assert len(wrappers.skeleton(pages[0])) < len(pages[0]) / 8
+
+
+def test_pages_are_not_shuffled_while_hosts_are_few(spark, monkeypatch):
+    """And when they are many, the result is the same."""
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.com/{k}", site(k, prose(k, 30))) for k in range(60)], "page_id long, url string, html string")
+    settled = {}
+
+    def keep(df, label):
+        settled[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return settle(df, label)
+
+    small = wrappers.extract_text(pages, keep)
+    assert "strategy=broadcast" in settled["wrapper-blocks"] and "strategy=broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(wrappers, "SMALL_BYTES", 0)
+    large = wrappers.extract_text(pages, settle)
+    assert sorted(small.collect()) == sorted(large.collect())
