@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ LEADER_ROUNDS = 2
 CHUNK = 400  # documents of a family that are compared at once with as many others
 COLUMNS = 2048  # shingles counted at once there
 SHARD_BYTES = 6 << 20
+FEW_IDS = 4_000_000  # document ids that are sent to every task
 
 
 SHARD_SCHEMA = "shard long, row long, docs array<{}>, texts array<binary>, n_words binary, ids binary, order binary, keys binary, counts binary, n_keys long"
@@ -213,8 +215,20 @@ def _close(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
 
+def only_named(sets: DataFrame, *named: DataFrame) -> DataFrame:
+    """The sets of the documents that settled tables of one id column name.
+
+    A join would shuffle every set to find the few that are asked for; while the
+    ids are few they are sent to the sets instead.
+    """
+    ids = reduce(DataFrame.union, [t.toDF("_rid") for t in named])
+    few = sum(t.count() for t in named) <= FEW_IDS
+    return sets.join(F.broadcast(ids) if few else ids, sets["rid"] == F.col("_rid"), "left_semi")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b), a settled table, whose whole sets are similar enough."""
+    sets = only_named(sets, pairs.select("a"), pairs.select("b"))
     left = sets.select(F.col("rid").alias("_a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("rid").alias("_b"), F.col("set").alias("set_b"))
     both = pairs.join(left, pairs["a"] == left["_a"]).join(right, pairs["b"] == right["_b"]).select("a", "b", "set_a", "set_b")
@@ -429,7 +443,7 @@ def link_documents(docs: DataFrame, settle, *, doc: str = "doc_id", text: str =
         labels = components(edges, settle)
     for edges_of in (_chunk_edges, _block_edges):
         members = settle(_families(_open_tokens(hot, labels, settle), settle), "join-members")
-        edges = edges.union(settle(edges_of(members, few, settle), "join-edges"))
+        edges = edges.union(settle(edges_of(members, only_named(few, members.select("rid")), settle), "join-edges"))
         labels = components(edges, settle)
     # Pairs that meet in a token of many are settled by now, so only those without one are counted.
     pairs = settle(_candidates(_met(tokens.where(F.col("df") < HOT))), "join-pairs")

@@ -139,3 +139,18 @@ def test_ids_of_any_type_and_ties(spark):
     assert {c for d, c in out if d != "z"} == {"a1"} and ("z", "z") in out and len(out) == 6
     kept = adapt_join.keep_first(docs, settle).collect()
     assert sorted(r.doc_id for r in kept) == ["a1", "z"]
+
+
+def test_only_the_sets_of_pairs_are_shuffled(spark, monkeypatch):
+    """Two pairs name four sets of many; the others stay where they are, and many pairs give the same links."""
+    from cohortal.llm.blocks import pack
+
+    rows = [(k, bytearray(pack(np.arange(k // 2 * 100, k // 2 * 100 + 50, dtype=np.uint64), True))) for k in range(200)]
+    sets = settle(spark.createDataFrame(rows, "rid long, set binary"), "sets")
+    pairs = settle(spark.createDataFrame([(0, 1), (1, 2)], "a long, b long"), "pairs")
+    assert sorted(r.rid for r in adapt_join.only_named(sets, pairs.select("a"), pairs.select("b")).collect()) == [0, 1, 2]
+    plan = adapt_join.verify(pairs, sets)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and plan.count("strategy=broadcast") == 2
+    few = adapt_join.verify(pairs, sets).collect()
+    monkeypatch.setattr(adapt_join, "FEW_IDS", 0)
+    assert [tuple(r) for r in few] == [tuple(r) for r in adapt_join.verify(pairs, sets).collect()] == [(0, 1)]
