@@ -10,7 +10,9 @@ start. Tokens of few documents give pairs. Tokens of many first link each member
 to one leader, which joins large groups of near copies by few pairs; what is
 still in different classes is compared in blocks of bounded size, first inside
 random chunks of such a family and, once those links are followed, between what
-is left and the rest. Every block gives a forest over classes, so links stay few.
+is left and the rest. A block first compares prefixes, and only documents
+with a partner there send their whole sets. Every block gives a forest over
+classes, so links stay few.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ CHUNK = 400  # documents of a family that are compared at once with as many othe
 COLUMNS = 2048  # shingles counted at once there
 SHARD_BYTES = 6 << 20
 FEW_IDS = 4_000_000  # document ids that are sent to every task
+SETS_AT_ONCE = 500  # sets of a shard that are held at once
+FEW_ROWS = 1_000_000  # places in blocks that are sent to every task
 
 
 SHARD_SCHEMA = "shard long, row long, docs array<{}>, texts array<binary>, n_words binary, ids binary, order binary, keys binary, counts binary, n_keys long"
@@ -113,8 +117,8 @@ def prefix_length(n: np.ndarray | int, more: int = 1):
     return n - -(-n * PERCENT // 100) + more
 
 
-def _prefixes(row: dict, found: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For a shard's representatives: place, set size, set, and the longest prefix's tokens that others may have, with their places.
+def _prefixes(row: dict, found: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For a shard's representatives: place, set size, and the longest prefix's tokens that others may have, with their places.
 
     ``found`` has the answers (bucket, totals) about the shard's words and, with
     ``place``, its representatives.
@@ -125,22 +129,34 @@ def _prefixes(row: dict, found: pa.Table) -> Iterator[tuple[int, int, np.ndarray
     for d, tokens, low in _document_sets(row, reps, bounds):
         order = np.lexsort((tokens, low))[: prefix_length(len(tokens), LONGEST)]
         shared = np.flatnonzero(low[order] > 1)  # a word that no other document has rules its shingles out
-        yield d, len(tokens), tokens, tokens[order[shared]], shared
+        yield d, len(tokens), tokens[order[shared]], shared
+
+
+PREFIX_SCHEMA = "shard long, row long, keys binary, counts binary, n_keys long, reps binary, sizes binary, lengths binary, tokens binary, places binary"
 
 
 def prefix_keys(shards: DataFrame, found: DataFrame) -> DataFrame:
-    """Per shard the sorted prefix tokens of its representatives, each with how many of them have it."""
+    """Per shard the sorted prefix tokens of its representatives, each with how many of them have it, and who has which.
+
+    ``reps`` are the representatives' places in the shard, ``sizes`` their set
+    sizes and ``lengths`` their numbers of prefix tokens; ``tokens`` are places
+    in ``keys`` and ``places`` those in the document's own order.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            parts = [tokens for _, _, _, tokens, _ in _prefixes(row, right)]
-            keys, counts = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-            out.append((row["shard"], pack(keys, True), pack(counts.astype(np.int32)), len(keys)))
-        columns = zip(*out) if out else [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["shard", "keys", "counts", "n_keys"])
+            parts = list(_prefixes(row, right))
+            flat = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+            keys, tokens, counts = np.unique(flat(2, np.uint64), return_inverse=True, return_counts=True)
+            whole = [[p[0] for p in parts], [p[1] for p in parts], [len(p[2]) for p in parts], tokens, flat(3, np.int64)]
+            packed = [pack(np.asarray(x).astype(np.int32)) for x in whole]
+            out.append((row["shard"], row["row"], pack(keys, True), pack(counts.astype(np.int32)), len(keys), *packed))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 5]
+        columns = zip(*out) if out else [[]] * len(kinds)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in PREFIX_SCHEMA.split(", ")])
 
-    return _asked(shards).groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, "shard long, keys binary, counts binary, n_keys long")
+    return _asked(shards).groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, PREFIX_SCHEMA)
 
 
 def _asked(shards: DataFrame) -> DataFrame:
@@ -162,52 +178,54 @@ def choose_shared(n: int, places: np.ndarray, df: np.ndarray) -> int:
     return best[1]
 
 
-TOKEN_SCHEMA = "token long, rid long, n int, l int, rest int, df long, hot boolean, set binary"
+TOKEN_SCHEMA = "token long, rid long, n int, l int, rest int, df long, hot boolean, prefix binary"
 
 
-def shared_tokens(shards: DataFrame, found: DataFrame) -> DataFrame:
+def shared_tokens(prefixes: DataFrame, answers: DataFrame) -> DataFrame:
     """(token, rid, n, l, rest, df): each representative's own prefix tokens that two or more have.
 
     ``rest`` is the part of the set beyond the prefix. With token null there is
-    one row per representative, with its whole set if it has such a token and
-    whether one of them is held by many.
-    ``found`` has the answers about words (kind 0), representatives, and the
-    answers about prefix tokens (kind 1).
+    one row per representative, with its set's size and whether one of its
+    tokens is held by many; if so, ``prefix`` has all of them.
+    ``prefixes`` are the settled ``prefix_keys``, ``answers`` the totals of their keys.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("token", "rid", "n", "l", "rest", "df")}
-        reps, sizes, hots, sets = [], [], [], []
-        kind = right["kind"].to_numpy()
-        words, answers = right.filter(pa.array(kind == 0)), right.filter(pa.array(kind == 1))
+        reps, sizes, mores, rests, hots, whole = [], [], [], [], [], []
+        totals = shard_totals(right)
         for row in left.to_pylist():
-            parts = list(_prefixes(row, words))
-            keys = np.unique(np.concatenate([p[3] for p in parts])) if parts else np.zeros(0, np.uint64)
-            totals = shard_totals(answers)
-            for d, n, whole, tokens, places in parts:
-                df = totals[np.searchsorted(keys, tokens)] if len(tokens) else np.zeros(0, np.int64)
-                tokens, places, df = tokens[df > 1], places[df > 1], df[df > 1]
+            keys = unpack(row["keys"], np.uint64, True)
+            own_reps, own_sizes, lengths, all_tokens, all_places = (unpack(row[c], np.int32) for c in ("reps", "sizes", "lengths", "tokens", "places"))
+            ends = np.cumsum(lengths, dtype=np.int64)
+            for d, n, a, b in zip(own_reps.tolist(), own_sizes.tolist(), (ends - lengths).tolist(), ends.tolist()):
+                at, places = all_tokens[a:b], all_places[a:b]
+                df = totals[at]
+                at, places, df = at[df > 1], places[df > 1], df[df > 1]
                 more = choose_shared(n, places, df)
                 length = min(n, prefix_length(n, more))
                 own = places < length
-                rid, k = row["row"] + d, int(own.sum())
-                for name, values in (("token", tokens[own].view(np.int64)), ("df", df[own])):
+                tokens = keys[at[own]]
+                rid, k = row["row"] + d, len(tokens)
+                for name, values in (("token", tokens.view(np.int64)), ("df", df[own])):
                     out[name].append(values)
                 for name, value in (("rid", rid), ("n", n), ("l", more), ("rest", n - length)):
                     out[name].append(np.full(k, value, np.int64))
                 reps.append(rid)
                 sizes.append(n)
+                mores.append(more)
+                rests.append(n - length)
                 hots.append(bool((df[own] >= HOT).any()))
-                sets.append(pack(whole, True) if k else None)
+                whole.append(pack(np.sort(tokens), True) if hots[-1] else None)
         flat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-        size = len(reps)
         kinds = {"token": pa.int64(), "rid": pa.int64(), "n": pa.int32(), "l": pa.int32(), "rest": pa.int32(), "df": pa.int64()}
-        lists = pa.Table.from_arrays([*[pa.array(flat[k], t) if t != pa.int32() else pa.array(flat[k].astype(np.int32)) for k, t in kinds.items()], pa.nulls(len(flat["rid"]), pa.bool_()), pa.nulls(len(flat["rid"]), pa.binary())], names=[*kinds, "hot", "set"])
-        none = lambda t: pa.nulls(size, t)
-        heads = [none(pa.int64()), pa.array(reps, pa.int64()), pa.array(sizes, pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.int64()), pa.array(hots, pa.bool_()), pa.array(sets, pa.binary())]
-        return pa.concat_tables([lists, pa.Table.from_arrays(heads, names=[*kinds, "hot", "set"])])
+        rows = len(flat["rid"])
+        lists = pa.Table.from_arrays([*[pa.array(flat[k].astype(t.to_pandas_dtype()), t) for k, t in kinds.items()], pa.nulls(rows, pa.bool_()), pa.nulls(rows, pa.binary())], names=[*kinds, "hot", "prefix"])
+        none = pa.nulls(len(reps), pa.int64())
+        heads = [none, pa.array(reps, pa.int64()), *[pa.array(x, pa.int32()) for x in (sizes, mores, rests)], none, pa.array(hots, pa.bool_()), pa.array(whole, pa.binary())]
+        return pa.concat_tables([lists, pa.Table.from_arrays(heads, names=[*kinds, "hot", "prefix"])])
 
-    return _asked(shards).groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, TOKEN_SCHEMA)
+    return prefixes.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, TOKEN_SCHEMA)
 
 
 def _close(a: str, b: str):
@@ -226,6 +244,25 @@ def only_named(sets: DataFrame, *named: DataFrame) -> DataFrame:
     return sets.join(F.broadcast(ids) if few else ids, sets["rid"] == F.col("_rid"), "left_semi")
 
 
+def named_sets(shards: DataFrame, classes: DataFrame, *named: DataFrame) -> DataFrame:
+    """(rid, set): whole sets of the representatives that settled tables of one id column name, made from their shards."""
+    at = only_named(classes.select(F.col("row").alias("rid"), "shard", "place"), *named)
+    wanted = at.groupBy("shard").agg(F.sort_array(F.collect_list("place")).alias("chosen"))
+    few = sum(t.count() for t in named) <= FEW_IDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                for start in range(0, len(row["chosen"]), SETS_AT_ONCE):
+                    found = list(_document_sets(row, np.array(row["chosen"][start : start + SETS_AT_ONCE]), None))
+                    rids, sets = [row["row"] + f[0] for f in found], [pack(f[1], True) for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(sets, pa.binary())], names=["rid", "set"])
+
+    small_batches(shards.sparkSession)
+    return _asked(shards).join(F.broadcast(wanted) if few else wanted, "shard").mapInArrow(run, "rid long, set binary")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b), a settled table, whose whole sets are similar enough."""
     sets = only_named(sets, pairs.select("a"), pairs.select("b"))
@@ -279,6 +316,60 @@ def _families(tokens: DataFrame, settle) -> DataFrame:
     return members.join(family, members["rid"] == family["node"]).select("rid", "label", "family")
 
 
+def _shared_counts(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each set of a block, and of each intersection of two."""
+    own = [unpack(x, np.uint64, True) for x in packed.to_pylist()]
+    n = np.array([len(x) for x in own])
+    _, number, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(own)), n)
+    many = count[number] > 1
+    column = (np.cumsum(count > 1) - 1)[number[many]]
+    owner = owner[many]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(own), len(own)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        present = np.zeros((len(own), COLUMNS), np.float32)
+        present[owner[a:b], column[a:b] - start] = 1
+        shared += present @ present.T
+    return n, shared.astype(np.int64)
+
+
+def _meeting(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a block (rid, label, n, l, rest, prefix) that may be linked with one of another class there.
+
+    This is the test of ``_candidates``, on prefixes, for all pairs of the block.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        out = group.select([*keys, "rid", "label"])
+        labels, n, least, rest = (group[c].to_numpy().astype(np.int64) for c in ("label", "n", "l", "rest"))
+        if (labels == labels[0]).all():
+            return out.slice(0, 0)
+        shared = _shared_counts(group["prefix"])[1]
+        may = shared >= np.minimum(least[:, None], least[None, :])
+        may &= (100 + PERCENT) * (shared + np.maximum(rest[:, None], rest[None, :])) >= PERCENT * (n[:, None] + n[None, :])
+        may &= 100 * np.minimum(n[:, None], n[None, :]) >= PERCENT * np.maximum(n[:, None], n[None, :])
+        may &= labels[:, None] != labels[None, :]
+        return out.filter(pa.array(may.any(axis=1)))
+
+    kinds = dict(blocks.select(*keys, "rid", "label").dtypes)
+    return blocks.groupBy(*keys).applyInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def _at_places(places: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of a settled table of places in blocks with what the sets hold; few places are sent to the sets."""
+    return sets.join(F.broadcast(places) if places.count() <= FEW_ROWS else places, "rid")
+
+
+def _block_links(places: DataFrame, keys: list[str], prefixes: DataFrame, sets: DataFrame, settle) -> DataFrame:
+    """Links of the blocks that ``places`` (keys, rid, label) name; whole sets travel only where prefixes leave a pair open."""
+    places = settle(places, "join-places")
+    met = settle(_meeting(_at_places(places, prefixes), keys), "join-places")
+    return _compare(_at_places(met, sets), keys)
+
+
 def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Links between different classes of a block (rid, label, set), as a forest over its classes."""
 
@@ -286,22 +377,8 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
         rids, labels = group["rid"].to_numpy(), group["label"].to_numpy()
         if (labels == labels[0]).all():
             return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        own = [unpack(x, np.uint64, True) for x in group["set"].to_pylist()]
-        n = np.array([len(x) for x in own])
-        tokens, number, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(own)), n)
-        many = count[number] > 1
-        column = (np.cumsum(count > 1) - 1)[number[many]]
-        owner = owner[many]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        shared = np.zeros((len(own), len(own)), np.float32)
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-            a, b = np.searchsorted(column, [start, start + COLUMNS])
-            present = np.zeros((len(own), COLUMNS), np.float32)
-            present[owner[a:b], column[a:b] - start] = 1
-            shared += present @ present.T
-        near = (100 + PERCENT) * shared.astype(np.int64) >= PERCENT * (n[:, None] + n[None, :])
+        n, shared = _shared_counts(group["set"])
+        near = (100 + PERCENT) * shared >= PERCENT * (n[:, None] + n[None, :])
         near &= labels[:, None] != labels[None, :]
         up = {x: x for x in labels.tolist()}
 
@@ -322,24 +399,24 @@ def _compare(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def _chunk_edges(members: DataFrame, sets: DataFrame, settle, salt: int = 0) -> DataFrame:
-    """Links inside random chunks of each family: one block per chunk, every set sent once, fewer links than documents.
+def _chunk_edges(members: DataFrame, prefixes: DataFrame, sets: DataFrame, settle, salt: int = 0) -> DataFrame:
+    """Links inside random chunks of each family: one block per chunk, every prefix sent once, fewer links than documents.
 
     What belongs together in a family mostly becomes one class here, so few
     documents are left for the blocks of two chunks.
     """
     sizes = settle(members.groupBy("family").agg(F.ceil(F.count("*") / (2 * CHUNK)).alias("n_chunks")), "join-families")
     own = members.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(salt)), "n_chunks"))
-    return _compare(own.select("rid", "label", "family", "chunk").join(sets, "rid"), ["family", "chunk"])
+    return _block_links(own.select("rid", "label", "family", "chunk"), ["family", "chunk"], prefixes, sets, settle)
 
 
-def _block_edges(members: DataFrame, sets: DataFrame, settle) -> DataFrame:
+def _block_edges(members: DataFrame, prefixes: DataFrame, sets: DataFrame, settle) -> DataFrame:
     """Links between different classes of a family, as a forest per block of two chunks.
 
     The largest class of a family is its main side: its members are never
     compared with each other. All others are cut into chunks that meet each
     other and the chunks of the main side. A block compares two chunks by
-    counting the shingles that their documents share.
+    counting the shingles that their documents share, first of prefixes.
     """
     sizes = members.groupBy("family", "label").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
@@ -355,8 +432,7 @@ def _block_edges(members: DataFrame, sets: DataFrame, settle) -> DataFrame:
     as_main = F.transform(other(F.col("n_side")), lambda i: F.struct(F.lit("m").alias("kind"), i.alias("i"), here.alias("j")))
     blocks = F.when(F.col("side"), F.concat(with_sides, with_main)).otherwise(as_main)
     spread = own.select("rid", "label", "family", F.explode(blocks).alias("block"))
-    full = spread.join(sets, "rid").select("family", "block.kind", "block.i", "block.j", "rid", "label", "set")
-    return _compare(full, ["family", "kind", "i", "j"])
+    return _block_links(spread.select("family", "block.kind", "block.i", "block.j", "rid", "label"), ["family", "kind", "i", "j"], prefixes, sets, settle)
 
 
 def _met(tokens: DataFrame) -> DataFrame:
@@ -422,32 +498,31 @@ def link_documents(docs: DataFrame, settle, *, doc: str = "doc_id", text: str =
         "join-classes",
     )
     none = lambda kind: F.lit(None).cast(kind)
-    about = lambda table, kind: table.select("shard", "bucket", "totals", none("int").alias("place"), F.lit(kind).alias("kind"))
-    totals = about(key_totals(shards, settle, "join-words"), 0)
-    reps = classes.select("shard", none("long").alias("bucket"), none("binary").alias("totals"), "place", F.lit(0).alias("kind"))
-    found = totals.unionByName(reps)
-    keys = settle(prefix_keys(shards, found), "join-prefixes")
-    answers = about(key_totals(keys, settle, "join-tokens"), 1)
-    emitted = settle(shared_tokens(shards, found.unionByName(answers)), "join-shared")
-    sets = emitted.where("token is null and set is not null").select("rid", "set")
-    # Few documents have a token of many; only their sets travel in the rounds about those.
-    few = settle(emitted.where("token is null and hot").select("rid", "set"), "join-sets")
-    tokens = emitted.where("token is not null").drop("set", "hot")
-    hot = tokens.where(F.col("df") >= HOT)
+    totals = key_totals(shards, settle, "join-words").select("shard", "bucket", "totals", none("int").alias("place"))
+    reps = classes.select("shard", none("long").alias("bucket"), none("binary").alias("totals"), "place")
+    prefixes = settle(prefix_keys(shards, totals.unionByName(reps)), "join-prefixes")
+    answers = key_totals(prefixes, settle, "join-tokens").select("shard", "bucket", "totals")
+    emitted = settle(shared_tokens(prefixes, answers), "join-shared")
+    # Few documents have a token of many; only their sets are made for the rounds about those.
+    hot = settle(emitted.where("token is null and hot").select("rid", "n", "l", "rest", "prefix"), "join-hot")
+    few = settle(named_sets(shards, classes, hot.select("rid")), "join-sets")
+    tokens = emitted.where("token is not null").drop("hot", "prefix")
+    many = tokens.where(F.col("df") >= HOT)
 
     labels, edges = None, None
     for step in range(LEADER_ROUNDS):
-        pairs = settle(_leader_pairs(_open_tokens(hot, labels, settle), step, settle), "join-pairs")
+        pairs = settle(_leader_pairs(_open_tokens(many, labels, settle), step, settle), "join-pairs")
         new = settle(verify(pairs, few), "join-edges")
         edges = new if edges is None else edges.union(new)
         labels = components(edges, settle)
     for edges_of in (_chunk_edges, _block_edges):
-        members = settle(_families(_open_tokens(hot, labels, settle), settle), "join-members")
-        edges = edges.union(settle(edges_of(members, only_named(few, members.select("rid")), settle), "join-edges"))
+        members = settle(_families(_open_tokens(many, labels, settle), settle), "join-members")
+        edges = edges.union(settle(edges_of(members, hot, few, settle), "join-edges"))
         labels = components(edges, settle)
     # Pairs that meet in a token of many are settled by now, so only those without one are counted.
     pairs = settle(_candidates(_met(tokens.where(F.col("df") < HOT))), "join-pairs")
     pairs = settle(_apart(pairs, labels), "join-pairs")
+    sets = settle(named_sets(shards, classes, pairs.select("a"), pairs.select("b")), "join-sets")
     labels = components(edges.union(settle(verify(pairs, sets), "join-edges")), settle)
 
     sizes = emitted.where("token is null").select("rid", "n")

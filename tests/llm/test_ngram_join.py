@@ -154,3 +154,41 @@ def test_only_the_sets_of_pairs_are_shuffled(spark, monkeypatch):
     few = adapt_join.verify(pairs, sets).collect()
     monkeypatch.setattr(adapt_join, "FEW_IDS", 0)
     assert [tuple(r) for r in few] == [tuple(r) for r in adapt_join.verify(pairs, sets).collect()] == [(0, 1)]
+
+
+def test_whole_sets_travel_only_where_prefixes_leave_a_pair_open(spark, monkeypatch):
+    """Documents that share a short passage are a family, but no two can be similar enough; near copies among them still link."""
+    rng = random.Random(4)
+    common = [f"w{k}" for k in range(80)]
+    body = lambda: " ".join(rng.choices(common, k=150))
+    passage = " ".join(f"rare{k}" for k in range(10))
+    texts = {k: f"{passage} {body()}" if k < 12 else body() for k in range(40)}
+    inner, seen = adapt_join._compare, []
+
+    def recorded(blocks, keys):
+        seen.append(sorted({r.rid for r in blocks.select("rid").collect()}))
+        return inner(blocks, keys)
+
+    monkeypatch.setattr(adapt_join, "_compare", recorded)
+    for more in ({}, {40: edited(texts[3], 1, 2), 41: edited(texts[5], 2, 3)}):
+        texts |= more
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+        out = {r.doc_id: (r.n_shingles, r.component_id) for r in adapt_join.document_classes(docs, settle).collect()}
+        assert out == classes(texts)
+        if not more:
+            assert [len(s) for s in seen] == [0, 0]
+        monkeypatch.setattr(adapt_join, "LEADER_ROUNDS", 1)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_blocks_give_the_links_of_all_pairs(spark, monkeypatch, few):
+    """Many near copies of one text, around the threshold, in small blocks; few or many places, few or many ids."""
+    monkeypatch.setattr(adapt_join, "CHUNK", 8)
+    monkeypatch.setattr(adapt_join, "FEW_ROWS", few)
+    monkeypatch.setattr(adapt_join, "FEW_IDS", few)
+    monkeypatch.setattr(adapt_join, "SETS_AT_ONCE", 3)
+    body = prose(8, 100)
+    texts = {k: edited(body, k, k % 4) for k in range(45)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in adapt_join.document_classes(docs, settle).collect()}
+    assert out == classes(texts)
