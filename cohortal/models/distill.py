@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortal.core.settle import discard, settle
 from cohortal.functions.scalars import clip
 from cohortal.models.base import positive_probability, stored_params
 from cohortal.operators.metrics import evaluate, roc_auc
@@ -44,11 +45,19 @@ def load_encoded(spark: SparkSession, path: str) -> EncodedTrees:
 
 
 def _fit(rows: DataFrame, numeric: Sequence[str], categories: Sequence[str], estimator: Any, label: str, prior: float, ident: str) -> EncodedTrees:
-    """Training rows carry the statistics of the rows before them, so none sees its own label."""
+    """Training rows carry the statistics of the rows before them, so none sees its own label.
+
+    Trees pass over their rows several times, so vectors and labels are written
+    once, and the statistics get only the columns that the fit reads.
+    """
     encoder = fit_encoder(rows, categories, label, prior)
-    encoded = ordered_stats(rows, categories, label, ident, prior)
+    narrow = rows.select(*dict.fromkeys([ident, *numeric, *categories, label]))
+    encoded = ordered_stats(narrow, categories, label, ident, prior)
     vector = VectorAssembler(inputCols=[*numeric, *encoder.names], outputCol="features", handleInvalid="keep")
-    return EncodedTrees(encoder, Pipeline(stages=[vector, estimator]).fit(encoded), ident)
+    data = settle(vector.transform(encoded).select("features", label), "vectors")
+    trees = PipelineModel([vector, estimator.fit(data)])
+    discard(data)
+    return EncodedTrees(encoder, trees, ident)
 
 
 @dataclass
