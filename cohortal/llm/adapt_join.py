@@ -42,6 +42,7 @@ SHARD_BYTES = 6 << 20
 FEW_IDS = 4_000_000  # document ids that are sent to every task
 SETS_AT_ONCE = 500  # sets of a shard that are held at once
 FEW_ROWS = 1_000_000  # places in blocks that are sent to every task
+FEW_BITMAPS = 16_384  # bitmaps of 32,768 row numbers that are sent to every task
 
 
 SHARD_SCHEMA = "shard long, row long, docs array<{}>, texts array<binary>, n_words binary, ids binary, order binary, keys binary, counts binary, n_keys long"
@@ -546,6 +547,26 @@ def document_classes(docs: DataFrame, settle, *, doc: str = "doc_id", text: str
     )
 
 
+def _bitmaps(ids: DataFrame) -> DataFrame:
+    """(_bucket, _bits): the row numbers ``id`` as bitmaps; numbers meet by bucket first, so no partial bitmaps travel."""
+    placed = ids.select(F.bitmap_bucket_number("id").alias("_bucket"), F.bitmap_bit_position("id").alias("_at")).repartition("_bucket")
+    return placed.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+
+
+def _marked(numbered: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The rows whose ``_row`` is set in settled ``bitmaps``.
+
+    A join by number would shuffle every text; a bit a row is sent to the texts
+    instead, which stay where they are.
+    """
+    few = bitmaps.count() <= FEW_BITMAPS
+    at = F.bitmap_bit_position("_row")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = numbered.withColumn("_at", F.bitmap_bucket_number("_row"))
+    both = placed.join(F.broadcast(bitmaps) if few else bitmaps, F.col("_at") == F.col("_bucket"))
+    return both.where(F.getbit(byte, (at % 8).cast("int")) == 1)
+
+
 def keep_first(docs: DataFrame, settle, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of linked documents, with the columns of ``docs``.
 
@@ -563,6 +584,6 @@ def keep_first(docs: DataFrame, settle, *, doc: str = "doc_id", text: str = "tex
     ids = numbered.select(F.col("_row").alias("id"), F.col(at[doc]).alias("own"))
     named = rows.where("key is not null").join(classes.select("key", "component_id"), "key").join(ids, F.col("doc") == F.col("id"))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "id"))["id"].alias("id"))
-    kept = keep(first.select("id").union(rows.where("key is null").select(F.col("doc").alias("id"))), "join-kept")
+    kept = keep(_bitmaps(first.select("id").union(rows.where("key is null").select(F.col("doc").alias("id")))), "join-kept")
     settle.release()
-    return numbered.join(kept, numbered["_row"] == kept["id"], "left_semi").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return _marked(numbered, kept).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -109,6 +109,26 @@ def test_odd_rows(spark):
     assert adapt_join.keep_first(empty_table(spark), settle).count() == 0
 
 
+def test_kept_rows_are_found_without_shuffling_texts(spark, monkeypatch):
+    """Row numbers of several partitions, either side of a bitmap's end; few or many bitmaps give the same rows."""
+    numbers = [0, 1, 7, 8, 9, 32767, 32768, 32769, 65536, 1 << 33, (1 << 33) + 1, (5 << 33) + 40000]
+    numbered = settle(spark.createDataFrame([(n, f"text {n}") for n in numbers], "_row long, text string"), "numbered")
+    kept = numbers[::2] + numbers[-1:]
+    bitmaps = settle(adapt_join._bitmaps(spark.createDataFrame([(n,) for n in kept], "id long")), "kept")
+    found = lambda: sorted(r["_row"] for r in adapt_join._marked(numbered, bitmaps).collect())
+    assert found() == sorted(kept)
+    monkeypatch.setattr(adapt_join, "FEW_BITMAPS", 0)
+    assert found() == sorted(kept)
+    monkeypatch.undo()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = adapt_join.keep_first(odd_table(spark), settle)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_links_grow_with_the_documents_not_with_their_square(spark, monkeypatch):
     """Near copies of one text: five times the documents give at most five times the links, fewer than there are documents."""
     monkeypatch.setattr(adapt_join, "CHUNK", 20)
