@@ -1,7 +1,10 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from cohortal.core import settle
+from cohortal.models import stacking
 from cohortal.models.buyer import load_classifier, train_classifier
 from cohortal.models.calibration import fit_calibrator, load_calibrator
 from cohortal.models.distill import load_student, load_teacher, train_student, train_teacher
@@ -88,6 +91,27 @@ def test_stacking(spark, sf_dir, tmp_path):
     assert same(out, load_stacking(spark, str(tmp_path / "s")).score(df), "stacked")
 
 
+def test_stacking_fits_bases_side_by_side(spark, sf_dir, monkeypatch):
+    """Every base fit begins together with another one, and scores are those of fits one after the other."""
+    df = settle(scored(spark, sf_dir))
+    size = dict(folds=3, rounds=2, depth=2)
+    monkeypatch.setattr(stacking, "AT_ONCE", 1, raising=False)
+    alone = train_stacking(df, ["buyer_proba", "pred_d7"], **size).score(df)
+    monkeypatch.undo()
+    both, inner = threading.Barrier(2), stacking.base_estimators
+
+    class Meeting:
+        def __init__(self, estimator):
+            self.estimator = estimator
+
+        def fit(self, data):
+            both.wait(60)
+            return self.estimator.fit(data)
+
+    monkeypatch.setattr(stacking, "base_estimators", lambda *a: {n: Meeting(e) for n, e in inner(*a).items()})
+    assert same(alone, train_stacking(df, ["buyer_proba", "pred_d7"], **size).score(df), "stacked")
+
+
 @pytest.fixture(scope="module")
 def run(spark, sf_dir):
     raw = settle(wide_impressions(spark, sf_dir))
