@@ -6,13 +6,15 @@ rarest word). Two sets with Jaccard similarity t share at least l tokens of
 their l-prefixes, |x| - ceil(t |x|) + l tokens long. Each document takes the l of
 the least estimated cost; a pair is verified on whole sets if it shares at least
 the smaller l of the two. Documents with the same words are one class from the
-start. Tokens of few documents give pairs. Tokens of many first link each member
-to one leader, which joins large groups of near copies by few pairs; what is
-still in different classes is compared in blocks of bounded size, first inside
-random chunks of such a family and, once those links are followed, between what
-is left and the rest. A block first compares prefixes, and only documents
-with a partner there send their whole sets. Every block gives a forest over
-classes, so links stay few.
+start, and documents whose longest prefix holds too few tokens that others have
+take no part. Tokens of few documents give pairs. Tokens of many are split by set
+size, so that only documents of like size meet; lists that are still long first
+link each member to one leader, which joins large groups of near copies by few
+pairs; what is still in different classes is compared in blocks of bounded size,
+first inside random chunks of such a family and, once those links are followed,
+between what is left and the rest. A block first compares prefixes, and only
+documents with a partner there send their whole sets. Every block gives a forest
+over classes, so links stay few.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ PERCENT = 80  # Jaccard threshold in percent
 LONGEST = 8  # largest number of shared prefix tokens that is considered
 VERIFY_COST = 100.0  # cost of one verification against reading one entry of a token's list
 HOT = 9  # tokens held by so many are linked to a leader first; fewer are paired in one row
+BAND = 1.26  # ratio of set sizes in a band; above 100 / PERCENT, so that similar sets are in one band or in two next to each other
 LEADER_ROUNDS = 2
 CHUNK = 400  # documents of a family that are compared at once with as many others
 COLUMNS = 2048  # shingles counted at once there
@@ -179,20 +182,26 @@ def choose_shared(n: int, places: np.ndarray, df: np.ndarray) -> int:
     return best[1]
 
 
-TOKEN_SCHEMA = "token long, rid long, n int, l int, rest int, df long, hot boolean, prefix binary"
+def least_shared(n):
+    """How many tokens the longest prefix of a set of ``n`` shares with that of any similar set, at least."""
+    return np.minimum(LONGEST, -(-n * PERCENT // 100))
+
+
+TOKEN_SCHEMA = "token long, rid long, n int, l int, rest int, q int, df long, hot boolean, prefix binary"
 
 
 def shared_tokens(prefixes: DataFrame, answers: DataFrame) -> DataFrame:
-    """(token, rid, n, l, rest, df): each representative's own prefix tokens that two or more have.
+    """(token, rid, n, l, rest, q, df): each representative's own prefix tokens that two or more have, ``q`` of them.
 
-    ``rest`` is the part of the set beyond the prefix. With token null there is
-    one row per representative, with its set's size and whether one of its
-    tokens is held by many; if so, ``prefix`` has all of them.
+    ``rest`` is the part of the set beyond the prefix. A representative whose
+    longest prefix has fewer such tokens than any link needs gives none. With
+    token null there is one row per representative, with its set's size and
+    whether one of its tokens is held by many; if so, ``prefix`` has all of them.
     ``prefixes`` are the settled ``prefix_keys``, ``answers`` the totals of their keys.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("token", "rid", "n", "l", "rest", "df")}
+        out: dict[str, list] = {k: [] for k in ("token", "rid", "n", "l", "rest", "q", "df")}
         reps, sizes, mores, rests, hots, whole = [], [], [], [], [], []
         totals = shard_totals(right)
         for row in left.to_pylist():
@@ -205,12 +214,12 @@ def shared_tokens(prefixes: DataFrame, answers: DataFrame) -> DataFrame:
                 at, places, df = at[df > 1], places[df > 1], df[df > 1]
                 more = choose_shared(n, places, df)
                 length = min(n, prefix_length(n, more))
-                own = places < length
+                own = (places < length) & (len(df) >= least_shared(n))
                 tokens = keys[at[own]]
                 rid, k = row["row"] + d, len(tokens)
                 for name, values in (("token", tokens.view(np.int64)), ("df", df[own])):
                     out[name].append(values)
-                for name, value in (("rid", rid), ("n", n), ("l", more), ("rest", n - length)):
+                for name, value in (("rid", rid), ("n", n), ("l", more), ("rest", n - length), ("q", k)):
                     out[name].append(np.full(k, value, np.int64))
                 reps.append(rid)
                 sizes.append(n)
@@ -219,11 +228,11 @@ def shared_tokens(prefixes: DataFrame, answers: DataFrame) -> DataFrame:
                 hots.append(bool((df[own] >= HOT).any()))
                 whole.append(pack(np.sort(tokens), True) if hots[-1] else None)
         flat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-        kinds = {"token": pa.int64(), "rid": pa.int64(), "n": pa.int32(), "l": pa.int32(), "rest": pa.int32(), "df": pa.int64()}
+        kinds = {"token": pa.int64(), "rid": pa.int64(), "n": pa.int32(), "l": pa.int32(), "rest": pa.int32(), "q": pa.int32(), "df": pa.int64()}
         rows = len(flat["rid"])
         lists = pa.Table.from_arrays([*[pa.array(flat[k].astype(t.to_pandas_dtype()), t) for k, t in kinds.items()], pa.nulls(rows, pa.bool_()), pa.nulls(rows, pa.binary())], names=[*kinds, "hot", "prefix"])
         none = pa.nulls(len(reps), pa.int64())
-        heads = [none, pa.array(reps, pa.int64()), *[pa.array(x, pa.int32()) for x in (sizes, mores, rests)], none, pa.array(hots, pa.bool_()), pa.array(whole, pa.binary())]
+        heads = [none, pa.array(reps, pa.int64()), *[pa.array(x, pa.int32()) for x in (sizes, mores, rests)], pa.nulls(len(reps), pa.int32()), none, pa.array(hots, pa.bool_()), pa.array(whole, pa.binary())]
         return pa.concat_tables([lists, pa.Table.from_arrays(heads, names=[*kinds, "hot", "prefix"])])
 
     return prefixes.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(run, TOKEN_SCHEMA)
@@ -234,6 +243,21 @@ def _close(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
 
 
+def _banded(tokens: DataFrame, settle) -> DataFrame:
+    """Tokens of many, split by set size: (token, rid, n, l, rest, q, low, df) with a token per old token and band.
+
+    A band's list holds its own members and, as ``low``, those of the band below,
+    so a pair of like sizes meets in the list of its larger band and nowhere else
+    but among two that are low. A list of low members only has no such pair.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    at = lambda up: F.struct((band + up).alias("band"), F.lit(up).alias("low"))
+    split = tokens.select("token", "rid", "n", "l", "rest", "q", F.explode(F.array(at(0), at(1))).alias("at"))
+    split = split.select(F.xxhash64("token", "at.band").alias("token"), "rid", "n", "l", "rest", "q", "at.low")
+    sizes = settle(split.groupBy("token").agg(F.count("*").alias("df"), F.min("low").alias("_low")).where("df > 1 and _low = 0").select("token", "df"), "join-sizes")
+    return settle(split.join(sizes, "token"), "join-banded")
+
+
 def only_named(sets: DataFrame, *named: DataFrame) -> DataFrame:
     """The sets of the documents that settled tables of one id column name.
 
@@ -301,10 +325,12 @@ def _leader_pairs(tokens: DataFrame, salt: int, settle) -> DataFrame:
 def _families(tokens: DataFrame, settle) -> DataFrame:
     """(rid, label, family): documents that shared tokens hold together, linked or not.
 
-    Each document first follows one of its tokens' leaders, which joins most of
+    A document stands in two bands, which are not to be held together by it: it is
+    two nodes here. Each document first follows one of its tokens' leaders, which joins most of
     a family by one edge a document; then tokens whose members are still apart
     join what is left, one edge per token and group.
     """
+    tokens = tokens.withColumn("rid", F.shiftleft("rid", 1) + F.col("low"))
     leaders = _leaders(tokens, -1, settle)
     near = components(tokens.join(leaders, "token").groupBy(F.col("rid").alias("b")).agg(F.min("a").alias("a")), settle)
     named = tokens.join(near.select("node", F.col("label").alias("near")), tokens["rid"] == F.col("node")).select("token", "near").distinct()
@@ -314,7 +340,7 @@ def _families(tokens: DataFrame, settle) -> DataFrame:
     wider = components(rest, settle).select(F.col("node").alias("_near"), F.col("label").alias("_wider"))
     family = near.join(wider, near["label"] == wider["_near"], "left").select("node", F.coalesce("_wider", "label").alias("family"))
     members = tokens.groupBy("rid").agg(F.min("label").alias("label"))
-    return members.join(family, members["rid"] == family["node"]).select("rid", "label", "family")
+    return members.join(family, members["rid"] == family["node"]).select(F.shiftright("rid", 1).alias("rid"), "label", "family")
 
 
 def _shared_counts(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -436,28 +462,36 @@ def _block_edges(members: DataFrame, prefixes: DataFrame, sets: DataFrame, settl
     return _block_links(spread.select("family", "block.kind", "block.i", "block.j", "rid", "label"), ["family", "kind", "i", "j"], prefixes, sets, settle)
 
 
+def _needed(x: str, y: str):
+    """How many prefix tokens two documents must share to be similar enough.
+
+    Of the two prefixes, the one that ends first in the global order has all its
+    common tokens inside the other. So the overlap is at most the shared tokens
+    plus the larger rest, and at least the smaller l must be shared.
+    """
+    # 100 |x & y| >= p |x or y|  <=>  (100 + p) |x & y| >= p (|x| + |y|)
+    total = F.ceil(PERCENT * (F.col(f"{x}.n") + F.col(f"{y}.n")).cast("long") / (100 + PERCENT))
+    return F.greatest(F.least(f"{x}.l", f"{y}.l").cast("long"), total - F.greatest(f"{x}.rest", f"{y}.rest")).cast("int")
+
+
 def _met(tokens: DataFrame) -> DataFrame:
     """(x, y) structs of members that meet in a token held by few: the lists are shorter than ``HOT``."""
-    member = F.struct("rid", "n", "l", "rest")
+    member = F.struct("rid", "n", "l", "rest", "q", "low")
     lists = tokens.groupBy("token").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["rid"] > x["rid"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    later = lambda x: F.filter("m", lambda y: (y["rid"] > x["rid"]) & (x["low"] + y["low"] < 2))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(later(x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     return lists.select(F.inline(pairs))
 
 
 def _candidates(met: DataFrame) -> DataFrame:
     """Pairs that can be similar enough, from how many prefix tokens they share.
 
-    Of the two prefixes, the one that ends first in the global order has all its
-    common tokens inside the other. So the overlap is at most the shared tokens
-    plus the larger rest, and at least the smaller l must be shared. A pair that
-    also shares a token of many is in one family and has been compared there.
+    A pair that needs more than one of the two has at all is not counted. A pair
+    that also shares a long list is in one family and has been compared there.
     """
-    close = met.where(_close("x.n", "y.n"))
-    shared = close.groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).agg(F.count("*").alias("shared"), F.min("x").alias("x"), F.min("y").alias("y"))
-    # 100 |x & y| >= p |x or y|  <=>  (100 + p) |x & y| >= p (|x| + |y|)
-    most = F.col("shared") + F.greatest("x.rest", "y.rest")
-    enough = (100 + PERCENT) * most >= PERCENT * (F.col("x.n") + F.col("y.n"))
-    return shared.where((F.col("shared") >= F.least("x.l", "y.l")) & enough).select("a", "b")
+    close = met.where(_close("x.n", "y.n")).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), _needed("x", "y").alias("need"), F.least("x.q", "y.q").alias("most"))
+    shared = close.where("need <= most").groupBy("a", "b", "need").agg(F.count("*").alias("shared"))
+    return shared.where("shared >= need").select("a", "b")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -472,11 +506,11 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _open_tokens(tokens: DataFrame, labels: DataFrame | None, settle) -> DataFrame:
     """Tokens whose members are in more than one class, with each member's class."""
-    plain = tokens.select("token", "rid", "n", "l", "rest")
+    plain = tokens.select("token", "rid", "n", "low")
     if labels is None:
         return plain.withColumn("label", F.col("rid"))
     named = labels.select(F.col("node").alias("_node"), "label")
-    now = settle(plain.join(named, plain["rid"] == named["_node"], "left").select("token", "rid", "n", "l", "rest", F.coalesce("label", "rid").alias("label")), "join-labelled")
+    now = settle(plain.join(named, plain["rid"] == named["_node"], "left").select("token", "rid", "n", "low", F.coalesce("label", "rid").alias("label")), "join-labelled")
     mixed = settle(now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "join-open")
     return settle(now.join(mixed, "token"), "join-members")
 
@@ -504,11 +538,14 @@ def link_documents(docs: DataFrame, settle, *, doc: str = "doc_id", text: str =
     prefixes = settle(prefix_keys(shards, totals.unionByName(reps)), "join-prefixes")
     answers = key_totals(prefixes, settle, "join-tokens").select("shard", "bucket", "totals")
     emitted = settle(shared_tokens(prefixes, answers), "join-shared")
-    # Few documents have a token of many; only their sets are made for the rounds about those.
-    hot = settle(emitted.where("token is null and hot").select("rid", "n", "l", "rest", "prefix"), "join-hot")
-    few = settle(named_sets(shards, classes, hot.select("rid")), "join-sets")
+    settle.release(shards, rows, classes, emitted)
     tokens = emitted.where("token is not null").drop("hot", "prefix")
-    many = tokens.where(F.col("df") >= HOT)
+    banded = _banded(tokens.where(F.col("df") >= HOT), settle)
+    many = banded.where(F.col("df") >= HOT)
+    # Few documents are in a long list; only their sets are made for the rounds about those.
+    ids = settle(many.select("rid").distinct(), "join-ids")
+    hot = settle(only_named(emitted.where("token is null and hot").select("rid", "n", "l", "rest", "prefix"), ids), "join-hot")
+    few = settle(named_sets(shards, classes, hot.select("rid")), "join-sets")
 
     labels, edges = None, None
     for step in range(LEADER_ROUNDS):
@@ -520,10 +557,16 @@ def link_documents(docs: DataFrame, settle, *, doc: str = "doc_id", text: str =
         members = settle(_families(_open_tokens(many, labels, settle), settle), "join-members")
         edges = edges.union(settle(edges_of(members, hot, few, settle), "join-edges"))
         labels = components(edges, settle)
-    # Pairs that meet in a token of many are settled by now, so only those without one are counted.
-    pairs = settle(_candidates(_met(tokens.where(F.col("df") < HOT))), "join-pairs")
+    # Edges are few and lie in several tables; the sets and lists of the rounds are read no more.
+    edges, labels = settle(edges, "join-edges"), settle(labels, "join-labels")
+    settle.release(shards, rows, classes, emitted, banded, edges, labels)
+    # Pairs that meet in a long list are settled by now, so only those without one are counted.
+    short = tokens.withColumn("low", F.lit(0)).unionByName(banded).where(F.col("df") < HOT)
+    pairs = settle(_candidates(_met(short)), "join-pairs")
     pairs = settle(_apart(pairs, labels), "join-pairs")
+    settle.release(shards, rows, classes, emitted, edges, pairs)
     sets = settle(named_sets(shards, classes, pairs.select("a"), pairs.select("b")), "join-sets")
+    settle.release(rows, classes, emitted, edges, pairs, sets)
     labels = components(edges.union(settle(verify(pairs, sets), "join-edges")), settle)
 
     sizes = emitted.where("token is null").select("rid", "n")

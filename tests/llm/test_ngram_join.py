@@ -212,3 +212,43 @@ def test_blocks_give_the_links_of_all_pairs(spark, monkeypatch, few):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in adapt_join.document_classes(docs, settle).collect()}
     assert out == classes(texts)
+
+
+def test_longest_prefixes_of_similar_sets_share_enough_and_their_bands_touch():
+    """What a document is dropped for, and the band it meets others in, lose no link."""
+    rng = random.Random(11)
+    band = lambda n: int(np.floor(np.log(n) / np.log(adapt_join.BAND)))
+    seen = 0
+    for _ in range(400):
+        x = set(rng.sample(range(100), rng.randrange(1, 80)))
+        y = {t for t in x if rng.random() < 0.93} | set(rng.sample(range(100, 130), rng.randrange(3)))
+        if y and 100 * len(x & y) >= 80 * len(x | y):
+            a, b = (set(sorted(s)[: adapt_join.prefix_length(len(s), adapt_join.LONGEST)]) for s in (x, y))
+            assert len(a & b) >= max(adapt_join.least_shared(len(x)), adapt_join.least_shared(len(y)))
+            seen += 1
+    assert seen > 100
+    for n in range(1, 3000):
+        assert band(n * 100 // adapt_join.PERCENT) - band(n) <= 1
+
+
+def test_documents_without_a_possible_partner_are_in_no_block(spark, monkeypatch):
+    """Of many documents with one passage, those that share too little or are of other sizes do not meet in blocks."""
+    rng = random.Random(12)
+    common = [f"w{k}" for k in range(80)]
+    body = lambda n: " ".join(rng.choices(common, k=n))
+    short, long = (" ".join(f"{w}{k}" for k in range(n)) for w, n in (("short", 10), ("long", 40)))
+    texts = dict(enumerate([f"{short} {body(150)}" for _ in range(12)] + [f"{long} {body(n)}" for n in (60, 120, 250, 600) for _ in range(4)]))
+    inner, seen = adapt_join._block_links, []
+
+    def recorded(places, *more):
+        seen.append(places.count())
+        return inner(places, *more)
+
+    monkeypatch.setattr(adapt_join, "_block_links", recorded)
+    monkeypatch.setattr(adapt_join, "LEADER_ROUNDS", 1)
+    for k, (of, edits) in enumerate([(1, 0), (13, 1), (17, 2), (27, 2)]):
+        texts[28 + k] = edited(texts[of], k, edits)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in adapt_join.document_classes(docs, settle).collect()}
+    assert out == classes(texts) and len({c for _, c in out.values()}) < len(texts)
+    assert seen == [0, 0]
