@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortal.core.settle import discard
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_given_back(spark: SparkSession) -> Iterator[None]:
+    """What runs inside loses its shuffle files when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
 
 class Scratch:
-    """Settles the intermediate tables of one job and gives them back together once its results are written."""
+    """Settles the intermediate tables of one job and gives them back together once its results are written.
+
+    A settled table is read instead of what it was made from, so the shuffle
+    files of its making go as soon as it is written.
+    """
 
     def __init__(self, settle) -> None:
         self._settle, self._made = settle, []
 
     def __call__(self, df: DataFrame, label: str) -> DataFrame:
-        self._made.append(self._settle(df, label))
+        with shuffles_given_back(df.sparkSession):
+            self._made.append(self._settle(df, label))
         return self._made[-1]
 
     def release(self, *kept: DataFrame) -> None:
@@ -42,10 +66,11 @@ def components(edges: DataFrame, settle) -> DataFrame:
             labels.join(near, labels["node"] == near["at"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "cc-least"
         )
         ahead = least.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        jumped = keep(
-            least.join(ahead, least["label"] == ahead["at"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")),
-            "cc-labels",
-        )
+        with shuffles_given_back(edges.sparkSession):
+            jumped = keep(
+                least.join(ahead, least["label"] == ahead["at"], "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")),
+                "cc-labels",
+            )
         changed = jumped.where("label <> old").limit(1).count()
         settle.release(*([both] if changed else []))
         if last is not None:

@@ -1,4 +1,6 @@
+import pathlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -252,3 +254,36 @@ def test_documents_without_a_possible_partner_are_in_no_block(spark, monkeypatch
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in adapt_join.document_classes(docs, settle).collect()}
     assert out == classes(texts) and len({c for _, c in out.values()}) < len(texts)
     assert seen == [0, 0]
+
+
+def test_tables_and_shuffle_files_go_as_soon_as_they_are_read(spark, monkeypatch):
+    """When the last pairs are verified, only what is still to be read is on disk, and no settled table left shuffle files."""
+    from pyspark.sql import functions as F
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {str(f.getName()) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = shuffled()
+    made = components.Scratch(settle)(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "made")
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffled() - before and made.count() == 7
+
+    inner, seen, alive = adapt_join.verify, [], {}
+
+    def kept(df, label):
+        out = settle(df, label)
+        alive[out._settled_path] = label
+        return out
+
+    def recorded(pairs, sets):
+        there = {k for p, k in alive.items() if pathlib.Path(p.removeprefix("file://")).exists()}
+        seen.append(there)
+        return inner(pairs, sets)
+
+    monkeypatch.setattr(adapt_join, "verify", recorded)
+    texts = {k: edited(prose(8, 100), k, k % 4) for k in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in adapt_join.document_classes(docs, kept).collect()}
+    assert out == classes(texts)
+    assert seen[-1] == {"join-rows", "join-classes", "join-shared", "join-edges", "join-pairs", "join-sets"}
